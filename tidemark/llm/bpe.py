@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 
 #: A piece of more bytes than this runs the same rule on a linked list with a heap: a padded row costs the square of its length.
@@ -249,7 +250,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     """
     shared = _vocabulary(docs.sparkSession, path, pattern)
     docs = docs.drop(ids) if ids != text else docs
-    schema = docs.schema.add(ids, "array<int>")
+    schema = StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +273,7 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
     """rows with the bytes that the ids stand for (binary). Null ids give null; an unknown id is an error."""
     shared = _vocabulary(rows.sparkSession, path, pattern)
     rows = rows.drop(out) if out != ids else rows
-    schema = rows.schema.add(out, "binary")
+    schema = StructType([*rows.schema.fields, StructField(out, BinaryType())])
     at = rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,9 +285,6 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
     return rows.mapInArrow(run, schema)
 
 
-DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids (decimal, joined by one blank) and of the bytes decoded from them.
 
@@ -295,7 +293,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
     shared = _vocabulary(docs.sparkSession, path, pattern)
     docs = docs.select("doc_id", "text")
-    schema = docs.select("doc_id").schema.simpleString()[len("struct<") : -1].replace(":", " ", 1) + ", " + DIGESTS
+    schema = StructType([docs.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared)
