@@ -357,8 +357,8 @@ pairs as (select distinct a.rid as a, b.rid as b, a.n as na, b.n as nb from head
           where {DEN} * least(a.n, b.n) >= {NUM} * greatest(a.n, b.n)),
 shared as (select a, b, na, nb, count(*) as o from pairs join grams x on x.rid = a join grams y on y.rid = b and x.g = y.g group by all),
 links as (select a, b from shared where {DEN} * o >= {NUM} * (na + nb - o)),
-both as (select a, b from links union all select b, a from links),
-reach(a, b) as (select distinct a, a from both union select r.a, both.b from reach r join both on both.a = r.b),
+sym as (select a, b from links union all select b, a from links),
+reach(a, b) as (select distinct a, a from sym union select r.a, sym.b from reach r join sym on sym.a = r.b),
 lowest as (select r.a as rid, min(d.doc_id) as low from reach r join words_ d on d.rid = r.b group by r.a)
 select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, coalesce(low, doc_id) as component_id
 from words_ left join sized using (rid) left join lowest using (rid)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, sharding, substring
+from . import bpe, decontaminate, jaccard, sharding, substring, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -34,12 +34,17 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_sharding": op3_sharding,
     "op4_substring": op4_substring,
     "op8_bpe": op8_bpe,
     "op9_jaccard": op9_jaccard,
+    "op10_warc": op10_warc,
 }
 
 ORACLES = {
@@ -47,4 +52,5 @@ ORACLES = {
     "op3_sharding": sharding.ORACLE,
     "op4_substring": substring.ORACLE,
     "op9_jaccard": jaccard.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
