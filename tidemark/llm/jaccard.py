@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .shared import Gate, Scratch, components, test_bits
+from .shared import KeyGate, Scratch, components, resolve_lists, test_bits
 
 WORDS, NUM, DEN = 4, 85, 100
 MOST_FREQUENT = 1 << 20
@@ -40,6 +40,7 @@ PIVOT_ROUNDS = 3
 #: Sets of this size or more are never enumerated: their subsets are too many at any price.
 MOST_LIGHT = 24
 U = np.uint64
+KEYS, NODES = 0x6A7E, 0x40DE  # salts of the two gates
 
 
 class Measure:
@@ -129,7 +130,7 @@ class _Order:
 _NO_ORDER = (np.zeros(0, U), np.zeros(0, np.int64))
 
 
-def _emit(docs: DataFrame, k: int, measure: Measure, boundary: int, order, gate: Gate | None, counting: bool) -> DataFrame:
+def _emit(docs: DataFrame, k: int, measure: Measure, boundary: int, order, gate: KeyGate | None, counting: bool) -> DataFrame:
     """Rows (key[, node, n]) of inverted lists and of subsets; with a gate, of keys that may have two members."""
     lists_from = measure.least_size(boundary)
     shared_order = docs.sparkSession.sparkContext.broadcast(order)
@@ -163,7 +164,7 @@ def _emit(docs: DataFrame, k: int, measure: Measure, boundary: int, order, gate:
                 yield pa.RecordBatch.from_arrays([pa.array(wh.signed(key))], names=["key"])
                 continue
             node, n = np.concatenate(nodes) if nodes else np.zeros(0, np.int64), np.concatenate(sizes) if sizes else np.zeros(0, np.int32)
-            ok = test_bits(gate_table.value, wh.mix(key, 0x6A7E) & U(gate_bits - 1))
+            ok = test_bits(gate_table.value, wh.mix(key, KEYS) & U(gate_bits - 1))
             # copies of a text in one batch would give the same rows
             rows = np.unique(np.stack([wh.signed(key[ok]), node[ok], n[ok].astype(np.int64)], 1), axis=0) if ok.any() else np.zeros((0, 3), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(rows[:, 2].astype(np.int32))], names=["key", "node", "n"])
@@ -171,27 +172,8 @@ def _emit(docs: DataFrame, k: int, measure: Measure, boundary: int, order, gate:
     return docs.select("text").mapInArrow(run, "key long" if counting else "key long, node long, n int")
 
 
-class _KeyGate(Gate):
-    """A gate over keys whose positions the workers compute themselves."""
-
-    def __init__(self, spark, positions: DataFrame, bits: int):
-        words = positions.select(F.shiftright("p", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-        table = np.zeros(bits >> 6, np.int64)
-        table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-        self.bits, self.table = bits, spark.sparkContext.broadcast(table.view(U))
-
-
-def _positions(df: DataFrame, column: str, bits: int, salt: int = 0x6A7E) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            x = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-            yield pa.RecordBatch.from_arrays([pa.array((wh.mix(x, salt) & U(bits - 1)).astype(np.int64))], names=["p"])
-
-    return df.select(column).mapInArrow(run, "p long")
-
-
-def _sets(docs: DataFrame, k: int, gate: Gate) -> DataFrame:
-    """(node, n, tokens): 40 bits of each shingle, sorted, of the nodes that the gate lets through, once each.
+def _sets(docs: DataFrame, k: int, gate: KeyGate) -> DataFrame:
+    """(node, payload): 40 bits of each shingle, sorted, of the nodes that the gate lets through, once each.
 
     Of a pair near the threshold, about a sixth of the shingles have no partner; that two of those agree in 40 bits
     is as unlikely as a collision of the 64-bit hashes of a corpus.
@@ -202,8 +184,8 @@ def _sets(docs: DataFrame, k: int, gate: Gate) -> DataFrame:
         seen: set[int] = set()
         for _, sets in shingle_sets(batches, 0, k):
             nodes = np.array([node_of(s) if len(s) else 0 for s in sets], np.int64)
-            ok = test_bits(table.value, wh.mix(nodes.view(U).copy(), 0x40DE) & U(bits - 1)) & np.array([len(s) > 0 for s in sets], bool)
-            out_node, out_n, out = [], [], []
+            ok = test_bits(table.value, wh.mix(nodes.view(U).copy(), NODES) & U(bits - 1)) & np.array([len(s) > 0 for s in sets], bool)
+            out_node, out = [], []
             for i in np.flatnonzero(ok).tolist():
                 node = int(nodes[i])
                 if node in seen:
@@ -212,40 +194,35 @@ def _sets(docs: DataFrame, k: int, gate: Gate) -> DataFrame:
                     seen.add(node)
                 x = np.sort(sets[i] >> U(24))
                 out_node.append(node)
-                out_n.append(len(x))
                 out.append((x & U(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> U(32)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out_node, pa.int64()), pa.array(out_n, pa.int32()), pa.array(out, pa.binary())], names=["node", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_node, pa.int64()), pa.array(out, pa.binary())], names=["node", "tokens"])
+
+    return docs.select("text").mapInArrow(run, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("payload"))
 
-    return docs.select("text").mapInArrow(run, "node long, n int, tokens binary").groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
+class _Linked:
+    """Which of the paired sets are linked; of a run of pairs with one right side, that is unpacked once."""
 
-def _verify(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
-    """Of the pairs (a, b) those that are linked."""
+    def __init__(self, measure: Measure):
+        self.measure = measure
 
+    @staticmethod
     def unpack(raw: bytes) -> np.ndarray:
         n = len(raw) // 5
         return np.frombuffer(raw, "<u4", n).astype(U) | (np.frombuffer(raw, np.uint8, n, 4 * n).astype(U) << U(32))
 
-    def run(batches):
-        last, last_set = None, None
-        for b in batches:
-            keep = []
-            left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
-            for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                if y is not last:
-                    last, last_set = y, unpack(y)
-                a = unpack(x)
-                both = np.concatenate([a, last_set])
-                both.sort()
-                o = int((both[1:] == both[:-1]).sum())
-                if measure.den * o >= measure.num * (len(a) + len(last_set) - o):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), b.column(1).take(pa.array(keep, pa.int32()))], names=["a", "b"])
-
-    one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    def __call__(self, left: list[bytes], right: list[bytes]) -> list[int]:
+        keep, last, last_set = [], None, None
+        for i, (x, y) in enumerate(zip(left, right, strict=True)):
+            if y != last:
+                last, last_set = y, self.unpack(y)
+            a = self.unpack(x)
+            both = np.concatenate([a, last_set])
+            both.sort()
+            o = int((both[1:] == both[:-1]).sum())
+            if self.measure.den * o >= self.measure.num * (len(a) + len(last_set) - o):
+                keep.append(i)
+        return keep
 
 
 def _boundary(nodes: DataFrame, counts: DataFrame, measure: Measure) -> int:
@@ -302,43 +279,17 @@ def _links(spark, scratch: Scratch, docs: DataFrame, rows: DataFrame, k: int, me
     frequent = plain.where(F.col("c") >= least).toPandas()
     order = (frequent["key"].to_numpy(np.int64).view(U), frequent["c"].to_numpy(np.int64))
     shared = counted(boundary, order)
-    gate = _KeyGate(spark, _positions(shared, "key", gate_bits), gate_bits)
+    gate = KeyGate(spark, shared, "key", KEYS, gate_bits)
     lists = scratch.keep(_emit(docs, k, measure, boundary, order, gate, False).distinct(), "lists")
     scratch.drop(plain)
-
-    close = F.least("n", "m") * measure.den >= F.greatest("n", "m") * measure.num
-    links, done, labels = None, None, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        open_ = lists
-        if labels is not None:
-            open_ = open_.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            open_ = open_.withColumn("root", F.col("node"))
-        if done is not None:  # a pivot has been held against every member of its list
-            open_ = open_.join(done, ["key", "node"], "left_anti")
-        several = open_.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct("node", "n", "root")).alias("p")).where("r0 <> r1")
-        if turn < PIVOT_ROUNDS:
-            pivots = several.select("key", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.root").alias("rb"))
-            pivots = scratch.keep(pivots, "pivots")
-            pairs = open_.join(pivots, "key").where((F.col("root") != F.col("rb")) & (F.col("node") != F.col("b")) & close).select(F.col("node").alias("a"), "b").distinct()
-            now = pivots.select("key", F.col("b").alias("node"))
-            done = now if done is None else done.unionByName(now)
-        else:
-            rest = open_.join(several.select("key"), "key", "left_semi")
-            other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
-            pairs = rest.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb")) & close).select(F.col("node").alias("a"), "b").distinct()
-        pairs = scratch.keep(pairs, "pairs")
-        if not pairs.take(1):
-            if turn < PIVOT_ROUNDS and several.take(1):
-                continue
-            break
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = scratch.keep(_sets(docs, k, _KeyGate(spark, _positions(wanted, "node", gate_bits, 0x40DE), gate_bits)), "sets")
-        found = scratch.keep(_verify(pairs, sets, measure), "links")
-        scratch.drop(sets, pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(scratch, links)
-    return links if links is not None else spark.createDataFrame([], "a long, b long")
+    return resolve_lists(
+        scratch,
+        lists,
+        close=lambda n, m: F.least(n, m) * measure.den >= F.greatest(n, m) * measure.num,
+        fetch=lambda wanted: _sets(docs, k, KeyGate(spark, wanted, "node", NODES, gate_bits)),
+        linked=_Linked(measure),
+        rounds=PIVOT_ROUNDS,
+    )
 
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

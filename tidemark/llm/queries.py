@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, langid, quality, sharding, substring, warc
+from . import bpe, decontaminate, jaccard, langid, linededup, quality, sharding, substring, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -34,6 +34,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_substring": op4_substring,
     "op5_quality": op5_quality,
+    "op7_linededup": op7_linededup,
     "op8_bpe": op8_bpe,
     "op9_jaccard": op9_jaccard,
     "op10_warc": op10_warc,

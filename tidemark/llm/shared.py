@@ -6,11 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import wordhash as wh
+
 #: Bits of the fixed-size row gate (8 MB), whatever the size of the input.
 GATE_BITS = 1 << 26
 
@@ -57,36 +61,41 @@ class Scratch:
                 delete_path(self.spark, df._scratch)
 
 
-def gate_position(key: Column, bits: int = GATE_BITS) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(20_11)), F.lit(bits))
+def _bitmap(spark: SparkSession, positions: DataFrame, bits: int):
+    """The broadcast bitmap of the column p of positions."""
+    words = (
+        positions.select(F.shiftright("p", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
+        .groupBy("w")
+        .agg(F.bit_or("b").alias("b"))
+        .toPandas()
+    )
+    table = np.zeros(bits >> 6, np.int64)
+    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    return spark.sparkContext.broadcast(table.view(np.uint64))
 
 
 class Gate:
-    """A one-hash bitmap of fixed size over a set of keys.
+    """A one-hash bitmap of fixed size over a set of 64-bit marks; a mark's position is its low bits.
 
-    It answers "certainly not in the set" or "maybe". Joins use it to keep rows that cannot match out of a
-    shuffle; what it lets through is still joined exactly, so it never decides a result. Its size does not
-    depend on the data: a fuller bitmap only lets more rows through.
+    It answers "certainly not in the set" or "maybe", and keeps rows that cannot match out of a shuffle. What it lets
+    through is still matched exactly, so it never decides a result. Its size does not depend on the data: a fuller
+    bitmap only lets more rows through.
     """
 
-    def __init__(self, spark: SparkSession, keys: DataFrame, key: Column, bits: int = GATE_BITS):
-        pos = gate_position(key, bits)
-        words = (
-            keys.select(pos.alias("p"))
-            .select(F.shiftright("p", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
-            .groupBy("w")
-            .agg(F.bit_or("b").alias("b"))
-        )
-        table = np.zeros(bits >> 6, np.int64)
-        pdf = words.toPandas()
-        table[pdf["w"].to_numpy(np.int64)] = pdf["b"].to_numpy(np.int64)
-        self.bits, self.table = bits, spark.sparkContext.broadcast(table.view(np.uint64))
+    def __init__(self, spark: SparkSession, marks: DataFrame, bits: int = GATE_BITS):
+        self.bits, self.table = bits, _bitmap(spark, marks.select(F.col(marks.columns[0]).bitwiseAND(F.lit(bits - 1)).alias("p")), bits)
+
+
+class KeyGate:
+    """A Gate over 64-bit keys that are mixed with a salt first."""
 
-    def position(self, key: Column) -> Column:
-        return gate_position(key, self.bits)
+    def __init__(self, spark: SparkSession, df: DataFrame, column: str, salt: int, bits: int = GATE_BITS):
+        def run(batches):
+            for b in batches:
+                x = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array((wh.mix(x, salt) & np.uint64(bits - 1)).astype(np.int64))], names=["p"])
 
-    def test(self, positions: np.ndarray) -> np.ndarray:
-        return test_bits(self.table.value, positions)
+        self.bits, self.table = bits, _bitmap(spark, df.select(column).mapInArrow(run, "p long"), bits)
 
 
 def test_bits(table: np.ndarray, positions: np.ndarray) -> np.ndarray:
@@ -121,3 +130,62 @@ def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> Dat
         raise RuntimeError("components did not converge")
     found = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _verified(pairs: DataFrame, payloads: DataFrame, linked: Callable[[list[bytes], list[bytes]], list[int]]) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            keep = pa.array(linked(b.column(2).to_pylist(), b.column(3).to_pylist()), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
+
+    one = payloads.select(F.col("node").alias("a"), F.col("payload").alias("pa"))
+    two = payloads.select(F.col("node").alias("b"), F.col("payload").alias("pb"))
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
+
+
+def resolve_lists(
+    scratch: Scratch,
+    lists: DataFrame,
+    close: Callable[[Column, Column], Column],
+    fetch: Callable[[DataFrame], DataFrame],
+    linked: Callable[[list[bytes], list[bytes]], list[int]],
+    rounds: int,
+) -> DataFrame:
+    """Links (a, b) whose components are those of all linked pairs that share a list.
+
+    lists(key, node, n) holds each member once. In each of `rounds` rounds every list that holds several components
+    names a pivot, its other members are verified against that, and components contract; a pivot leaves its lists.
+    After that, pairs of different components that still share a list are verified. close(n, m) may rule out a pair by
+    its sizes, fetch(nodes) gives (node, payload), and linked() picks from two lists of payloads the pairs that link.
+    """
+    spark, links, done, labels = scratch.spark, None, None, None
+    for turn in range(rounds + 1):
+        open_ = lists
+        if labels is not None:
+            open_ = open_.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        else:
+            open_ = open_.withColumn("root", F.col("node"))
+        if done is not None:  # a pivot has been held against every member of its list
+            open_ = open_.join(done, ["key", "node"], "left_anti")
+        several = open_.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct("node", "n", "root")).alias("p")).where("r0 <> r1")
+        several = scratch.keep(several.select("key", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.root").alias("rb")), "pivots")
+        if not several.take(1):
+            break
+        if turn < rounds:
+            pairs = open_.join(several, "key").where((F.col("root") != F.col("rb")) & (F.col("node") != F.col("b")) & close(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), "b").distinct()
+            now = several.select("key", F.col("b").alias("node"))
+            done = now if done is None else done.unionByName(now)
+        else:
+            rest = scratch.keep(open_.join(several.select("key"), "key", "left_semi"), "rest")
+            other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
+            pairs = rest.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb")) & close(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), "b").distinct()
+        pairs = scratch.keep(pairs, "pairs")
+        if not pairs.take(1):
+            continue
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        payloads = scratch.keep(fetch(wanted), "payloads")
+        found = scratch.keep(_verified(pairs, payloads, linked), "links")
+        scratch.drop(payloads, pairs)
+        links = found if links is None else links.unionByName(found)
+        labels = components(scratch, links)
+    return links if links is not None else spark.createDataFrame([], "a long, b long")

@@ -83,17 +83,6 @@ def _run_mark(key: np.ndarray, at: np.ndarray) -> np.ndarray:
         return wh.mix(key.view(U) + at.astype(U) * U(0xD1342543DE82EF95), 0x4B)
 
 
-class _Marks(Gate):
-    """A gate over 64-bit marks whose positions are their low bits."""
-
-    def __init__(self, spark, marks: DataFrame, bits: int):
-        p = F.col(marks.columns[0]).bitwiseAND(F.lit(bits - 1))
-        words = marks.select(p.alias("p")).select(F.shiftright("p", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-        table = np.zeros(bits >> 6, np.int64)
-        table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-        self.bits, self.table = bits, spark.sparkContext.broadcast(table.view(U))
-
-
 def _minimizers(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,13 +138,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """(key, spans): for each row key of _keyed(docs) the edge runs (first edge, edges) that occur elsewhere too."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substring")
     twice = _minimizers(docs, window, anchor).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
-    found = scratch.keep(_paths_of(docs, window, anchor, _Marks(spark, twice, gate_bits)), "paths")
+    found = scratch.keep(_paths_of(docs, window, anchor, Gate(spark, twice, gate_bits)), "paths")
     variants = scratch.keep(found.groupBy("anchor", "path").agg(F.count(F.lit(1)).alias("c"), F.min("mark").alias("source")), "variants")
     buckets = variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("paths"), F.min("c").alias("least")).where("paths > 1 and least = 1").select("anchor")
     # one source of every path under a branching minimizer that has a path of one occurrence
     marks = variants.join(buckets, "anchor", "left_semi").select("source")
     whole = found.join(variants.where("c > 1").select("anchor", "path"), ["anchor", "path"], "left_semi").select("key", "at", "n")
-    edges = scratch.keep(_edges_of(docs, window, anchor, _Marks(spark, marks, gate_bits)), "edges")
+    edges = scratch.keep(_edges_of(docs, window, anchor, Gate(spark, marks, gate_bits)), "edges")
     again = edges.groupBy("anchor", "edge").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor", "edge")
     single = edges.join(again, ["anchor", "edge"], "left_semi").select("key", "at", F.lit(1).alias("n"))
     return whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
