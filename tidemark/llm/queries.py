@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, langid, linededup, quality, sharding, substring, warc
+from . import ann, bpe, decontaminate, jaccard, langid, linededup, quality, sharding, substring, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -34,6 +34,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_substring": op4_substring,
     "op5_quality": op5_quality,
+    "op6_ann": op6_ann,
     "op7_linededup": op7_linededup,
     "op8_bpe": op8_bpe,
     "op9_jaccard": op9_jaccard,
