@@ -127,7 +127,7 @@ def _rarity(docs: DataFrame, block: _Block) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), s, np.int32)), pa.array(some), pa.array(n[some])], names=["s", "at", "n"])
 
     rank = np.zeros(len(block.every), np.int64)
-    found = docs.select("text").mapInArrow(run, "s int, at long, n long").groupBy("s", "at").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select("text").mapInArrow(run, "s int, at long, n long").groupBy("s", "at").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     for s, keys in sizes.items():
         n, part = np.zeros(len(keys), np.int64), found[found["s"] == s]
         n[part["at"].to_numpy(np.int64)] = part["n"].to_numpy(np.int64)
@@ -229,7 +229,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     part = F.pmod(F.xxhash64("content"), F.lit(blocks))
 
     def load(k: int) -> _Block:
-        t = windows.where(part == k).toPandas()
+        t = windows.where(part == k).toArrow().to_pandas()
         return _Block(t["content"].tolist(), [list(x) for x in t["items"]], shingle)
 
     if blocks == 1:

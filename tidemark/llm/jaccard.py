@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .shared import KeyGate, Scratch, components, resolve_lists, test_bits
+from .shared import GATE_BITS, KeyGate, Scratch, components, resolve_lists, test_bits
 
 WORDS, NUM, DEN = 4, 85, 100
-MOST_FREQUENT = 1 << 20
+MOST_FREQUENT = 1 << 18
 #: A shingle in fewer prefixes than this is never held to be frequent.
 LEAST_FREQUENT = 8
 #: Rounds with pivots before the rest of the lists is worked off pair by pair.
@@ -239,7 +239,7 @@ def _boundary(nodes: DataFrame, counts: DataFrame, measure: Measure) -> int:
     return best
 
 
-def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, boundary: int | None = None, gate_bits: int = 1 << 26) -> DataFrame:
+def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, boundary: int | None = None, gate_bits: int = GATE_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text).
 
     component_id is the smallest doc_id that links reach, itself included. Letters A-Z are lower-cased; words are runs
@@ -276,8 +276,8 @@ def _links(spark, scratch: Scratch, docs: DataFrame, rows: DataFrame, k: int, me
         if total > MOST_FREQUENT or c < LEAST_FREQUENT:
             break
         least = c
-    frequent = plain.where(F.col("c") >= least).toPandas()
-    order = (frequent["key"].to_numpy(np.int64).view(U), frequent["c"].to_numpy(np.int64))
+    frequent = plain.where(F.col("c") >= least).toArrow()
+    order = (frequent["key"].to_numpy().view(U), frequent["c"].to_numpy())
     shared = counted(boundary, order)
     gate = KeyGate(spark, shared, "key", KEYS, gate_bits)
     lists = scratch.keep(_emit(docs, k, measure, boundary, order, gate, False).distinct(), "lists")

@@ -152,7 +152,7 @@ def train(docs: DataFrame, allowed: Column) -> Model:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(group)).take(pa.array(keep)), b.column(2).slice(at, len(group)).take(pa.array(keep)), pa.array([packed[i].tobytes() for i in keep], pa.binary())], names=["lang", "draw", "bits"])
                 at += len(group)
 
-    found = rows.where(F.col("draw") < share).mapInArrow(run, "lang string, draw long, bits binary").toPandas() if counts else None
+    found = rows.where(F.col("draw") < share).mapInArrow(run, "lang string, draw long, bits binary").toArrow().to_pandas() if counts else None
     if found is None or not len(found):
         return fit(np.zeros((0, WIDTH), bool), [])
     found = found.sort_values(["draw", "bits"], kind="stable").groupby("lang", sort=False).head(each)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import wordhash as wh
-from .shared import KeyGate, Scratch, components, resolve_lists, test_bits
+from .shared import GATE_BITS, KeyGate, Scratch, components, resolve_lists, test_bits
 
 EDITS, LEAST = 2, 32
 PIVOT_ROUNDS = 3
@@ -219,7 +219,7 @@ def classes(docs: DataFrame, edits: int, least: int, scratch: Scratch, gate_bits
     return occurrences, named.select("node", "root").join(lead, "root").select("node", F.col("f.ord").alias("ord0"), F.col("f.line").alias("line0"))
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, gate_bits: int = 1 << 26) -> DataFrame:
+def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, gate_bits: int = GATE_BITS) -> DataFrame:
     """docs with text, without all but the first occurrence of each class of near-copied lines; and n_lines, n_removed.
 
     Lines are what stands between line feeds, compared as they are, by characters. Lines under `least` characters,

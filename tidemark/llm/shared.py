@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 
-#: Bits of the fixed-size row gate (8 MB), whatever the size of the input.
-GATE_BITS = 1 << 26
+#: Bits of the fixed-size row gate (2 MB), whatever the size of the input.
+GATE_BITS = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,10 +67,10 @@ def _bitmap(spark: SparkSession, positions: DataFrame, bits: int):
         positions.select(F.shiftright("p", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
-        .toPandas()
+        .toArrow()
     )
     table = np.zeros(bits >> 6, np.int64)
-    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    table[words["w"].to_numpy()] = words["b"].to_numpy()
     return spark.sparkContext.broadcast(table.view(np.uint64))
 
 

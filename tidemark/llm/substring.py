@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import wordhash as wh
-from .shared import Gate, Scratch, test_bits
+from .shared import GATE_BITS, Gate, Scratch, test_bits
 
 WINDOW, ANCHOR = 35, 6
 _POS = (1 << 26) - 1
@@ -134,7 +134,7 @@ def _edges_of(docs: DataFrame, window: int, anchor: int, marks: Gate) -> DataFra
     return docs.select("text", "key").mapInArrow(run, "anchor long, edge long, key long, at int")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, gate_bits: int = 1 << 26) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, gate_bits: int = GATE_BITS) -> DataFrame:
     """(key, spans): for each row key of _keyed(docs) the edge runs (first edge, edges) that occur elsewhere too."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substring")
     twice = _minimizers(docs, window, anchor).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
@@ -150,7 +150,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     return whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
-def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, gate_bits: int = 1 << 26) -> DataFrame:
+def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, gate_bits: int = GATE_BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept of every row of docs(doc_id, text); kept is the kept words joined by one blank.
 
     Words are runs of anything but ASCII white space. A word goes if a window of `window` words over it starts anywhere
