@@ -51,8 +51,7 @@ def floor_low(s: DataFrame, cutoff: float, replacement: float) -> DataFrame:
 
 def impute_rows(s: DataFrame) -> DataFrame:
     """Missing cells take the median of their signal."""
-    s = s.withColumn("_m", model.median(X("x")))
-    return s.withColumn("x", F.transform("x", lambda v: F.coalesce(v, X("_m")))).drop("_m")
+    return s.withColumn("x", model.let(model.median(X("x")), lambda m: F.transform("x", lambda v: F.coalesce(v, m))))
 
 
 def impute_columns(s: DataFrame) -> DataFrame:

@@ -19,6 +19,11 @@ def to_long(signals: DataFrame, value: str = "x") -> DataFrame:
     return signals.select(*keys, F.posexplode(value).alias("t", "x"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: bound to a lambda variable, it is not copied into inner lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
 
@@ -33,18 +38,14 @@ def mean(x: Column) -> Column:
 
 def median(x: Column) -> Column:
     """Of the values that are present; NULL without any."""
-    s = F.array_sort(present(x))
-    n = F.size(s)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+    return let(F.array_sort(present(x)), lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2)
 
 
 def deviation(x: Column) -> Column:
     """Population standard deviation of the values that are present."""
-    m = mean(x)
-    return F.sqrt(mean(F.transform(x, lambda v: (v - m) * (v - m))))
+    return let(mean(x), lambda m: F.sqrt(mean(F.transform(x, lambda v: (v - m) * (v - m)))))
 
 
 def lower_quantile(values: Column, q: float) -> Column:
     """The order statistic at floor((n - 1) q) of an array."""
-    s = F.array_sort(values)
-    return F.get(s, F.floor((F.size(s) - 1) * F.lit(q)).cast("int"))
+    return let(F.array_sort(values), lambda s: F.get(s, F.floor((F.size(s) - 1) * F.lit(q)).cast("int")))

@@ -1,6 +1,6 @@
 """Lomb-Scargle periodograms and autocorrelations, a signal per row and without a shuffle.
 
-All signals share the grid, so the cosines and sines of every frequency are literals; a row folds its values over them
+All signals share the grid, so the cosines and sines of every frequency are one broadcast row; a signal folds its values over them
 into five sums, from which the phase and both projections follow.
 """
 
@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import model
+from .transform import to_unit
 
 #: Squared projections under this are rounding noise and count as zero.
 NOISE = 1e-10
@@ -27,10 +28,17 @@ def frequencies(times: list[float], oversampling: float = 1, upper: float = 1) -
     return [base] if count == 1 else [base + i * (last - base) / (count - 1) for i in range(count)]
 
 
-def _power(values: Column, times: list[float], freq: float) -> Column:
-    """Unscaled power at one frequency of values (mean-centred, NULL where missing)."""
-    waves = [(math.cos(2 * math.pi * freq * t), math.sin(2 * math.pi * freq * t)) for t in times]
-    table = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c, s in waves])
+def _waves(spark: SparkSession, times: list[float], freqs: list[float], turns: list[list[float]] | None = None) -> DataFrame:
+    """One row: `_w`, the cosine and sine of every frequency (outer) and time (inner), and `_q`, further weights.
+
+    As data of one broadcast row, the tables keep the expressions small whatever the grid.
+    """
+    table = [[(math.cos(2 * math.pi * f * t), math.sin(2 * math.pi * f * t)) for t in times] for f in freqs]
+    return F.broadcast(spark.createDataFrame([(table, turns or [])], "_w array<array<struct<c: double, s: double>>>, _q array<array<double>>"))
+
+
+def _power(values: Column, table: Column) -> Column:
+    """Unscaled power of values (mean-centred, NULL where missing) at the frequency of a table of waves."""
     zero = F.struct(*[F.lit(0.0).alias(k) for k in ("c", "s", "cc", "ss", "cs", "n")])
 
     def step(a: Column, p: Column) -> Column:
@@ -39,31 +47,32 @@ def _power(values: Column, times: list[float], freq: float) -> Column:
         return F.when(v.isNull(), a).otherwise(fresh)
 
     pairs = F.zip_with(values, table, lambda v, w: F.struct(v.alias("v"), w.alias("w")))
+    part = lambda num, den: F.when(num * num < NOISE, F.lit(0.0)).otherwise(F.try_divide(num * num, den))
 
     def close(a: Column) -> Column:
         theta = F.atan2(2 * a["cs"], a["cc"] - a["ss"] + a["n"] * 1e-20) / 2
-        co, si = F.cos(theta), F.sin(theta)
-        part = lambda num, den: F.when(num * num < NOISE, F.lit(0.0)).otherwise(F.try_divide(num * num, den))
-        cross = 2 * a["cs"] * co * si
-        return part(a["c"] * co + a["s"] * si, a["cc"] * co * co + cross + a["ss"] * si * si) + part(a["s"] * co - a["c"] * si, a["ss"] * co * co - cross + a["cc"] * si * si)
+        return model.let(F.struct(F.cos(theta).alias("co"), F.sin(theta).alias("si")), lambda r: _projections(a, r["co"], r["si"], part))
 
     return F.aggregate(pairs, zero, step, close)
 
 
+def _projections(a: Column, co: Column, si: Column, part) -> Column:
+    cross = 2 * a["cs"] * co * si
+    return part(a["c"] * co + a["s"] * si, a["cc"] * co * co + cross + a["ss"] * si * si) + part(a["s"] * co - a["c"] * si, a["ss"] * co * co - cross + a["cc"] * si * si)
+
+
 def _centred(x: Column) -> Column:
-    m = model.mean(x)
-    return F.transform(x, lambda v: v - m)
+    return model.let(model.mean(x), lambda m: F.transform(x, lambda v: v - m))
 
 
 def lomb_scargle(s: DataFrame, times: list[float], oversampling: float = 1, upper: float = 1, normalise: bool = False) -> DataFrame:
     """(id, x): power at frequencies(times), scaled by the sample variance; optionally of unit norm."""
     start = [t - times[0] for t in times]
     freqs = frequencies(times, oversampling, upper)
-    s = s.withColumn("_d", _centred(F.col("x"))).withColumn("_v", F.try_divide(model.total(F.transform("_d", lambda v: v * v)), F.size(F.array_compact("_d")) - 1))
-    s = s.withColumn("x", F.array(*[F.try_divide(_power(F.col("_d"), start, f), 2 * F.col("_v")) for f in freqs])).drop("_d", "_v")
-    if normalise:
-        s = s.withColumn("_n", F.sqrt(model.total(F.transform("x", lambda v: v * v)))).withColumn("x", F.transform("x", lambda v: F.try_divide(v, F.col("_n")))).drop("_n")
-    return s
+    variance = lambda d: F.try_divide(model.total(F.transform(d, lambda v: v * v)), F.size(F.array_compact(d)) - 1)
+    powers = lambda d: model.let(variance(d), lambda v: F.transform("_w", lambda w: F.try_divide(_power(d, w), 2 * v)))
+    s = s.join(_waves(s.sparkSession, start, freqs)).withColumn("x", model.let(_centred(F.col("x")), powers)).drop("_w", "_q")
+    return s.withColumn("x", to_unit(F.col("x"))) if normalise else s
 
 
 def autocorrelation(s: DataFrame, times: list[float]) -> DataFrame:
@@ -75,9 +84,11 @@ def autocorrelation(s: DataFrame, times: list[float]) -> DataFrame:
     padded = [t - times[0] for t in times] + [t + times[-1] - times[0] for t in times]
     window = max(padded) - min(padded)
     base = 1 / window
-    s = s.withColumn("_d", F.concat(_centred(F.col("x")), F.array_repeat(F.lit(0.0), n)))
-    s = s.withColumn("_p", F.array(*[_power(F.col("_d"), padded, 0.5 * base * m) for m in range(1, n + 1)]))
-    lags = (n + 1) // 2
-    value = lambda k: model.total(F.zip_with("_p", F.array(*[F.lit(math.cos(math.pi * (2 * k + 1) * m / (2 * (n + 1)))) for m in range(1, n + 1)]), lambda p, c: p * c))
-    s = s.withColumn("_a", F.array(*[value(k) for k in range(lags)]))
-    return s.withColumn("x", F.transform("_a", lambda v: F.try_divide(v, F.get("_a", F.lit(0))))).drop("_d", "_p", "_a")
+    freqs = [0.5 * base * m for m in range(1, n + 1)]
+    turns = [[math.cos(math.pi * (2 * k + 1) * m / (2 * (n + 1))) for m in range(1, n + 1)] for k in range((n + 1) // 2)]
+    spectrum = lambda d: F.transform("_w", lambda w: _power(d, w))
+    lags = lambda p: F.transform("_q", lambda q: model.total(F.zip_with(p, q, lambda u, c: u * c)))
+    ratio = lambda r: F.transform(r, lambda v: F.try_divide(v, F.get(r, F.lit(0))))
+    data = F.concat(_centred(F.col("x")), F.array_repeat(F.lit(0.0), n))
+    s = s.join(_waves(s.sparkSession, padded, freqs, turns))
+    return s.withColumn("x", model.let(data, lambda d: model.let(spectrum(d), lambda p: model.let(lags(p), ratio)))).drop("_w", "_q")

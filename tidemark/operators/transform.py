@@ -24,14 +24,17 @@ def compare_to_point(s: DataFrame, point: str | int | float = "first") -> DataFr
         if at is None:
             raise ValueError(f"unknown point {point!r}")
         ref = F.get("x", at)
-    return s.withColumn("_r", ref).withColumn("x", F.transform("x", lambda v: v - X("_r"))).drop("_r")
+    return s.withColumn("x", model.let(ref, lambda r: F.transform("x", lambda v: v - r)))
 
 
 def unit_norm(s: DataFrame, point: int | None = 0) -> DataFrame:
     """Relative to the reference point, divided by the Euclidean norm; constant signals become missing."""
     s = s if point is None else compare_to_point(s, point)
-    s = s.withColumn("_n", F.sqrt(model.total(F.transform("x", lambda v: v * v))))
-    return s.withColumn("x", F.transform("x", lambda v: F.try_divide(v, X("_n")))).drop("_n")
+    return s.withColumn("x", to_unit(X("x")))
+
+
+def to_unit(x: Column) -> Column:
+    return model.let(x, lambda y: model.let(F.sqrt(model.total(F.transform(y, lambda v: v * v))), lambda n: F.transform(y, lambda v: F.try_divide(v, n))))
 
 
 def compare_frames(a: DataFrame, b: DataFrame, op: Callable[[Column, Column], Column] = lambda p, q: p - q, on: tuple[str, ...] = ("id",), merge: str | None = None) -> DataFrame:
@@ -66,9 +69,10 @@ def modified_z_columns(s: DataFrame) -> DataFrame:
 
 
 def modified_z_rows(s: DataFrame) -> DataFrame:
-    s = s.withColumn("_med", model.median(X("x"))).withColumn("_mu", model.mean(X("x")))
-    s = s.withColumn("_mad", model.median(F.transform("x", lambda v: F.abs(v - X("_med"))))).withColumn("_ad", model.mean(F.transform("x", lambda v: F.abs(v - X("_mu")))))
-    return s.withColumn("x", F.transform("x", lambda v: _modified(v, X("_med"), X("_mad"), X("_ad")))).drop("_med", "_mu", "_mad", "_ad")
+    ends = F.struct(model.median(X("x")).alias("med"), model.mean(X("x")).alias("mu"))
+    spread = lambda e: F.struct(e["med"].alias("med"), model.median(F.transform("x", lambda v: F.abs(v - e["med"]))).alias("mad"), model.mean(F.transform("x", lambda v: F.abs(v - e["mu"]))).alias("ad"))
+    scored = lambda d: F.transform("x", lambda v: _modified(v, d["med"], d["mad"], d["ad"]))
+    return s.withColumn("x", model.let(ends, lambda e: model.let(spread(e), scored)))
 
 
 def box_cox(s: DataFrame, lam: float) -> DataFrame:
