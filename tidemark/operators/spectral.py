@@ -82,8 +82,7 @@ def autocorrelation(s: DataFrame, times: list[float]) -> DataFrame:
     """
     n = len(times)
     padded = [t - times[0] for t in times] + [t + times[-1] - times[0] for t in times]
-    window = max(padded) - min(padded)
-    base = 1 / window
+    base = 1 / (max(times) - min(times))
     freqs = [0.5 * base * m for m in range(1, n + 1)]
     turns = [[math.cos(math.pi * (2 * k + 1) * m / (2 * (n + 1))) for m in range(1, n + 1)] for k in range((n + 1) // 2)]
     spectrum = lambda d: F.transform("_w", lambda w: _power(d, w))

@@ -199,7 +199,7 @@ def _unit_sql(cte: str, name: str) -> str:
 
 def _acf_sql(cte: str, name: str, n: int) -> str:
     """From the CTE `un` or another of unit-norm cells: the padded spectrum, then its cosine transform."""
-    base = 1 / (2 * (n - 1))
+    base = 1 / (n - 1)
     freqs = [0.5 * base * m for m in range(1, n + 1)]
     return f"""{cte}, {_freq_sql(freqs)},
   d as (select id, cast(t as double) as t, x - avg(x) over (partition by id) as d from {name} where x is not null),
@@ -288,14 +288,13 @@ for _name, _high in (("c_spikes_max", True), ("c_spikes_min", False)):
 
 
 def _classes_sql() -> str:
-    real = _acf_sql(_unit_sql(a.SUPPLIERS_SQL, "sup"), "un", a.QUARTERS).replace("with ", "")
+    real = _acf_sql(_unit_sql(a.SUPPLIERS_SQL, "sup"), "un", a.QUARTERS)
     null = _acf_sql(_null_sql(a.SUPPLIERS_SQL, "sup", a.QUARTERS, SAMPLES), "nul", a.QUARTERS)
-    rename = lambda s: s
     nullq = f"(with {null}, {_CUTS.format(acf='acf')} select * from cuts)"
     limq = f"""(with {_null_sql(a.SUPPLIERS_SQL, 'sup', a.QUARTERS, SAMPLES)},
       ends as (select id, count(x) as n_obs, max(coalesce(x, 0)) as mx, min(coalesce(x, 0)) as mn from nul group by id)
       select n_obs, list_sort(list(mx))[cast(floor((count(*) - 1) * (1 - 0.05e0)) as integer) + 1] as hi, list_sort(list(mn))[cast(floor((count(*) - 1) * 0.05e0) as integer) + 1] as lo from ends group by n_obs)"""
-    return f"""with {rename(real)}, cut as {nullq}, lim as {limq},
+    return f"""with {real}, cut as {nullq}, lim as {limq},
       fl as (select id, min(acf.k) filter (where acf.k >= 1 and round(v, 9) > round(cut, 9)) as lag from acf join cut using (k) group by id),
       pt as (select id, count(x) as n_obs, max(coalesce(x, 0)) as mx, min(coalesce(x, 0)) as mn from un group by id)
       select pt.id, case when lag is not null then 'LAG' || lag when mx > hi or mx < lo then 'SpikeMax' when mn > hi or mn < lo then 'SpikeMin' end as trend_class
