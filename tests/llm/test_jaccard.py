@@ -74,3 +74,21 @@ def test_subset_sizes_cover_every_link():
             assert linked == (m.least_size(a) <= b)
             if linked and not a == b == o:
                 assert o in m.subset_sizes(a, 24) and o in m.subset_sizes(b, 24)
+
+
+def test_long_lists_of_unlinked_sets(spark, monkeypatch):
+    """Sets that share most shingles but aren't linked stay apart, and those that are linked aren't missed, whatever the parts."""
+    from tidemark.llm import shared
+
+    monkeypatch.setattr(shared, "LIST_PART", 7)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(60):
+        w = list(base)
+        for at in r.sample(range(120), 7 if i % 2 else 2):
+            w[at] = f"n{i}-{at}"
+        docs.append((i, " ".join(w)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.join(d, 1).collect())) == brute(docs, 1, 85, 100)
+    assert sorted(map(tuple, jaccard.join(d, 4).collect())) == brute(docs, 4, 85, 100)

@@ -1,0 +1,24 @@
+from tidemark.llm import linededup
+
+
+def brute_lines(docs, edits=linededup.EDITS, least=linededup.LEAST):
+    """(doc_id, text) without near-copied lines, by comparing every pair of lines."""
+    lines = [(d, i, x) for d, t in docs if t is not None for i, x in enumerate(t.split("\n")) if len(x) >= least]
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, (_, _, x) in enumerate(lines):
+        for j in range(i):
+            y = lines[j][2]
+            if abs(len(x) - len(y)) <= edits and find(i) != find(j) and linededup.within(x, y, edits):
+                root[find(i)] = find(j)
+    first = {}
+    for i, r in enumerate(lines):
+        first[find(i)] = min(first.get(find(i), r[:2]), r[:2])
+    gone = {r[:2] for i, r in enumerate(lines) if r[:2] != first[find(i)]}
+    return {(d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone)) for d, t in docs}
