@@ -163,10 +163,13 @@ def holds(rule: Rule, x: np.ndarray) -> np.ndarray:
 
 def lasso(a: np.ndarray, y: np.ndarray, penalty: float = LASSO, rounds: int = 600) -> tuple[np.ndarray, float]:
     """Weights and offset of the L1-penalised logistic regression, by accelerated proximal gradient steps."""
-    mean, spread = a.mean(0), np.maximum(a.std(0), 1e-3)
-    z = (a - mean) / spread
+    mean = a.mean(0)
+    spread = np.maximum(np.sqrt(mean * (1 - mean)), 1e-3)  # of columns of zeros and ones
+    z = a.astype(np.float32)
+    z -= mean.astype(np.float32)
+    z /= spread.astype(np.float32)
     n, m = z.shape
-    v = np.ones(m)
+    v = np.ones(m, np.float32)
     for _ in range(20):
         v = z.T @ (z @ v)
         v /= np.linalg.norm(v) or 1.0
@@ -175,11 +178,11 @@ def lasso(a: np.ndarray, y: np.ndarray, penalty: float = LASSO, rounds: int = 60
     for _ in range(rounds):
         t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         wy, by = w + (t - 1) / t1 * (w - w0), b + (t - 1) / t1 * (b - b0)
-        e = 1 / (1 + np.exp(-np.clip(z @ wy + by, -40, 40))) - y
+        e = (1 / (1 + np.exp(-np.clip(z @ wy.astype(np.float32) + by, -40, 40))) - y).astype(np.float32)
         w0, b0, t = w, b, t1
         w = wy - step * (z.T @ e) / n
         w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
-        b = by - step * e.mean()
+        b = by - step * float(e.mean())
     return w / spread, float(b - (w / spread) @ mean)
 
 
@@ -208,8 +211,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ensemble:
     if not rules:
         p = y.mean()
         return Ensemble([], float(np.log(p / (1 - p))))
-    a = np.stack([holds(r, x) for r in rules], 1).astype(np.float64)
-    _, lead = np.unique(a, axis=1, return_index=True)  # rules that hold for the same rows are one
+    a = np.stack([holds(r, x) for r in rules], 1)
+    _, lead = np.unique(np.packbits(a, axis=0).T, axis=0, return_index=True)  # rules that hold for the same rows are one
     lead.sort()
     w, b = lasso(a[:, lead], y.astype(float))
     return Ensemble([(rules[i], float(v)) for i, v in zip(lead.tolist(), w.tolist(), strict=True) if v], b)
