@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 
-PROJECTIONS, THRESHOLD = 64, 0.70
+PROJECTIONS, THRESHOLD = 40, 0.70
 #: Half of a window's width for radius 1: a vector at the radius is inside 83 of 100 windows.
 HALF_WIDTH = 1.36
-FIRST_RADIUS, STEP = 0.2, 1.25
+FIRST_RADIUS, STEP = 0.3, 2.0
 BLOCK, QUERIES = 8192, 1024
 SEED = 29
 
@@ -54,8 +54,11 @@ class Index:
         p = np.column_stack([self.x, rest]) @ self.lines
         self.order = np.argsort(p, 0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(p.T, self.order, 1)
-        self.flat, self.base = self.order.reshape(-1), np.arange(PROJECTIONS) * len(self.x)
-        self.rest = rest
+        self.flat = self.order.reshape(-1).astype(np.int32)
+        # one ascending array of all lines: each is shifted beyond the one before, so that one search serves them all
+        self.shift = np.arange(PROJECTIONS) * (4 * np.abs(p).max() + 1)
+        self.all = (self.sorted + self.shift[:, None]).reshape(-1)
+        self.first = np.arange(PROJECTIONS) * len(self.x)
 
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best that the windows find, best first, ties to the smaller id."""
@@ -63,35 +66,42 @@ class Index:
         scale = self.largest / np.linalg.norm(q)
         at = (q * scale) @ self.lines[:-1]
         counts = np.zeros(n, np.int64)
-        low = high = np.array([np.searchsorted(s, a) for s, a in zip(self.sorted, at, strict=True)])
+        place = lambda v, side: np.clip(np.searchsorted(self.all, np.clip(v, -2 * bound, 2 * bound) + self.shift, side), self.first, self.first + n)
+        bound = (self.shift[1] - 1) / 4
+        low = high = place(at, "left")
         seen = np.zeros(n, bool)
         near, score = np.zeros(0, np.int64), np.zeros(0)
         radius, need = FIRST_RADIUS * self.largest, int(np.ceil(THRESHOLD * PROJECTIONS))
         size = np.diff(self.start)
         while True:
             reach = HALF_WIDTH * radius
-            lo = np.array([np.searchsorted(s, a - reach, "left") for s, a in zip(self.sorted, at, strict=True)])
-            hi = np.array([np.searchsorted(s, a + reach, "right") for s, a in zip(self.sorted, at, strict=True)])
+            lo, hi = place(at - reach, "left"), place(at + reach, "right")
             lo, hi = np.minimum(lo, low), np.maximum(hi, high)
-            fresh = np.concatenate([wh.ranges(self.base + lo, low - lo), wh.ranges(self.base + high, hi - high)])
-            counts += np.bincount(self.flat[fresh], minlength=n)
+            if 2 * (hi - lo).sum() > len(self.flat):  # wide windows: count what is outside instead
+                outside = np.concatenate([wh.ranges(self.first, lo - self.first), wh.ranges(hi, self.first + n - hi)])
+                counts = PROJECTIONS - np.bincount(self.flat[outside], minlength=n)
+            else:
+                fresh = np.concatenate([wh.ranges(lo, low - lo), wh.ranges(high, hi - high)])
+                counts += np.bincount(self.flat[fresh], minlength=n)
             low, high = lo, hi
             found = np.flatnonzero((counts >= need) & ~seen)
             if len(found):
                 seen[found] = True
                 near = np.concatenate([near, found])
-                score = np.concatenate([score, (self.x[found] * q).sum(1)])
+                score = np.concatenate([score, (self.x @ q)[found] if 8 * len(found) > n else self.x[found] @ q])  # a copy of most rows costs more than all products
             if len(near) == n:
                 break
             if size[near].sum() > k:  # one of them may be the query itself
-                best = np.argsort(-score, kind="stable")
+                best = np.argpartition(-score, k)[: k + 1] if len(score) > k + 1 else np.arange(len(score))
+                best = best[np.argsort(-score[best], kind="stable")]
                 kth = score[best[min(int(np.searchsorted(np.cumsum(size[near[best]]), k + 1)), len(best) - 1)]]
                 if 2 * self.largest**2 - 2 * scale * kth <= radius**2:
                     break
             radius *= STEP
         if len(near) > 4 * k:
-            keep = score >= np.partition(score, -(k + 1))[-(k + 1)]
-            near, score = near[keep], score[keep]
+            keep = score >= np.partition(score, -(k + 1))[-(k + 1)] - 1e-9 * self.largest**2
+            near = near[keep]
+        score = (self.x[near] * q).sum(1)  # the same order of additions in every block, so that equal vectors tie
         take = np.minimum(size[near], k + 1)
         ids, scores = self.members[wh.ranges(self.start[near], take)], np.repeat(score, take)
         other = ids != own
