@@ -9,9 +9,10 @@ necessary prefix of their shingles, rare ones first. The boundary is where enume
 scanning the lists, by the counts of the corpus.
 
 A list is not expanded into its pairs. Each list names one pivot, every other member is verified against it, and
-components contract. Only lists that still hold several components go on; after a few such rounds the pairs that lie
-in different components are verified. So a group of n near copies costs about n verifications, and no link between
-different components stays untested.
+components contract. Only lists that still hold several components go on; after a few such rounds their members are
+compared in memory by parity sketches, whose distance is a lower bound of the sets' difference, and only pairs of
+different components that those can't rule out are verified. So a group of n near copies costs about n verifications,
+and no link between different components stays untested.
 
 Counts, orders and lists are over all documents. Frequent shingles are named by a list of at most MOST_FREQUENT
 entries, which is broadcast; it only orders shingles, so it decides cost and never results.
@@ -29,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .shared import GATE_BITS, KeyGate, Scratch, components, resolve_lists, test_bits
+from .shared import GATE_BITS, KeyGate, Scratch, components, parity_sketch, resolve_lists, test_bits
 
 WORDS, NUM, DEN = 4, 85, 100
 MOST_FREQUENT = 1 << 18
 #: A shingle in fewer prefixes than this is never held to be frequent.
 LEAST_FREQUENT = 8
 #: Rounds with pivots before the rest of the lists is worked off pair by pair.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
+#: Words of 64 bits of the sketch that rules out pairs.
+SKETCH_WORDS = 16
 #: Sets of this size or more are never enumerated: their subsets are too many at any price.
 MOST_LIGHT = 24
 U = np.uint64
@@ -106,6 +109,19 @@ def _nodes(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, docs.select("doc_id").withColumn("n", F.lit(0).cast("long")).withColumn("node", F.lit(None).cast("long")).schema)
 
 
+def _sketches(docs: DataFrame, k: int, gate: KeyGate) -> DataFrame:
+    bits, table = gate.bits, gate.table
+
+    def run(batches):
+        for _, sets in shingle_sets(batches, 0, k):
+            found = {node_of(s): s for s in sets if len(s)}
+            nodes = np.fromiter(found, np.int64, len(found))
+            keep = nodes[test_bits(table.value, wh.mix(nodes.view(U).copy(), NODES) & U(bits - 1))].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array([parity_sketch(found[x], SKETCH_WORDS) for x in keep], pa.binary())], names=["node", "sketch"])
+
+    return docs.select("text").mapInArrow(run, "node long, sketch binary").groupBy("node").agg(F.first("sketch").alias("sketch"))
+
+
 class _Order:
     """Rare shingles first: those that are not frequent by hash, then the frequent ones by frequency and hash."""
 
@@ -288,6 +304,8 @@ def _links(spark, scratch: Scratch, docs: DataFrame, rows: DataFrame, k: int, me
         close=lambda n, m: F.least(n, m) * measure.den >= F.greatest(n, m) * measure.num,
         fetch=lambda wanted: _sets(docs, k, KeyGate(spark, wanted, "node", NODES, gate_bits)),
         linked=_Linked(measure),
+        sketches=lambda wanted: _sketches(docs, k, KeyGate(spark, wanted, "node", NODES, gate_bits)),
+        most=lambda n, m: n + m - 2 * measure.overlap(n, m),
         rounds=PIVOT_ROUNDS,
     )
 

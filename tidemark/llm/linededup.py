@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import wordhash as wh
-from .shared import GATE_BITS, KeyGate, Scratch, components, resolve_lists, test_bits
+from .shared import GATE_BITS, KeyGate, Scratch, components, parity_sketch, resolve_lists, test_bits
 
 EDITS, LEAST = 2, 32
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
+#: Words of 64 bits of the sketch that rules out pairs.
+SKETCH_WORDS = 4
 KEYS, NODES = 0x11E5, 0x11E6
 U = np.uint64
 _PIECE = 1 << 19
@@ -190,6 +192,21 @@ def _texts(docs: DataFrame, least: int, gate: KeyGate) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, payload binary").groupBy("node").agg(F.first("payload").alias("payload"))
 
 
+def _sketches(docs: DataFrame, least: int, gate: KeyGate) -> DataFrame:
+    """Parities of the pairs of neighbouring characters: an edit changes at most two of either line."""
+    bits, table = gate.bits, gate.table
+
+    def run(batches):
+        for _, _, _, _, start, length, points, _, node in _long_lines(batches, 0, least):
+            _, once = np.unique(node, return_index=True)
+            once = once[test_bits(table.value, wh.mix(node[once], NODES) & U(bits - 1))]
+            pairs = points[:-1].astype(U) << U(32) | points[1:].astype(U)
+            out = [parity_sketch(pairs[s : s + n - 1], SKETCH_WORDS) for s, n in zip(start[once].tolist(), length[once].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(wh.signed(node[once])), pa.array(out, pa.binary())], names=["node", "sketch"])
+
+    return docs.select("text").mapInArrow(run, "node long, sketch binary").groupBy("node").agg(F.first("sketch").alias("sketch"))
+
+
 class _Linked:
     def __init__(self, edits: int):
         self.edits = edits
@@ -211,6 +228,8 @@ def classes(docs: DataFrame, edits: int, least: int, scratch: Scratch, gate_bits
         close=lambda n, m: F.abs(n - m) <= edits,
         fetch=lambda wanted: _texts(docs, least, KeyGate(docs.sparkSession, wanted, "node", NODES, gate_bits)),
         linked=_Linked(edits),
+        sketches=lambda wanted: _sketches(docs, least, KeyGate(docs.sparkSession, wanted, "node", NODES, gate_bits)),
+        most=lambda n, m: np.where(np.abs(n - m) <= edits, 4 * edits, -1),
         rounds=PIVOT_ROUNDS,
     )
     labels = components(scratch, links)

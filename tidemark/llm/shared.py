@@ -111,7 +111,7 @@ def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> Dat
     A null or empty edge set gives no rows. Nodes may be of any ordered type.
     """
     pairs = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs, last = scratch.keep(pairs, "links"), None
+    pairs = scratch.keep(pairs, "links")
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
@@ -120,12 +120,12 @@ def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> Dat
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = scratch.keep(small, "small")
-        state = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         scratch.drop(pairs, large)
         pairs = small
-        if tuple(state) == last:
+        # done once every node points at one other, which points nowhere
+        ends = small.select(F.col("a").alias("n"), F.lit(1).alias("p"), F.lit(0).alias("q")).unionAll(small.select("b", F.lit(0), F.lit(1)))
+        if not ends.groupBy("n").agg(F.sum("p").alias("p"), F.max("q").alias("q")).where("p > 1 or (p > 0 and q > 0)").take(1):
             break
-        last = tuple(state)
     else:
         raise RuntimeError("components did not converge")
     found = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -143,20 +143,96 @@ def _verified(pairs: DataFrame, payloads: DataFrame, linked: Callable[[list[byte
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
+#: Members of a list that are compared at once; a longer list is cut into parts, and pairs of parts are compared.
+LIST_PART = 1024
+
+
+def parity_sketch(tokens: np.ndarray, words: int) -> bytes:
+    """Bit i of 64 * words is the parity of the tokens that hash to i, so two sketches differ in no more bits than their sets in tokens."""
+    places = (wh.mix(tokens, 0x5EC7) >> np.uint64(20)) % np.uint64(64 * words)
+    odd = (np.bincount(places.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def _near_pairs(rest: DataFrame, most: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Pairs (a, b) of different components in the lists of rest(key, node, n, root, sketch, c) whose sketches don't rule them out.
+
+    No pair is made as a row before it is tested: rows are sorted by list and part, and each group of at most
+    2 * LIST_PART members is compared in memory.
+    """
+    parts = F.ceil(F.col("c") / LIST_PART).cast("int")
+    rows = rest.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("key", F.least("own", "q").alias("lo"), F.greatest("own", "q").alias("hi"), "own", "node", "n", "root", "sketch")
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def compare(t: pa.Table, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        node, n, root, own = (t[c][i:j] for c in ("node", "n", "root", "own"))
+        sketch = t["sketch"][i:j]
+        lo, hi = t["lo"][i], t["hi"][i]
+        out_a, out_b = [], []
+        right = np.arange(j - i) if lo == hi else np.flatnonzero(own == hi)
+        left = right if lo == hi else np.flatnonzero(own == lo)
+        for x in range(0, len(left), 128):
+            some = left[x : x + 128]
+            far = np.bitwise_count(sketch[some][:, None, :] ^ sketch[right][None]).sum(2, dtype=np.int64)
+            ok = (root[some][:, None] != root[right][None]) & (far <= most(n[some][:, None], n[right][None]))
+            if lo == hi:
+                ok &= node[some][:, None] < node[right][None]
+            p, q = np.nonzero(ok)
+            out_a.append(node[some[p]])
+            out_b.append(node[right[q]])
+        none = np.zeros(0, np.int64)
+        a, b = np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches):
+        held = None
+        for b in _with_end(batches):
+            if b is not None:
+                cols = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi", "own", "node", "n", "root")}
+                raw = b.column("sketch")
+                width = len(raw[0].as_py()) // 8 if len(raw) else 1
+                cols["sketch"] = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(len(raw), width)
+                held = cols if held is None else {c: np.concatenate([held[c], cols[c]]) for c in cols}
+                if not len(held["key"]):
+                    continue
+            if held is None or not len(held["key"]):
+                continue
+            new = np.ones(len(held["key"]), bool)
+            new[1:] = (held["key"][1:] != held["key"][:-1]) | (held["lo"][1:] != held["lo"][:-1]) | (held["hi"][1:] != held["hi"][:-1])
+            at = np.append(np.flatnonzero(new), len(new))
+            last = len(at) - 1 if b is None else len(at) - 2  # the last group may go on in the next batch
+            pairs = [compare(held, i, j) for i, j in zip(at[:last].tolist(), at[1 : last + 1].tolist(), strict=True) if j - i > 1]
+            held = {c: v[at[last] :] for c, v in held.items()} if b is not None else None
+            if pairs:
+                found = np.unique(np.stack([np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
 def resolve_lists(
     scratch: Scratch,
     lists: DataFrame,
     close: Callable[[Column, Column], Column],
     fetch: Callable[[DataFrame], DataFrame],
     linked: Callable[[list[bytes], list[bytes]], list[int]],
+    sketches: Callable[[DataFrame], DataFrame],
+    most: Callable[[np.ndarray, np.ndarray], np.ndarray],
     rounds: int,
 ) -> DataFrame:
     """Links (a, b) whose components are those of all linked pairs that share a list.
 
     lists(key, node, n) holds each member once. In each of `rounds` rounds every list that holds several components
     names a pivot, its other members are verified against that, and components contract; a pivot leaves its lists.
-    After that, pairs of different components that still share a list are verified. close(n, m) may rule out a pair by
-    its sizes, fetch(nodes) gives (node, payload), and linked() picks from two lists of payloads the pairs that link.
+    After that, pairs of different components that still share a list are compared by what sketches(nodes) gives, (node, sketch), and
+    those that differ in no more than most(n, m) bits are verified. close(n, m) may rule out a pair by its sizes,
+    fetch(nodes) gives (node, payload), and linked() picks from two lists of payloads the pairs that link.
     """
     spark, links, done, labels = scratch.spark, None, None, None
     for turn in range(rounds + 1):
@@ -167,8 +243,8 @@ def resolve_lists(
             open_ = open_.withColumn("root", F.col("node"))
         if done is not None:  # a pivot has been held against every member of its list
             open_ = open_.join(done, ["key", "node"], "left_anti")
-        several = open_.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct("node", "n", "root")).alias("p")).where("r0 <> r1")
-        several = scratch.keep(several.select("key", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.root").alias("rb")), "pivots")
+        several = open_.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct("node", "n", "root")).alias("p"), F.count(F.lit(1)).alias("c")).where("r0 <> r1")
+        several = scratch.keep(several.select("key", "c", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.root").alias("rb")), "pivots")
         if not several.take(1):
             break
         if turn < rounds:
@@ -176,9 +252,9 @@ def resolve_lists(
             now = several.select("key", F.col("b").alias("node"))
             done = now if done is None else done.unionByName(now)
         else:
-            rest = scratch.keep(open_.join(several.select("key"), "key", "left_semi"), "rest")
-            other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
-            pairs = rest.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb")) & close(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), "b").distinct()
+            rest = scratch.keep(open_.join(several.select("key", "c"), "key").select("key", "node", "n", "root", "c"), "rest")
+            known = scratch.keep(sketches(rest.select("node").distinct()), "sketches")
+            pairs = _near_pairs(rest.join(known, "node").select("key", "node", "n", "root", "sketch", "c"), most)
         pairs = scratch.keep(pairs, "pairs")
         if not pairs.take(1):
             continue
