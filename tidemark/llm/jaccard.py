@@ -37,7 +37,7 @@ MOST_FREQUENT = 1 << 18
 #: A shingle in fewer prefixes than this is never held to be frequent.
 LEAST_FREQUENT = 8
 #: Rounds with pivots before the rest of the lists is worked off pair by pair.
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 #: Words of 64 bits of the sketch that rules out pairs.
 SKETCH_WORDS = 16
 #: Sets of this size or more are never enumerated: their subsets are too many at any price.

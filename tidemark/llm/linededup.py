@@ -22,7 +22,7 @@ from . import wordhash as wh
 from .shared import GATE_BITS, KeyGate, Scratch, components, parity_sketch, resolve_lists, test_bits
 
 EDITS, LEAST = 2, 32
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 #: Words of 64 bits of the sketch that rules out pairs.
 SKETCH_WORDS = 4
 KEYS, NODES = 0x11E5, 0x11E6
@@ -217,7 +217,7 @@ class _Linked:
 
 def classes(docs: DataFrame, edits: int, least: int, scratch: Scratch, gate_bits: int) -> tuple[DataFrame, DataFrame]:
     """(occurrences of long lines, (node, ord, line) of the first occurrence of each class that has several)."""
-    occurrences = _occurrences(docs, least)
+    occurrences = scratch.keep(_occurrences(docs, least), "occurrences")
     first = scratch.keep(occurrences.groupBy("node").agg(F.min(F.struct("ord", "line")).alias("f"), F.max(F.struct("ord", "line")).alias("l")), "lines")
     shared = _emit(docs, edits, least, None).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     gate = KeyGate(docs.sparkSession, shared, "key", KEYS, gate_bits)

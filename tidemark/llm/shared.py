@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 
-#: Bits of the fixed-size row gate (2 MB), whatever the size of the input.
-GATE_BITS = 1 << 24
+#: Bits of the fixed-size row gate (8 MB), whatever the size of the input.
+GATE_BITS = 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
