@@ -179,6 +179,10 @@ def _emit(docs: DataFrame, edits: int, least: int, gate: KeyGate | None) -> Data
     return docs.select("text").mapInArrow(run, "key long, node long, n int" if gate else "key long")
 
 
+def _raw(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[bytes]:
+    return [points[s : s + n].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for s, n in zip(start.tolist(), length.tolist(), strict=True)]
+
+
 def _texts(docs: DataFrame, least: int, gate: KeyGate) -> DataFrame:
     bits, table = gate.bits, gate.table
 
@@ -186,14 +190,13 @@ def _texts(docs: DataFrame, least: int, gate: KeyGate) -> DataFrame:
         for _, _, _, _, start, length, points, _, node in _long_lines(batches, 0, least):
             _, once = np.unique(node, return_index=True)
             once = once[test_bits(table.value, wh.mix(node[once], NODES) & U(bits - 1))]
-            raw = [points[s : s + n].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for s, n in zip(start[once].tolist(), length[once].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(wh.signed(node[once])), pa.array(raw, pa.binary())], names=["node", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array(wh.signed(node[once])), pa.array(_raw(points, start[once], length[once]), pa.binary())], names=["node", "payload"])
 
     return docs.select("text").mapInArrow(run, "node long, payload binary").groupBy("node").agg(F.first("payload").alias("payload"))
 
 
 def _sketches(docs: DataFrame, least: int, gate: KeyGate) -> DataFrame:
-    """Parities of the pairs of neighbouring characters: an edit changes at most two of either line."""
+    """Parities of the pairs of neighbouring characters (an edit changes at most two of either line), and the lines, in one reading of the texts."""
     bits, table = gate.bits, gate.table
 
     def run(batches):
@@ -202,9 +205,9 @@ def _sketches(docs: DataFrame, least: int, gate: KeyGate) -> DataFrame:
             once = once[test_bits(table.value, wh.mix(node[once], NODES) & U(bits - 1))]
             pairs = points[:-1].astype(U) << U(32) | points[1:].astype(U)
             out = [parity_sketch(pairs[s : s + n - 1], SKETCH_WORDS) for s, n in zip(start[once].tolist(), length[once].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(wh.signed(node[once])), pa.array(out, pa.binary())], names=["node", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(wh.signed(node[once])), pa.array(out, pa.binary()), pa.array(_raw(points, start[once], length[once]), pa.binary())], names=["node", "sketch", "payload"])
 
-    return docs.select("text").mapInArrow(run, "node long, sketch binary").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    return docs.select("text").mapInArrow(run, "node long, sketch binary, payload binary").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("payload").alias("payload"))
 
 
 class _Linked:

@@ -231,10 +231,10 @@ def resolve_lists(
     lists(key, node, n) holds each member once. In each of `rounds` rounds every list that holds several components
     names a pivot, its other members are verified against that, and components contract; a pivot leaves its lists.
     After that, pairs of different components that still share a list are compared by what sketches(nodes) gives, (node, sketch), and
-    those that differ in no more than most(n, m) bits are verified. close(n, m) may rule out a pair by its sizes,
+    those that differ in no more than most(n, m) bits are verified; payloads that come with the sketches save a fetch. close(n, m) may rule out a pair by its sizes,
     fetch(nodes) gives (node, payload), and linked() picks from two lists of payloads the pairs that link.
     """
-    spark, links, done, labels = scratch.spark, None, None, None
+    spark, links, done, labels, known = scratch.spark, None, None, None, None
     for turn in range(rounds + 1):
         open_ = lists
         if labels is not None:
@@ -258,10 +258,15 @@ def resolve_lists(
         pairs = scratch.keep(pairs, "pairs")
         if not pairs.take(1):
             continue
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        payloads = scratch.keep(fetch(wanted), "payloads")
+        if known is not None and "payload" in known.columns:
+            payloads = known
+        else:
+            wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+            payloads = scratch.keep(fetch(wanted), "payloads")
         found = scratch.keep(_verified(pairs, payloads, linked), "links")
         scratch.drop(payloads, pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(scratch, links)
+        # the labels stand for the links that gave them
+        links = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        if turn < rounds:
+            labels = components(scratch, links)
     return links if links is not None else spark.createDataFrame([], "a long, b long")
