@@ -43,6 +43,8 @@ def test_frames(spark):
     assert len(out) == 5
     for r in out:
         assert r.ids == TRUTH.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
+    both = bpe.encode(docs, PATH, P.PATTERN, decoded="decoded").collect()
+    assert [(r.ids, bytes(r.decoded)) for r in both] == [(r.ids, bytes(r.decoded)) for r in out]
     for r, (i, t, _) in zip(bpe.digests(docs, PATH, P.PATTERN).collect(), rows, strict=True):
         ids = TRUTH.encode_ordinary(t or "")
         assert (r.doc_id, r.n_tokens) == (i, len(ids))

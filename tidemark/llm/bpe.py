@@ -242,29 +242,38 @@ def _vocabulary(spark, path: str, pattern: str) -> _Shared:
         return _Shared(spark.sparkContext.broadcast((f.read(), pattern)))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with a column of token ids (array<int>).
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with a column of token ids (array<int>), and with the bytes decoded from them if `decoded` names a column.
 
     Whole texts of any length; a null text counts as empty and gives no ids. All other columns stay; a column that is
-    already named `ids` is replaced. Repeated rows each get their ids; an empty table stays empty.
+    already named `ids` or `decoded` is replaced. Repeated rows each get their ids; an empty table stays empty. To
+    decode in the same pass costs no second set of Python workers.
     """
     shared = _vocabulary(docs.sparkSession, path, pattern)
-    docs = docs.drop(ids) if ids != text else docs
-    schema = StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))])
+    docs = docs.drop(*(c for c in (ids, decoded) if c and c != text))
+    more = [StructField(ids, ArrayType(IntegerType()))] + ([StructField(decoded, BinaryType())] if decoded else [])
+    schema = StructType([*docs.schema.fields, *more])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared)
         for b in batches:
-            values, lengths = [], [0]
+            done = 0
             for group in coder.groups(x or "" for x in b.column(at).to_pylist()):
+                values, lengths, raw = [], [0], []
                 for cut in coder.learn(group):
-                    parts = [coder.known[p][3] for p in cut]
-                    flat = np.fromiter((i for x in parts for i in x), np.int32)
+                    found = list(map(coder.known.__getitem__, cut))
+                    flat = np.fromiter((i for x in found for i in x[3]), np.int32)
                     values.append(flat)
                     lengths.append(lengths[-1] + len(flat))
-            column = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*b.schema.names, ids])
+                    if decoded:
+                        raw.append(b"".join([x[2] for x in found]))
+                columns = [pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(values)))]
+                if decoded:
+                    columns.append(pa.array(raw, pa.binary()))
+                # a batch of about a million characters at a time goes out
+                yield pa.RecordBatch.from_arrays([*b.slice(done, len(group)).columns, *columns], names=schema.names)
+                done += len(group)
 
     return docs.mapInArrow(run, schema)
 
