@@ -12,14 +12,14 @@ from tidemark.llm import bpe, decontaminate, jaccard, langid, linededup
 from tidemark.llm.shared import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text whose best language scores less than this belongs to none of the learned ones.
+#: A text whose best language scores less than this is too mixed to belong to one; with L languages a best score is 1/L at least.
 LEAST_SCORE = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or in none of the learned languages; `lang` becomes the predicted one."""
     model = langid.train(docs, ~langid.held_out())
-    found = langid.classify(docs.select(*COLUMNS), model)
+    found = langid.classify(docs.select(*COLUMNS), model, strict=True)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

@@ -4,6 +4,10 @@ A text is the set of its letter n-grams (n = 1, 2, 3; presence, not counts), has
 blended-spectrum kernel of two texts is the mean over the orders of the normalised number of shared n-grams. LANDMARKS
 labelled texts give a Nystroem feature map, kernel ridge regression fits one score per language against the rest, and
 a batch of texts is scored by two matrix products: with the landmarks' sets, and with the weights.
+
+The scores of the languages sum to the same number for any text, so the best one says nothing about texts in a language
+that was not learned. Those are told by the share of their 2- and 3-grams that no learned text of the predicted language
+has; how large that share is for a text of the language comes from the learned texts, each against the others.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ LANDMARKS = 256
 #: The bound of the training sample: labelled texts per language, and in all.
 PER_LANGUAGE, MOST_TEXTS = 500, 6_000
 RIDGE = 1e-3
+#: A text is foreign if its unseen share is over SLACK times that which SHARE_OVER of the learned texts exceed, by over MOST_STRAY n-grams.
+SHARE_OVER, SLACK, MOST_STRAY = 0.001, 1.5, 2
 UNKNOWN = "und"
 U = np.uint64
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -88,21 +94,34 @@ class Model:
     landmarks: np.ndarray
     weights: np.ndarray
     offset: np.ndarray
-
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    #: (languages x places of 2- and 3-grams), and the unseen share that a text of each language may have
+    seen: np.ndarray
+    stray: np.ndarray
+
+    def foreign(self, bits: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Whether texts have more n-grams that their language lacks than its own texts do."""
+        grams = bits[:, BUCKETS[0] :].astype(np.float32)
+        size = grams.sum(1)
+        unseen = size - (grams @ self.seen.T)[np.arange(len(best)), best]
+        return unseen > self.stray[best] * size + MOST_STRAY
+
+    def predict(self, texts: list[str], strict: bool = False) -> tuple[list[str], np.ndarray]:
+        """(languages, scores); if strict, texts in a language that was not learned are unknown too."""
         bits, known = presence(texts)
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         f = (normalised(bits) @ self.landmarks.T).astype(np.float64) @ self.weights + self.offset
         best = f.argmax(1)
         score = np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1)
+        if strict:
+            known = known & ~self.foreign(bits, best)
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0)
 
 
 def fit(bits: np.ndarray, names: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     languages = sorted(set(names))
     if not languages:
-        return Model([], np.zeros((0, WIDTH), np.float32), np.zeros((0, 0)), np.zeros(0))
+        return Model([], np.zeros((0, WIDTH), np.float32), np.zeros((0, 0)), np.zeros(0), np.zeros((0, WIDTH - BUCKETS[0]), np.float32), np.zeros(0))
     y = np.array([languages.index(x) for x in names])
     each = max(1, landmarks // len(languages))
     chosen = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(languages))])
@@ -118,7 +137,24 @@ def fit(bits: np.ndarray, names: list[str], landmarks: int = LANDMARKS, ridge: f
     mean, middle = (phi * share[:, None]).sum(0) / share.sum(), (target * share[:, None]).sum(0) / share.sum()
     p, t = phi - mean, target - middle
     beta = np.linalg.solve(p.T @ (p * share[:, None]) + ridge * np.eye(p.shape[1]), p.T @ (t * share[:, None]))
-    return Model(languages, marks, root @ beta, middle - mean @ beta)
+    weights, offset = root @ beta, middle - mean @ beta
+    best = ((x @ marks.T).astype(np.float64) @ weights + offset).argmax(1)
+    return Model(languages, marks, weights, offset, *_vocabulary(bits, y, best, len(languages)))
+
+
+def _vocabulary(bits: np.ndarray, y: np.ndarray, best: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """(seen, stray): the 2- and 3-grams of each language, and its limit of unseen ones; a text does not vouch for itself."""
+    grams = bits[:, BUCKETS[0] :]
+    count = np.stack([grams[y == k].sum(0) for k in range(languages)])
+    stray = np.ones(languages)
+    for k in range(languages):
+        shares = []
+        for i in np.flatnonzero(best == k):
+            had = count[k][grams[i]]
+            shares.append((had <= (y[i] == k)).mean() if len(had) else 0.0)
+        if shares:
+            stray[k] = SLACK * np.quantile(shares, 1 - SHARE_OVER, method="higher")
+    return (count > 0).astype(np.float32), stray
 
 
 def _groups(texts: list[str], most: int = 64, chars: int = 1 << 19) -> Iterator[list[str]]:
@@ -165,10 +201,11 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
+def classify(docs: DataFrame, model: Model, strict: bool = False) -> DataFrame:
     """docs with lang_pred and score (0 to 1) for the whole text of every row.
 
-    Texts that are null or without a letter are `und` with score 0, as is every text if nothing could be learned.
+    Texts that are null or without a letter are `und` with score 0, as is every text if nothing could be learned. If
+    strict, so are texts in a language that was not learned, and gibberish.
     Columns that already have these names are replaced; repeated rows get equal answers; empty tables stay empty.
     """
     docs = docs.drop("lang_pred", "score")
@@ -180,7 +217,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             names, scores = [], []
             for group in _groups([t or "" for t in b.column(at).to_pylist()]):
-                n, s = shared.value.predict(group)
+                n, s = shared.value.predict(group, strict)
                 names += n
                 scores += s.tolist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
