@@ -1,33 +1,62 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines of at least LEAST characters are near copies if at most EDITS insertions, deletions or substitutions of
-characters turn one into the other. A line is cut into EDITS + 1 segments; EDITS edits leave one of them whole, so a
-near copy holds it at one of a few places, which follow from the two lengths. Every line is entered under its own
-segments (with length and number) and probes the segments that lines of its length and up to EDITS shorter would have.
-Lines that meet are verified by a banded bit-parallel edit distance. Of each class of connected lines only the first
-occurrence, by document and line, stays.
+Two lines are near copies if so many insertions, deletions or substitutions of characters turn one into the other as
+the shorter may have: none under LEAST characters (exact copies only; blank lines stay), EDITS from there, and one more
+at GROWS characters and at each doubling of that. A line that may have e edits is cut into e + 1 segments; e edits leave
+one of them whole, so a near copy holds it at one of a few places, which follow from the two lengths. Every line is
+entered under its own segments (with length and number) and probes the segments that lines of its length and shorter
+ones in reach would have. Lines that meet are verified by a banded bit-parallel edit distance. Of each class of
+connected lines only the first occurrence, by document and line, stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import wordhash as wh
 from .shared import GATE_BITS, KeyGate, Scratch, components, parity_sketch, resolve_lists, test_bits
 
-EDITS, LEAST = 2, 32
+EDITS, LEAST, GROWS = 2, 32, 256
 PIVOT_ROUNDS = 1
 #: Words of 64 bits of the sketch that rules out pairs.
 SKETCH_WORDS = 4
 KEYS, NODES = 0x11E5, 0x11E6
 U = np.uint64
 _PIECE = 1 << 19
+_BLANK = np.array([i for i in range(0x3001) if chr(i).isspace()], np.uint32)
+
+
+@dataclass(frozen=True)
+class Budget:
+    """Edits that a pair may be apart, by the length of its shorter line; the same for all lengths if `edits` is given."""
+
+    edits: int | None
+    least: int
+
+    @property
+    def exact(self) -> bool:
+        """Whether shorter lines than `least` are compared as well, as they are."""
+        return self.edits is None
+
+    def of(self, n: np.ndarray) -> np.ndarray:
+        n = np.asarray(n)
+        if self.edits is not None:
+            return np.full(n.shape, self.edits)
+        # frexp gives the number of binary digits
+        return np.where(n < self.least, 0, EDITS + np.maximum(np.frexp(np.maximum(n, 1) / (GROWS // 2))[1] - 1, 0))
+
+    def column(self, n: Column) -> Column:
+        if self.edits is not None:
+            return F.lit(self.edits)
+        digits = F.length(F.bin(F.floor(n / (GROWS // 2))))
+        return F.when(n < self.least, 0).otherwise(EDITS + F.greatest(digits - 1, F.lit(0)))
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -121,55 +150,68 @@ def segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndar
     return i * base + np.maximum(0, i - plain), base + (i >= plain)
 
 
-def _signatures(start: np.ndarray, length: np.ndarray, h: _Hasher, edits: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _signatures(start: np.ndarray, length: np.ndarray, h: _Hasher, budget: Budget) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, keys): the segments of each line, and the substrings that it probes for (multi-match-aware places)."""
-    for shorter in range(edits + 1):
+    if not len(length):
+        return
+    for shorter in range(int(budget.of(length).max()) + 1):
         other = length - shorter
-        for i in range(edits + 1):
-            at, size = segment(other, i, edits)
-            low = max(-i, shorter - (edits - i))
-            high = min(i, shorter + (edits - i))
-            for move in range(low, high + 1):
-                place = at + move
-                ok = np.flatnonzero((other >= least) & (place >= 0) & (place + size <= length))
-                yield ok, h.get(start[ok] + place[ok], size[ok], (other[ok] * 8 + i) * 2 + 1)
-
-
-def _long_lines(batches: Iterator[pa.RecordBatch], column: int, least: int):
+        allowed = np.where(other >= budget.least, budget.of(np.maximum(other, 0)), -1)
+        for edits in np.unique(allowed[allowed >= shorter]).tolist():
+            rows = np.flatnonzero(allowed == edits)
+            for i in range(edits + 1):
+                at, size = segment(other[rows], i, edits)
+                low = max(-i, shorter - (edits - i))
+                high = min(i, shorter + (edits - i))
+                for move in range(low, high + 1):
+                    place = at + move
+                    fits = np.flatnonzero((place >= 0) & (place + size <= length[rows]))
+                    ok = rows[fits]
+                    yield ok, h.get(start[ok] + place[fits], size[fits], (other[ok] * 64 + i) * 2 + 1)
+
+
+def _long_lines(batches: Iterator[pa.RecordBatch], column: int, least: int, short: bool = False):
+    """The lines of `least` characters or more; with short, also shorter ones that are not blank."""
     for b in batches:
         for at, _, part, offs in wh.pieces(*wh.strings(b.column(column)), _PIECE):
             owner, number, start, length, points = _lines(part, offs)
             h = _Hasher(points)
-            keep = np.flatnonzero(length >= least)
+            fine = length >= least
+            if short:
+                marks = np.concatenate([[0], np.cumsum(~np.isin(points, _BLANK))])
+                fine |= marks[start + length] > marks[start]
+            keep = np.flatnonzero(fine)
             owner, number, start, length = owner[keep], number[keep], start[keep], length[keep]
             yield b, at, owner, number, start, length, points, h, h.get(start, length, 0)
 
 
-def _occurrences(docs: DataFrame, least: int) -> DataFrame:
+def _occurrences(docs: DataFrame, budget: Budget) -> DataFrame:
     def run(batches):
-        for b, at, owner, number, _, length, _, _, node in _long_lines(batches, 0, least):
+        for b, at, owner, number, _, length, _, _, node in _long_lines(batches, 0, budget.least, budget.exact):
             rows = pa.array(at + owner)
             yield pa.RecordBatch.from_arrays([pa.array(wh.signed(node)), b.column(1).take(rows), b.column(2).take(rows), pa.array(number.astype(np.int32))], names=["node", "key", "ord", "line"])
 
     return docs.select("text", "key", "ord").mapInArrow(run, "node long, key long, ord long, line int")
 
 
-def _emit(docs: DataFrame, edits: int, least: int, gate: KeyGate | None) -> DataFrame:
+def _emit(docs: DataFrame, budget: Budget, gate: KeyGate | None) -> DataFrame:
     """The keys of all lines, each line once a batch; with a gate (key, node, n) of those that may have company."""
     bits, table = (gate.bits, gate.table) if gate else (0, None)
 
     def run(batches):
-        for _, _, _, _, start, length, _, h, node in _long_lines(batches, 0, least):
+        for _, _, _, _, start, length, _, h, node in _long_lines(batches, 0, budget.least):
             _, once = np.unique(node, return_index=True)
             start, length, node = start[once], length[once], node[once]
             keys, nodes, sizes = [], [], []
-            for rows, key in _signatures(start, length, h, edits, least):
+            for rows, key in _signatures(start, length, h, budget):
                 if gate:
                     ok = test_bits(table.value, wh.mix(key, KEYS) & U(bits - 1))
                     rows, key = rows[ok], key[ok]
                     nodes.append(node[rows])
                     sizes.append(length[rows])
                 keys.append(key)
+            if not keys:
+                continue
             key = pa.array(wh.signed(np.concatenate(keys)))
             if gate:
                 yield pa.RecordBatch.from_arrays([key, pa.array(wh.signed(np.concatenate(nodes))), pa.array(np.concatenate(sizes).astype(np.int32))], names=["key", "node", "n"])
@@ -211,28 +253,31 @@ def _sketches(docs: DataFrame, least: int, gate: KeyGate) -> DataFrame:
 
 
 class _Linked:
-    def __init__(self, edits: int):
-        self.edits = edits
+    def __init__(self, budget: Budget):
+        self.budget = budget
 
     def __call__(self, left: list[bytes], right: list[bytes]) -> list[int]:
-        return [i for i, (x, y) in enumerate(zip(left, right, strict=True)) if within(x.decode("utf-8", "surrogatepass"), y.decode("utf-8", "surrogatepass"), self.edits)]
+        pairs = [(x.decode("utf-8", "surrogatepass"), y.decode("utf-8", "surrogatepass")) for x, y in zip(left, right, strict=True)]
+        edits = self.budget.of(np.array([min(len(x), len(y)) for x, y in pairs], np.int64)).tolist()
+        return [i for i, ((x, y), e) in enumerate(zip(pairs, edits, strict=True)) if within(x, y, e)]
 
 
-def classes(docs: DataFrame, edits: int, least: int, scratch: Scratch, gate_bits: int) -> tuple[DataFrame, DataFrame]:
-    """(occurrences of long lines, (node, ord, line) of the first occurrence of each class that has several)."""
-    occurrences = scratch.keep(_occurrences(docs, least), "occurrences")
+def classes(docs: DataFrame, budget: Budget, scratch: Scratch, gate_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(occurrences of lines that take part, (node, ord, line) of the first occurrence of each class that has several)."""
+    least = budget.least
+    occurrences = scratch.keep(_occurrences(docs, budget), "occurrences")
     first = scratch.keep(occurrences.groupBy("node").agg(F.min(F.struct("ord", "line")).alias("f"), F.max(F.struct("ord", "line")).alias("l")), "lines")
-    shared = _emit(docs, edits, least, None).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = _emit(docs, budget, None).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     gate = KeyGate(docs.sparkSession, shared, "key", KEYS, gate_bits)
-    lists = scratch.keep(_emit(docs, edits, least, gate).distinct(), "lists")
+    lists = scratch.keep(_emit(docs, budget, gate).distinct(), "lists")
     links = resolve_lists(
         scratch,
         lists,
-        close=lambda n, m: F.abs(n - m) <= edits,
+        close=lambda n, m: F.abs(n - m) <= budget.column(F.least(n, m)),
         fetch=lambda wanted: _texts(docs, least, KeyGate(docs.sparkSession, wanted, "node", NODES, gate_bits)),
-        linked=_Linked(edits),
+        linked=_Linked(budget),
         sketches=lambda wanted: _sketches(docs, least, KeyGate(docs.sparkSession, wanted, "node", NODES, gate_bits)),
-        most=lambda n, m: np.where(np.abs(n - m) <= edits, 4 * edits, -1),
+        most=lambda n, m: np.where(np.abs(n - m) <= (e := budget.of(np.minimum(n, m))), 4 * e, -1),
         rounds=PIVOT_ROUNDS,
     )
     labels = components(scratch, links)
@@ -241,11 +286,12 @@ def classes(docs: DataFrame, edits: int, least: int, scratch: Scratch, gate_bits
     return occurrences, named.select("node", "root").join(lead, "root").select("node", F.col("f.ord").alias("ord0"), F.col("f.line").alias("line0"))
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, gate_bits: int = GATE_BITS) -> DataFrame:
+def dedup(docs: DataFrame, edits: int | None = None, least: int = LEAST, gate_bits: int = GATE_BITS) -> DataFrame:
     """docs with text, without all but the first occurrence of each class of near-copied lines; and n_lines, n_removed.
 
-    Lines are what stands between line feeds, compared as they are, by characters. Lines under `least` characters,
-    blank ones among them, always stay. The first occurrence is that of the smallest doc_id (null ids last), then line.
+    Lines are what stands between line feeds, compared as they are, by characters. Without `edits`, exact copies of lines
+    under `least` characters are taken out as well, blank ones aside, and longer lines may be the more edits apart the
+    longer they are. With `edits`, that many hold for any length, and lines under `least` characters always stay. The first occurrence is that of the smallest doc_id (null ids last), then line.
     Rows that agree in id and text count as one document, and share their result. A null text stays null and has no
     lines; an empty text has one, empty line; a text that loses every line becomes empty. All other columns stay; those
     named n_lines or n_removed are replaced. An empty table stays empty.
@@ -254,7 +300,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, gate_bits: in
     docs = docs.drop("n_lines", "n_removed")
     columns = docs.columns
     work = docs.select("text", F.xxhash64("text", "doc_id").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"))
-    occurrences, lead = classes(work, edits, least, scratch, gate_bits)
+    occurrences, lead = classes(work, Budget(edits, least), scratch, gate_bits)
     gone = occurrences.join(lead, "node").where((F.col("ord") != F.col("ord0")) | (F.col("line") != F.col("line0")))
     gone = gone.select("key", "line").groupBy("key").agg(F.array_distinct(F.collect_list("line")).alias("_gone")).withColumnRenamed("key", "_key")
     schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
