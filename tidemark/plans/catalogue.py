@@ -135,6 +135,26 @@ def _cols(spark, sf):
     return cells(transform.concat_columns(*_halves(spark, sf), a.QUARTERS, a.QUARTERS))
 
 
+# the same operators over two whole frames: the sparse signals, and the suppliers' with their gaps filled
+def _wholes(spark, sf):
+    return a.sparse_signals(spark, sf), clean.fill_missing(a.supplier_signals(spark, sf), 1.0)
+
+
+@query("t_two_frames_whole", f"with {a.SPARSE_SQL} select id, cast(t as bigint) as t, round(sp.x - coalesce(sup.x, 1), 6) + 0e0 as x from sp join sup using (id, t) where sp.x is not null")
+def _two_whole(spark, sf):
+    return cells(transform.compare_frames(*_wholes(spark, sf)))
+
+
+@query("t_concat_rows_whole", f"with {a.SPARSE_SQL} {OUT} (select * from sp union all select id, t, coalesce(x, 1) from sup) u where x is not null")
+def _rows_whole(spark, sf):
+    return cells(transform.concat_rows(*_wholes(spark, sf)))
+
+
+@query("t_concat_cols_whole", f"with {a.SPARSE_SQL} {OUT} (select * from sp union all select id, t + {a.QUARTERS}, coalesce(x, 1) from sup) u where x is not null")
+def _cols_whole(spark, sf):
+    return cells(transform.concat_columns(*_wholes(spark, sf), a.QUARTERS, a.QUARTERS))
+
+
 @query("t_merge_mean", f"with {a.TYPED_SQL} select id, cast(t as bigint) as t, round(avg(x), 6) + 0e0 as x from typed group by id, t")
 def _merge(spark, sf):
     return cells(transform._merged(a.typed_signals(spark, sf), ("id",), "avg"))
@@ -427,6 +447,16 @@ def _termlen(spark, sf):
     return enrich.restrict(b, b.where(X("id").cast("long") % 3 == 0).select("id"), 15, "<")
 
 
+@query("e_background_lists", f"with {a.BRIDGE_SQL}, {a.LISTS_SQL} select id, term from bridge where id in (select id from lists)")
+def _background_lists(spark, sf):
+    return enrich.restrict(a.bridge(spark, sf), a.lists(spark, sf).select("id"))
+
+
+@query("e_termlen_whole", f"with {a.BRIDGE_SQL} select id, term from bridge where term in (select term from bridge group by term having count(*) < 45)")
+def _termlen_whole(spark, sf):
+    return enrich.restrict(a.bridge(spark, sf), None, 45, "<")
+
+
 @query("e_multilist", f"""with {a.BRIDGE_SQL}, {a.LISTS_SQL},
   lab as (select 'all' as list_name, id, list_name as label from lists), mem as (select distinct id || '_' || label as gene, term from lab join bridge using (id)),
   c as (select max(c) as c from (select count(*) as c from lab group by id))
