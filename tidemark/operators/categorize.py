@@ -23,7 +23,7 @@ def spikes(s: DataFrame, cutoffs: DataFrame, highest: bool = True) -> DataFrame:
     return rows.join(F.broadcast(cutoffs), "n_obs").select("id", ((F.col("pt") > F.col("hi")) | (F.col("pt") < F.col("lo"))).alias("spike"))
 
 
-def categorise(s: DataFrame, times: list[float], p: float = 0.05, samples: int = 1000, fraction: float = 0.75, reference: int = 0, spectrum: bool = False, prepare: bool = True) -> DataFrame:
+def categorise(s: DataFrame, times: list[float], p: float = 0.05, samples: int = 100_000, fraction: float = 0.75, reference: int = 0, spectrum: bool = False, prepare: bool = True) -> DataFrame:
     """(id, trend_class): LAGk (or Fk by spectrum), SpikeMax, SpikeMin or null; every prepared signal has one row."""
     s = preprocess(s, fraction, reference=reference) if prepare else s
     unit = transform.unit_norm(s, reference)

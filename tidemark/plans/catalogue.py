@@ -238,7 +238,8 @@ query("p_autocorr", f"with {_acf_sql(_unit_sql(a.SUPPLIERS_SQL, 'sup'), 'un', a.
 )
 
 # -- null models and classes ---------------------------------------------------------------------------------------
-SAMPLES = 200
+#: Draws of the queries that are compared with SQL, and of those that answer as the reference does.
+SAMPLES, ALL_SAMPLES = 200, 100_000
 
 
 def _draw_sql(t: str) -> str:
@@ -280,7 +281,11 @@ _CUTS = """cuts as (select k, case when k = 0 then 1e0 else list_sort(list(v))[c
 
 @query("c_quantile_cutoffs", f"with {_acf_sql(_null_sql(a.SUPPLIERS_SQL, 'sup', a.QUARTERS, SAMPLES), 'nul', a.QUARTERS)}, {_CUTS.format(acf='acf')} select cast(k as bigint) as k, round(cut, 6) + 0e0 as cut from cuts")
 def _cutoffs(spark, sf):
-    null = resample.null_autocorrelations(a.supplier_signals(spark, sf), a.QUARTER_TIMES, SAMPLES)
+    return _quantile_cutoffs(spark, sf, SAMPLES)
+
+
+def _quantile_cutoffs(spark, sf, samples):
+    null = resample.null_autocorrelations(a.supplier_signals(spark, sf), a.QUARTER_TIMES, samples)
     return resample.cutoffs(null, 0.05).select(X("k").cast("long").alias("k"), num("cut"))
 
 
@@ -291,7 +296,16 @@ _LIMITS = f"""{_null_sql(a.SPARSE_SQL, 'sp', a.QUARTERS, SAMPLES)},
 
 @query("n_spike_cutoffs", f"with {_LIMITS} select cast(n_obs as bigint) as n_obs, round(hi, 6) + 0e0 as hi, round(lo, 6) + 0e0 as lo from lim")
 def _limits(spark, sf):
-    return resample.spike_cutoffs(a.sparse_signals(spark, sf), 0.05, SAMPLES).select(X("n_obs").cast("long").alias("n_obs"), num("hi"), num("lo"))
+    return _spike_limits(spark, sf, SAMPLES)
+
+
+def _spike_limits(spark, sf, samples):
+    return resample.spike_cutoffs(a.sparse_signals(spark, sf), 0.05, samples).select(X("n_obs").cast("long").alias("n_obs"), num("hi"), num("lo"))
+
+
+def _spike_signals(spark, sf, high, samples):
+    s = a.sparse_signals(spark, sf)
+    return categorize.spikes(transform.unit_norm(s), resample.spike_cutoffs(s, 0.05, samples), high)
 
 
 for _name, _high in (("c_spikes_max", True), ("c_spikes_min", False)):
@@ -303,8 +317,7 @@ for _name, _high in (("c_spikes_max", True), ("c_spikes_min", False)):
 
     @query(_name, _sql)
     def _spikes(spark, sf, high=_high):
-        s = a.sparse_signals(spark, sf)
-        return categorize.spikes(transform.unit_norm(s), resample.spike_cutoffs(s, 0.05, SAMPLES), high)
+        return _spike_signals(spark, sf, high, SAMPLES)
 
 
 def _classes_sql() -> str:
@@ -328,6 +341,18 @@ def classes(spark, sf):
 
 query("c_classes_pgram")(lambda spark, sf: categorize.categorise(a.event_signals(spark, sf), a.DAY_TIMES, samples=SAMPLES, spectrum=True))
 
+# with all draws; 100 000 of them make the cross joins of the SQL above too slow, so these have none
+query("n_bootstrap_all")(lambda spark, sf: cells(resample.bootstrap(a.sparse_signals(spark, sf), ALL_SAMPLES, False)))
+query("n_bootstrap_rows_all")(lambda spark, sf: cells(resample.bootstrap(a.sparse_signals(spark, sf), ALL_SAMPLES, True)))
+query("n_null_autocorr_all")(lambda spark, sf: cells(resample.null_autocorrelations(a.supplier_signals(spark, sf), a.QUARTER_TIMES, ALL_SAMPLES)))
+query("n_null_periodogram_all")(lambda spark, sf: cells(resample.null_periodograms(a.supplier_signals(spark, sf), a.QUARTER_TIMES, ALL_SAMPLES)))
+query("n_spike_cutoffs_all")(lambda spark, sf: _spike_limits(spark, sf, ALL_SAMPLES))
+query("c_quantile_cutoffs_all")(lambda spark, sf: _quantile_cutoffs(spark, sf, ALL_SAMPLES))
+query("c_spikes_max_all")(lambda spark, sf: _spike_signals(spark, sf, True, ALL_SAMPLES))
+query("c_spikes_min_all")(lambda spark, sf: _spike_signals(spark, sf, False, ALL_SAMPLES))
+query("c_classes_acf_all")(lambda spark, sf: categorize.categorise(a.supplier_signals(spark, sf), a.QUARTER_TIMES, samples=ALL_SAMPLES, prepare=False))
+query("c_classes_pgram_all")(lambda spark, sf: categorize.categorise(a.event_signals(spark, sf), a.DAY_TIMES, samples=ALL_SAMPLES, spectrum=True))
+
 
 # -- visibility graphs ---------------------------------------------------------------------------------------------
 _NODES = f"{a.EVENTS_SQL}, nd as (select id, row_number() over (partition by id order by t) - 1 as i, cast(t as double) as t, x from ev where x is not null)"
