@@ -92,3 +92,34 @@ def test_long_lists_of_unlinked_sets(spark, monkeypatch):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(map(tuple, jaccard.join(d, 1).collect())) == brute(docs, 1, 85, 100)
     assert sorted(map(tuple, jaccard.join(d, 4).collect())) == brute(docs, 4, 85, 100)
+
+
+def test_sketches_of_several_widths_are_lower_bounds():
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm import shared
+
+    r = np.random.default_rng(1)
+    base = r.integers(0, 1 << 63, 9000).astype(np.uint64)
+    sets = [base[:n] for n in (50, 60, 1500, 2100, 2400, 7000, 8800)] + [np.concatenate([base[:1500], base[8000:8700]])]
+    raw = pa.array([shared.parity_sketch(s, 16 if len(s) <= 1800 else 64 if len(s) <= 7200 else 256) for s in sets], pa.binary())
+    sketches = shared._Sketches(raw)
+    every = np.arange(len(sets))
+    far = sketches.far(every, every)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert far[i, j] <= len(np.setxor1d(a, b)) and far[i, i] == 0
+    assert (sketches.paired(shared._Sketches(raw.take(pa.array(every[::-1])))) == far[every, every[::-1]]).all()
+
+
+def test_ids_that_are_null_or_repeated(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    docs = [(None, near), (None, near + " x"), (None, "y " + near), (7, "a b c d e"), (7, "f g h i j"), (8, "a b c d e"), (None, None), (9, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = jaccard.groups(d).collect()
+    assert sorted((r.n_shingles, r.component_id) for r in rows if r.doc_id is None) == [(0, None), (57, None), (58, None), (58, None)]
+    assert sum(r.leads for r in rows if r.doc_id is None and r.n_shingles) == 1
+    assert sorted((r.doc_id, r.component_id, r.leads) for r in rows if r.doc_id is not None) == [(7, 7, True), (7, 7, True), (8, 7, False), (9, 9, True)]
+    named = spark.createDataFrame([("b", "a b c d e"), ("a", "a b c d e")], "doc_id string, text string")
+    assert {tuple(r) for r in jaccard.join(named).collect()} == {("a", 2, "a"), ("b", 2, "a")}

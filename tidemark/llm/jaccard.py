@@ -9,10 +9,10 @@ necessary prefix of their shingles, rare ones first. The boundary is where enume
 scanning the lists, by the counts of the corpus.
 
 A list is not expanded into its pairs. Each list names one pivot, every other member is verified against it, and
-components contract. Only lists that still hold several components go on; after a few such rounds their members are
-compared in memory by parity sketches, whose distance is a lower bound of the sets' difference, and only pairs of
-different components that those can't rule out are verified. So a group of n near copies costs about n verifications,
-and no link between different components stays untested.
+components contract. Only lists that still hold several components go on: their members are compared in memory by
+parity sketches, whose distance is a lower bound of the sets' difference. Those of different components that the
+sketches can't rule out form groups, and a group's pairs are verified in memory until its components are known. So a
+group of n near copies gives at most n - 1 links, and no link between different components stays untested.
 
 Counts, orders and lists are over all documents. Frequent shingles are named by a list of at most MOST_FREQUENT
 entries, which is broadcast; it only orders shingles, so it decides cost and never results.
@@ -30,16 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .shared import GATE_BITS, KeyGate, Scratch, components, parity_sketch, resolve_lists, test_bits
+from .shared import KeyGate, Scratch, components, gate_size, parity_sketch, resolve_lists, test_bits, trimmed
 
 WORDS, NUM, DEN = 4, 85, 100
 MOST_FREQUENT = 1 << 18
 #: A shingle in fewer prefixes than this is never held to be frequent.
 LEAST_FREQUENT = 8
-#: Rounds with pivots before the rest of the lists is worked off pair by pair.
+#: Rounds with pivots before the rest of the lists is compared member by member.
 PIVOT_ROUNDS = 1
-#: Words of 64 bits of the sketch that rules out pairs.
-SKETCH_WORDS = 16
+#: Words of 64 bits of the sketch that rules out pairs, for sets of up to SKETCHED shingles; four and sixteen times as many for larger sets.
+SKETCH_WORDS, SKETCHED = 16, 1800
 #: Sets of this size or more are never enumerated: their subsets are too many at any price.
 MOST_LIGHT = 24
 U = np.uint64
@@ -94,32 +94,68 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], column: int, k: int) -> Iter
         yield b, out
 
 
-def node_of(tokens: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    with np.errstate(over="ignore"):
-        total = wh.mix(tokens, 0x5EED).sum(dtype=U) + U(len(tokens)) * U(0x9E3779B97F4A7C15)
-        return int(wh.mix(np.array([total]), 0x0DD)[0].view(np.int64))
+def nodes_of(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit name of each set, 0 of an empty one."""
+    out = np.zeros(len(sets), np.int64)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(sizes)
+    # some sets at a time, to bound what is copied
+    for at in np.split(full, np.flatnonzero(np.diff(np.cumsum(sizes[full]) >> 20)) + 1):
+        if len(at):
+            n = sizes[at]
+            with np.errstate(over="ignore"):
+                total = np.add.reduceat(wh.mix(np.concatenate([sets[i] for i in at.tolist()]), 0x5EED), np.cumsum(n) - n)
+                out[at] = wh.mix(total + n.astype(U) * U(0x9E3779B97F4A7C15), 0x0DD).view(np.int64)
+    return out
 
 
 def _nodes(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, text_hash, n, node) of every row; no node without shingles."""
+
+    @trimmed
     def run(batches):
-        for b, sets in shingle_sets(batches, 1, k):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "node"])
+        for b, sets in shingle_sets(batches, 2, k):
+            n = np.array([len(s) for s in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(nodes_of(sets), mask=n == 0)], names=["doc_id", "text_hash", "n", "node"])
 
-    return docs.mapInArrow(run, docs.select("doc_id").withColumn("n", F.lit(0).cast("long")).withColumn("node", F.lit(None).cast("long")).schema)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, rows.select("doc_id", "text_hash").withColumn("n", F.lit(0).cast("long")).withColumn("node", F.lit(None).cast("long")).schema)
 
 
-def _sketches(docs: DataFrame, k: int, gate: KeyGate) -> DataFrame:
-    bits, table = gate.bits, gate.table
+def _wanted(sets: list[np.ndarray], gate: KeyGate) -> tuple[list[int], list[np.ndarray]]:
+    """The nodes that the gate lets through and their sets, once each."""
+    nodes, first = np.unique(nodes_of(sets), return_index=True)
+    ok = test_bits(gate.table.value, wh.mix(nodes.view(U), NODES) & U(gate.bits - 1)) & (nodes != 0)
+    return nodes[ok].tolist(), [sets[i] for i in first[ok].tolist()]
+
+
+class _Peek:
+    """What a task needs of a gate: its bits and the broadcast table."""
+
+    def __init__(self, gate: KeyGate):
+        self.bits, self.table = gate.bits, gate.table
+
+
+def _of_nodes(docs: DataFrame, k: int, gate: KeyGate, name: str, form) -> DataFrame:
+    """(node, `name`) by form(set), of the nodes that the gate lets through, once each."""
+    gate = _Peek(gate)
 
+    @trimmed
     def run(batches):
         for _, sets in shingle_sets(batches, 0, k):
-            found = {node_of(s): s for s in sets if len(s)}
-            nodes = np.fromiter(found, np.int64, len(found))
-            keep = nodes[test_bits(table.value, wh.mix(nodes.view(U).copy(), NODES) & U(bits - 1))].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array([parity_sketch(found[x], SKETCH_WORDS) for x in keep], pa.binary())], names=["node", "sketch"])
+            keep, found = _wanted(sets, gate)
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array([form(s) for s in found], pa.binary())], names=["node", name])
 
-    return docs.select("text").mapInArrow(run, "node long, sketch binary").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    return docs.select("text").mapInArrow(run, f"node long, {name} binary").groupBy("node").agg(F.first(name).alias(name))
+
+
+def _sketches(docs: DataFrame, k: int, gate: KeyGate) -> DataFrame:
+    return _of_nodes(docs, k, gate, "sketch", lambda s: parity_sketch(s, SKETCH_WORDS * (1 if len(s) <= SKETCHED else 4 if len(s) <= 4 * SKETCHED else 16)))
+
+
+def _sets(docs: DataFrame, k: int, gate: KeyGate) -> DataFrame:
+    """(node, payload): the sorted 64-bit hashes of each shingle."""
+    return _of_nodes(docs, k, gate, "payload", lambda s: s.astype("<u8").tobytes())
 
 
 class _Order:
@@ -152,11 +188,13 @@ def _emit(docs: DataFrame, k: int, measure: Measure, boundary: int, order, gate:
     shared_order = docs.sparkSession.sparkContext.broadcast(order)
     gate_bits, gate_table = (gate.bits, gate.table) if gate else (0, None)
 
+    @trimmed
     def run(batches):
         rank = _Order(*shared_order.value)
         for _, sets in shingle_sets(batches, 0, k):
             keys, nodes, sizes = [], [], []
-            for s in sets:
+            names = np.zeros(len(sets), np.int64) if counting else nodes_of(sets)
+            for s, name in zip(sets, names.tolist(), strict=True):
                 n = len(s)
                 if not n:
                     continue
@@ -173,7 +211,7 @@ def _emit(docs: DataFrame, k: int, measure: Measure, boundary: int, order, gate:
                 if own:
                     own = np.concatenate(own)
                     keys.append(own)
-                    nodes.append(np.full(len(own), 0 if counting else node_of(s), np.int64))
+                    nodes.append(np.full(len(own), name, np.int64))
                     sizes.append(np.full(len(own), n, np.int32))
             key = np.concatenate(keys) if keys else np.zeros(0, U)
             if counting:
@@ -188,58 +226,37 @@ def _emit(docs: DataFrame, k: int, measure: Measure, boundary: int, order, gate:
     return docs.select("text").mapInArrow(run, "key long" if counting else "key long, node long, n int")
 
 
-def _sets(docs: DataFrame, k: int, gate: KeyGate) -> DataFrame:
-    """(node, payload): 40 bits of each shingle, sorted, of the nodes that the gate lets through, once each.
-
-    Of a pair near the threshold, about a sixth of the shingles have no partner; that two of those agree in 40 bits
-    is as unlikely as a collision of the 64-bit hashes of a corpus.
-    """
-    bits, table = gate.bits, gate.table
-
-    def run(batches):
-        seen: set[int] = set()
-        for _, sets in shingle_sets(batches, 0, k):
-            nodes = np.array([node_of(s) if len(s) else 0 for s in sets], np.int64)
-            ok = test_bits(table.value, wh.mix(nodes.view(U).copy(), NODES) & U(bits - 1)) & np.array([len(s) > 0 for s in sets], bool)
-            out_node, out = [], []
-            for i in np.flatnonzero(ok).tolist():
-                node = int(nodes[i])
-                if node in seen:
-                    continue
-                if len(seen) < 200_000:
-                    seen.add(node)
-                x = np.sort(sets[i] >> U(24))
-                out_node.append(node)
-                out.append((x & U(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> U(32)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out_node, pa.int64()), pa.array(out, pa.binary())], names=["node", "tokens"])
-
-    return docs.select("text").mapInArrow(run, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("payload"))
-
-
 class _Linked:
-    """Which of the paired sets are linked; of a run of pairs with one right side, that is unpacked once."""
+    """Which of the paired sets are linked."""
 
     def __init__(self, measure: Measure):
         self.measure = measure
 
     @staticmethod
     def unpack(raw: bytes) -> np.ndarray:
-        n = len(raw) // 5
-        return np.frombuffer(raw, "<u4", n).astype(U) | (np.frombuffer(raw, np.uint8, n, 4 * n).astype(U) << U(32))
+        return np.frombuffer(raw, "<u8")
+
+    def _ok(self, n, m, o):
+        return self.measure.den * o >= self.measure.num * (n + m - o)
 
     def __call__(self, left: list[bytes], right: list[bytes]) -> list[int]:
-        keep, last, last_set = [], None, None
+        keep = []
         for i, (x, y) in enumerate(zip(left, right, strict=True)):
-            if y != last:
-                last, last_set = y, self.unpack(y)
-            a = self.unpack(x)
-            both = np.concatenate([a, last_set])
+            a, b = self.unpack(x), self.unpack(y)
+            both = np.concatenate([a, b])
             both.sort()
-            o = int((both[1:] == both[:-1]).sum())
-            if self.measure.den * o >= self.measure.num * (len(a) + len(last_set) - o):
+            if self._ok(len(a), len(b), int((both[1:] == both[:-1]).sum())):
                 keep.append(i)
         return keep
 
+    def row(self, sets: list[np.ndarray], x: int, others: np.ndarray) -> np.ndarray:
+        """Places in `others` of the sets that are linked with set x."""
+        a, some = sets[x], [sets[y] for y in others.tolist()]
+        sizes = np.array([len(s) for s in some])
+        tokens = np.concatenate(some)
+        same = a[np.minimum(np.searchsorted(a, tokens), len(a) - 1)] == tokens
+        return np.flatnonzero(self._ok(len(a), sizes, np.add.reduceat(same, np.cumsum(sizes) - sizes, dtype=np.int64)))
+
 
 def _boundary(nodes: DataFrame, counts: DataFrame, measure: Measure) -> int:
     """The size from which scanning lists is cheaper than enumerating subsets."""
@@ -255,13 +272,16 @@ def _boundary(nodes: DataFrame, counts: DataFrame, measure: Measure) -> int:
     return best
 
 
-def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, boundary: int | None = None, gate_bits: int = GATE_BITS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs(doc_id, text).
+def groups(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, boundary: int | None = None, gate_bits: int | None = None) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, leads of every row of docs(doc_id, text).
 
-    component_id is the smallest doc_id that links reach, itself included. Letters A-Z are lower-cased; words are runs
-    of anything but ASCII white space. Null, empty and blank texts have no shingles and are linked with nothing: their
-    component is their own doc_id. Rows with the same words are one node, so copies cost one set; rows that repeat a
-    doc_id are told apart by their words. An empty table gives no rows; other columns are ignored.
+    component_id is the smallest doc_id that links reach, itself included; a component without any doc_id has none.
+    Letters A-Z are lower-cased; words are runs of anything but ASCII white space. Null, empty and blank texts have no
+    shingles and are linked with nothing: their component is their own doc_id. Rows with the same words are one node,
+    so copies cost one set; rows that repeat a doc_id, or have none, are told apart by their words. text_hash is Spark's
+    xxhash64 of the text. One (doc_id, text) of each component leads: that of the smallest doc_id, null ids last, then of the
+    smallest text_hash; texts without shingles all lead. doc_id may be of any ordered type. An empty table gives no
+    rows; other columns are ignored.
     """
     spark, measure = docs.sparkSession, Measure(num, den)
     docs = docs.select("doc_id", "text")
@@ -270,15 +290,25 @@ def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, bounda
     links = _links(spark, scratch, docs, rows, k, measure, boundary, gate_bits)
     labels = components(scratch, links)
 
-    first = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = rows.where("node is not null").groupBy("node").agg(F.min(name).alias("low"))
     named = first.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_node = named.select("node", "root").join(lowest, "root").select("node", "component_id")
+    lowest = named.groupBy("root").agg(F.min("low").alias("lead"))
+    by_node = named.select("node", "root").join(lowest, "root").select("node", "lead")
     out = rows.join(by_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    leads = F.col("node").isNull() | (name == F.col("lead")) | (F.col("doc_id").isNull() & F.col("lead.none") & (F.col("text_hash") == F.col("lead.text_hash")))
+    out = out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("component_id"), F.coalesce(leads, F.lit(False)).alias("leads"))
+    out = scratch.keep(out, "groups")
+    scratch.close(out)
+    return out
+
+
+def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, boundary: int | None = None, gate_bits: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs(doc_id, text), as groups() has them."""
+    return groups(docs, k, num, den, boundary, gate_bits).select("doc_id", "n_shingles", "component_id")
 
 
-def _links(spark, scratch: Scratch, docs: DataFrame, rows: DataFrame, k: int, measure: Measure, boundary: int | None, gate_bits: int) -> DataFrame:
+def _links(spark, scratch: Scratch, docs: DataFrame, rows: DataFrame, k: int, measure: Measure, boundary: int | None, gate_bits: int | None) -> DataFrame:
     def counted(boundary: int, order) -> DataFrame:
         return _emit(docs, k, measure, boundary, order, None, True).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
 
@@ -295,16 +325,17 @@ def _links(spark, scratch: Scratch, docs: DataFrame, rows: DataFrame, k: int, me
     frequent = plain.where(F.col("c") >= least).toArrow()
     order = (frequent["key"].to_numpy().view(U), frequent["c"].to_numpy())
     shared = counted(boundary, order)
-    gate = KeyGate(spark, shared, "key", KEYS, gate_bits)
+    key_bits, node_bits = gate_bits or gate_size(plain.count()), gate_bits or gate_size(rows.count())
+    gate = KeyGate(spark, shared, "key", KEYS, key_bits)
     lists = scratch.keep(_emit(docs, k, measure, boundary, order, gate, False).distinct(), "lists")
     scratch.drop(plain)
     return resolve_lists(
         scratch,
         lists,
         close=lambda n, m: F.least(n, m) * measure.den >= F.greatest(n, m) * measure.num,
-        fetch=lambda wanted: _sets(docs, k, KeyGate(spark, wanted, "node", NODES, gate_bits)),
+        fetch=lambda wanted: _sets(docs, k, KeyGate(spark, wanted, "node", NODES, node_bits)),
         linked=_Linked(measure),
-        sketches=lambda wanted: _sketches(docs, k, KeyGate(spark, wanted, "node", NODES, gate_bits)),
+        sketches=lambda wanted: _sketches(docs, k, KeyGate(spark, wanted, "node", NODES, node_bits)),
         most=lambda n, m: n + m - 2 * measure.overlap(n, m),
         rounds=PIVOT_ROUNDS,
     )

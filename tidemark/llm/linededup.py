@@ -5,32 +5,34 @@ the shorter may have: none under LEAST characters (exact copies only; blank line
 at GROWS characters and at each doubling of that. A line that may have e edits is cut into e + 1 segments; e edits leave
 one of them whole, so a near copy holds it at one of a few places, which follow from the two lengths. Every line is
 entered under its own segments (with length and number) and probes the segments that lines of its length and shorter
-ones in reach would have. Lines that meet are verified by a banded bit-parallel edit distance. Of each class of
-connected lines only the first occurrence, by document and line, stays.
+ones in reach would have; only probes for segments that may exist leave their task. Lines that meet are verified by a
+banded bit-parallel edit distance. Of each class of connected lines only the first occurrence, by document and line,
+stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from . import wordhash as wh
-from .shared import GATE_BITS, KeyGate, Scratch, components, parity_sketch, resolve_lists, test_bits
+from .shared import Gate, KeyGate, Scratch, components, gate_size, parity_sketch, resolve_lists, test_bits, trimmed
 
 EDITS, LEAST, GROWS = 2, 32, 256
 PIVOT_ROUNDS = 1
 #: Words of 64 bits of the sketch that rules out pairs.
 SKETCH_WORDS = 4
-KEYS, NODES = 0x11E5, 0x11E6
+NODES = 0x11E6
 U = np.uint64
-_PIECE = 1 << 19
-_BLANK = np.array([i for i in range(0x3001) if chr(i).isspace()], np.uint32)
+_PIECE = 1 << 20
+_BLANK = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
 
 
 @dataclass(frozen=True)
@@ -131,43 +133,58 @@ def _lines(part: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return owner, number, begin, end - begin, points
 
 
+@cache
+def _point_hashes() -> np.ndarray:
+    """A hash of every code point (9 MB, of which texts touch little)."""
+    return wh.mix(np.arange(0x110000, dtype=U), 0xC0DE)
+
+
 class _Hasher:
     def __init__(self, points: np.ndarray):
         self.up, self.down = wh._BYTE_POWERS.get(len(points) + 1)
         self.run = np.zeros(len(points) + 1, U)
         with np.errstate(over="ignore"):
-            np.cumsum(wh.mix(points.astype(U), 0xC0DE) * self.up[: len(points)], out=self.run[1:])
+            np.cumsum(_point_hashes()[points] * self.up[: len(points)], out=self.run[1:])
 
     def get(self, start: np.ndarray, size: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
         with np.errstate(over="ignore"):
             return wh.mix((self.run[start + size] - self.run[start]) * self.down[start] + np.asarray(salt, U) * U(0x9E3779B97F4A7C15))
 
 
-def segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
+def segment(length: np.ndarray, i: np.ndarray | int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, size) of segment i of lines of these lengths; the last ones are longer by one where they don't divide."""
     base, more = length // (edits + 1), length % (edits + 1)
     plain = edits + 1 - more
     return i * base + np.maximum(0, i - plain), base + (i >= plain)
 
 
-def _signatures(start: np.ndarray, length: np.ndarray, h: _Hasher, budget: Budget) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, keys): the segments of each line, and the substrings that it probes for (multi-match-aware places)."""
+@cache
+def _places(edits: int, shorter: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, move) at which a line shorter by so many characters may have a segment whole; its own place first of equal lengths."""
+    found = []
+    for i in range(edits + 1):
+        low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
+        found += [(i, move) for move in range(low, high + 1)]
+    return tuple(np.array(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
+
+
+def _signatures(start: np.ndarray, length: np.ndarray, h: _Hasher, budget: Budget, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, keys): the segments of each line (own), or the substrings that it probes for (multi-match-aware places)."""
     if not len(length):
         return
-    for shorter in range(int(budget.of(length).max()) + 1):
+    for shorter in range(1 if own else int(budget.of(length).max()) + 1):
         other = length - shorter
         allowed = np.where(other >= budget.least, budget.of(np.maximum(other, 0)), -1)
         for edits in np.unique(allowed[allowed >= shorter]).tolist():
             rows = np.flatnonzero(allowed == edits)
-            for i in range(edits + 1):
-                at, size = segment(other[rows], i, edits)
-                low = max(-i, shorter - (edits - i))
-                high = min(i, shorter + (edits - i))
-                for move in range(low, high + 1):
-                    place = at + move
-                    fits = np.flatnonzero((place >= 0) & (place + size <= length[rows]))
-                    ok = rows[fits]
-                    yield ok, h.get(start[ok] + place[fits], size[fits], (other[ok] * 64 + i) * 2 + 1)
+            i, move = _places(edits, shorter)
+            if shorter == 0:
+                i, move = i[(move == 0) == own], move[(move == 0) == own]
+            at, size = segment(other[rows][:, None], i[None], edits)
+            place = at + move
+            r, c = np.nonzero((place >= 0) & (place + size <= length[rows][:, None]))
+            ok = rows[r]
+            yield ok, h.get(start[ok] + place[r, c], size[r, c], (other[ok] * 64 + i[c]) * 2 + 1)
 
 
 def _long_lines(batches: Iterator[pa.RecordBatch], column: int, least: int, short: bool = False):
@@ -178,47 +195,67 @@ def _long_lines(batches: Iterator[pa.RecordBatch], column: int, least: int, shor
             h = _Hasher(points)
             fine = length >= least
             if short:
-                marks = np.concatenate([[0], np.cumsum(~np.isin(points, _BLANK))])
+                marks = np.concatenate([[0], np.cumsum(~_BLANK[np.minimum(points, len(_BLANK) - 1)])])
                 fine |= marks[start + length] > marks[start]
             keep = np.flatnonzero(fine)
             owner, number, start, length = owner[keep], number[keep], start[keep], length[keep]
             yield b, at, owner, number, start, length, points, h, h.get(start, length, 0)
 
 
-def _occurrences(docs: DataFrame, budget: Budget) -> DataFrame:
+def _batch(names: list[str], kinds: dict[str, pa.DataType], **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of the given columns; the others are null."""
+    size = len(columns["node"])
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, kinds[c]) for c in names], names=names)
+
+
+def _entries(docs: DataFrame, budget: Budget) -> DataFrame:
+    """In one reading of docs(text, key, id): an occurrence (node, key, id, line) of every line, and entries (segment, node, n), each line's once a piece."""
+    kind = docs.schema["id"].dataType
+    schema = StructType([*(StructField(c, LongType()) for c in ("segment", "node", "key")), StructField("id", kind), StructField("line", IntegerType()), StructField("n", IntegerType())])
+
+    @trimmed
     def run(batches):
-        for b, at, owner, number, _, length, _, _, node in _long_lines(batches, 0, budget.least, budget.exact):
+        for b, at, owner, number, start, length, _, h, node in _long_lines(batches, 0, budget.least, budget.exact):
+            nothing = {"segment": pa.int64(), "key": b.column(1).type, "id": b.column(2).type, "line": pa.int32(), "n": pa.int32()}
             rows = pa.array(at + owner)
-            yield pa.RecordBatch.from_arrays([pa.array(wh.signed(node)), b.column(1).take(rows), b.column(2).take(rows), pa.array(number.astype(np.int32))], names=["node", "key", "ord", "line"])
+            yield _batch(schema.names, nothing, node=pa.array(wh.signed(node)), key=b.column(1).take(rows), id=b.column(2).take(rows), line=pa.array(number.astype(np.int32)))
+            _, once = np.unique(node, return_index=True)
+            once = once[length[once] >= budget.least]
+            start, length, node = start[once], length[once], node[once]
+            for rows, found in _signatures(start, length, h, budget, True):
+                yield _batch(schema.names, nothing, segment=pa.array(wh.signed(found)), node=pa.array(wh.signed(node[rows])), n=pa.array(length[rows].astype(np.int32)))
 
-    return docs.select("text", "key", "ord").mapInArrow(run, "node long, key long, ord long, line int")
+    return docs.select("text", "key", "id").mapInArrow(run, schema)
 
 
-def _emit(docs: DataFrame, budget: Budget, gate: KeyGate | None) -> DataFrame:
-    """The keys of all lines, each line once a batch; with a gate (key, node, n) of those that may have company."""
-    bits, table = (gate.bits, gate.table) if gate else (0, None)
+def _probes(docs: DataFrame, budget: Budget, gate: Gate) -> DataFrame:
+    """(key, node, n) of the probes of all lines for segments that the gate may have, each line's once a piece."""
+    bits, table = gate.bits, gate.table
 
+    @trimmed
     def run(batches):
         for _, _, _, _, start, length, _, h, node in _long_lines(batches, 0, budget.least):
             _, once = np.unique(node, return_index=True)
             start, length, node = start[once], length[once], node[once]
-            keys, nodes, sizes = [], [], []
-            for rows, key in _signatures(start, length, h, budget):
-                if gate:
-                    ok = test_bits(table.value, wh.mix(key, KEYS) & U(bits - 1))
-                    rows, key = rows[ok], key[ok]
-                    nodes.append(node[rows])
-                    sizes.append(length[rows])
-                keys.append(key)
-            if not keys:
-                continue
-            key = pa.array(wh.signed(np.concatenate(keys)))
-            if gate:
-                yield pa.RecordBatch.from_arrays([key, pa.array(wh.signed(np.concatenate(nodes))), pa.array(np.concatenate(sizes).astype(np.int32))], names=["key", "node", "n"])
-            else:
-                yield pa.RecordBatch.from_arrays([key], names=["key"])
-
-    return docs.select("text").mapInArrow(run, "key long, node long, n int" if gate else "key long")
+            for rows, key in _signatures(start, length, h, budget, False):
+                ok = test_bits(table.value, key & U(bits - 1))
+                rows = rows[ok]
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(wh.signed(key[ok])), pa.array(wh.signed(node[rows])), pa.array(length[rows].astype(np.int32))], names=["key", "node", "n"])
+
+    return docs.select("text").mapInArrow(run, "key long, node long, n int")
+
+
+def _with_company(rows: DataFrame, gate: Gate) -> DataFrame:
+    """The rows whose key the gate may have."""
+    bits, table = gate.bits, gate.table
+
+    @trimmed
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(test_bits(table.value, b.column(0).to_numpy(zero_copy_only=False).view(U) & U(bits - 1))))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _raw(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[bytes]:
@@ -228,6 +265,7 @@ def _raw(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[byte
 def _texts(docs: DataFrame, least: int, gate: KeyGate) -> DataFrame:
     bits, table = gate.bits, gate.table
 
+    @trimmed
     def run(batches):
         for _, _, _, _, start, length, points, _, node in _long_lines(batches, 0, least):
             _, once = np.unique(node, return_index=True)
@@ -241,6 +279,7 @@ def _sketches(docs: DataFrame, least: int, gate: KeyGate) -> DataFrame:
     """Parities of the pairs of neighbouring characters (an edit changes at most two of either line), and the lines, in one reading of the texts."""
     bits, table = gate.bits, gate.table
 
+    @trimmed
     def run(batches):
         for _, _, _, _, start, length, points, _, node in _long_lines(batches, 0, least):
             _, once = np.unique(node, return_index=True)
@@ -256,56 +295,80 @@ class _Linked:
     def __init__(self, budget: Budget):
         self.budget = budget
 
+    @staticmethod
+    def unpack(raw: bytes) -> str:
+        return raw.decode("utf-8", "surrogatepass")
+
+    def row(self, lines: list[str], x: int, others: np.ndarray) -> np.ndarray:
+        """Places in `others` of the lines that are linked with line x."""
+        some = [lines[y] for y in others.tolist()]
+        edits = self.budget.of(np.minimum(np.array([len(y) for y in some]), len(lines[x]))).tolist()
+        return np.array([i for i, (y, e) in enumerate(zip(some, edits, strict=True)) if within(lines[x], y, e)], np.int64)
+
     def __call__(self, left: list[bytes], right: list[bytes]) -> list[int]:
-        pairs = [(x.decode("utf-8", "surrogatepass"), y.decode("utf-8", "surrogatepass")) for x, y in zip(left, right, strict=True)]
+        pairs = [(self.unpack(x), self.unpack(y)) for x, y in zip(left, right, strict=True)]
         edits = self.budget.of(np.array([min(len(x), len(y)) for x, y in pairs], np.int64)).tolist()
         return [i for i, ((x, y), e) in enumerate(zip(pairs, edits, strict=True)) if within(x, y, e)]
 
 
-def classes(docs: DataFrame, budget: Budget, scratch: Scratch, gate_bits: int) -> tuple[DataFrame, DataFrame]:
-    """(occurrences of lines that take part, (node, ord, line) of the first occurrence of each class that has several)."""
-    least = budget.least
-    occurrences = scratch.keep(_occurrences(docs, budget), "occurrences")
-    first = scratch.keep(occurrences.groupBy("node").agg(F.min(F.struct("ord", "line")).alias("f"), F.max(F.struct("ord", "line")).alias("l")), "lines")
-    shared = _emit(docs, budget, None).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    gate = KeyGate(docs.sparkSession, shared, "key", KEYS, gate_bits)
-    lists = scratch.keep(_emit(docs, budget, gate).distinct(), "lists")
+def classes(docs: DataFrame, budget: Budget, scratch: Scratch, gate_bits: int | None) -> tuple[DataFrame, DataFrame]:
+    """(occurrences of lines that take part, (node, key0, line0) of the first occurrence of each class that has several)."""
+    spark, least = docs.sparkSession, budget.least
+    entries = scratch.keep(_entries(docs, budget), "entries")
+    occurrences = entries.where("segment is null").select("node", "key", "id", "line")
+    index = entries.where("segment is not null").select(F.col("segment").alias("key"), "node", "n")
+    bits = gate_bits or gate_size(index.count())
+    probes = scratch.keep(_probes(docs, budget, Gate(spark, index.select("key"), bits)), "probes")
+    both = index.unionByName(probes)
+    shared = both.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
+    lists = scratch.keep(_with_company(both, Gate(spark, shared, bits)).distinct(), "lists")
+    scratch.drop(probes)
+    nodes = lambda wanted: KeyGate(spark, wanted, "node", NODES, bits)
     links = resolve_lists(
         scratch,
         lists,
         close=lambda n, m: F.abs(n - m) <= budget.column(F.least(n, m)),
-        fetch=lambda wanted: _texts(docs, least, KeyGate(docs.sparkSession, wanted, "node", NODES, gate_bits)),
+        fetch=lambda wanted: _texts(docs, least, nodes(wanted)),
         linked=_Linked(budget),
-        sketches=lambda wanted: _sketches(docs, least, KeyGate(docs.sparkSession, wanted, "node", NODES, gate_bits)),
+        sketches=lambda wanted: _sketches(docs, least, nodes(wanted)),
         most=lambda n, m: np.where(np.abs(n - m) <= (e := budget.of(np.minimum(n, m))), 4 * e, -1),
         rounds=PIVOT_ROUNDS,
     )
-    labels = components(scratch, links)
-    named = first.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lead = named.groupBy("root").agg(F.min("f").alias("f"), F.max("l").alias("l")).where("f <> l").select("root", "f")
-    return occurrences, named.select("node", "root").join(lead, "root").select("node", F.col("f.ord").alias("ord0"), F.col("f.line").alias("line0"))
+    labels = scratch.keep(components(scratch, links), "labels")
+    # a class with one occurrence has nothing to lose: its line stands once, and is linked with none
+    several = occurrences.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(labels, "node", "left").where("c > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"))
+    several = scratch.keep(several, "several")
+    met = scratch.keep(occurrences.join(several, "node"), "met")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "key", "line")
+    first = met.groupBy("root").agg(F.min(place).alias("f"))
+    return met, several.join(first, "root").select("node", F.col("f.key").alias("key0"), F.col("f.line").alias("line0"))
 
 
-def dedup(docs: DataFrame, edits: int | None = None, least: int = LEAST, gate_bits: int = GATE_BITS) -> DataFrame:
+def dedup(docs: DataFrame, edits: int | None = None, least: int = LEAST, gate_bits: int | None = None) -> DataFrame:
     """docs with text, without all but the first occurrence of each class of near-copied lines; and n_lines, n_removed.
 
     Lines are what stands between line feeds, compared as they are, by characters. Without `edits`, exact copies of lines
     under `least` characters are taken out as well, blank ones aside, and longer lines may be the more edits apart the
-    longer they are. With `edits`, that many hold for any length, and lines under `least` characters always stay. The first occurrence is that of the smallest doc_id (null ids last), then line.
-    Rows that agree in id and text count as one document, and share their result. A null text stays null and has no
-    lines; an empty text has one, empty line; a text that loses every line becomes empty. All other columns stay; those
-    named n_lines or n_removed are replaced. An empty table stays empty.
+    longer they are. With `edits`, that many hold for any length, and lines under `least` characters always stay. The
+    first occurrence is that of the smallest doc_id (of any ordered type; null ids last), then of the smallest hash of
+    (text, doc_id), which tells apart rows that share an id or have none, then of the smallest line number. Rows that
+    agree in id and text (both ids may be null) count as one document, and share their result. A null text stays null
+    and has no lines; an empty text has one, empty line; a text that loses every line becomes empty. All other columns
+    stay; those named n_lines or n_removed are replaced. An empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "linededup")
     docs = docs.drop("n_lines", "n_removed")
     columns = docs.columns
-    work = docs.select("text", F.xxhash64("text", "doc_id").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"))
-    occurrences, lead = classes(work, Budget(edits, least), scratch, gate_bits)
-    gone = occurrences.join(lead, "node").where((F.col("ord") != F.col("ord0")) | (F.col("line") != F.col("line0")))
+    work = docs.select("text", F.xxhash64("text", "doc_id").alias("key"), F.col("doc_id").alias("id"))
+    met, lead = classes(work, Budget(edits, least), scratch, gate_bits)
+    gone = met.join(lead, "node").where((F.col("key") != F.col("key0")) | (F.col("line") != F.col("line0")))
     gone = gone.select("key", "line").groupBy("key").agg(F.array_distinct(F.collect_list("line")).alias("_gone")).withColumnRenamed("key", "_key")
+    gone = scratch.keep(gone, "gone")
+    scratch.close(gone)
     schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
     at, n = columns.index("text"), len(columns)
 
+    @trimmed
     def run(batches):
         for b in batches:
             texts, total, lost = [], [], []

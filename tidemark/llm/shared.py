@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +18,36 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 
-#: Bits of the fixed-size row gate (8 MB), whatever the size of the input.
-GATE_BITS = 1 << 26
+#: Bits of a row gate: GATE_SPREAD for each key, from 1 MB to 32 MB whatever the size of the input.
+LEAST_GATE, MOST_GATE, GATE_SPREAD = 1 << 23, 1 << 28, 16
+
+
+def gate_size(keys: int) -> int:
+    """Bits of a gate for so many keys, a power of two; with more keys than fit, a gate lets more rows through."""
+    return min(MOST_GATE, max(LEAST_GATE, 1 << max(0, keys * GATE_SPREAD - 1).bit_length()))
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow; once its rows end, the worker gives freed memory back, as idle workers stay beside the busy ones."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        wh.forget()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs in this process (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(shared_dir, "own", None)
         if found is None:
             found = shared_dir.own = tempfile.mkdtemp(prefix="tidemark-")
@@ -38,10 +63,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables written to the shared folder in place of lineage; drop() frees those no later step reads."""
+    """Tables written to the shared folder in place of lineage; drop() frees those no later step reads, close() all but the named.
+
+    What a returned DataFrame still reads stays until the driver's Python ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.live: set[str] = set()
+        atexit.register(self._end)
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+            delete_path(self.spark, self.root)
 
     def path(self, name: str) -> str:
         self.made += 1
@@ -53,12 +87,21 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
+        self.live.add(path)
         return out
 
     def drop(self, *dfs: DataFrame | None) -> None:
         for df in dfs:
-            if df is not None and getattr(df, "_scratch", None):
-                delete_path(self.spark, df._scratch)
+            path = getattr(df, "_scratch", None)
+            if path in self.live:
+                self.live.discard(path)
+                delete_path(self.spark, path)
+
+    def close(self, *kept: DataFrame) -> None:
+        """Free every table but those of `kept`."""
+        for path in self.live - {getattr(df, "_scratch", None) for df in kept}:
+            self.live.discard(path)
+            delete_path(self.spark, path)
 
 
 def _bitmap(spark: SparkSession, positions: DataFrame, bits: int):
@@ -75,21 +118,23 @@ def _bitmap(spark: SparkSession, positions: DataFrame, bits: int):
 
 
 class Gate:
-    """A one-hash bitmap of fixed size over a set of 64-bit marks; a mark's position is its low bits.
+    """A one-hash bitmap of bounded size over a set of 64-bit marks; a mark's position is its low bits.
 
     It answers "certainly not in the set" or "maybe", and keeps rows that cannot match out of a shuffle. What it lets
-    through is still matched exactly, so it never decides a result. Its size does not depend on the data: a fuller
-    bitmap only lets more rows through.
+    through is still matched exactly, so it never decides a result. Its size is bounded by MOST_GATE: a fuller bitmap
+    only lets more rows through.
     """
 
-    def __init__(self, spark: SparkSession, marks: DataFrame, bits: int = GATE_BITS):
+    def __init__(self, spark: SparkSession, marks: DataFrame, bits: int | None = None):
+        bits = bits or gate_size(marks.count())
         self.bits, self.table = bits, _bitmap(spark, marks.select(F.col(marks.columns[0]).bitwiseAND(F.lit(bits - 1)).alias("p")), bits)
 
 
 class KeyGate:
     """A Gate over 64-bit keys that are mixed with a salt first."""
 
-    def __init__(self, spark: SparkSession, df: DataFrame, column: str, salt: int, bits: int = GATE_BITS):
+    def __init__(self, spark: SparkSession, df: DataFrame, column: str, salt: int, bits: int):
+        @trimmed
         def run(batches):
             for b in batches:
                 x = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -133,18 +178,27 @@ def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> Dat
 
 
 def _verified(pairs: DataFrame, payloads: DataFrame, linked: Callable[[list[bytes], list[bytes]], list[int]]) -> DataFrame:
+    @trimmed
     def run(batches):
         for b in batches:
-            keep = pa.array(linked(b.column(2).to_pylist(), b.column(3).to_pylist()), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
+            for at in range(0, len(b), VERIFIED):
+                c = b.slice(at, VERIFIED)
+                keep = pa.array(linked(c.column(2).to_pylist(), c.column(3).to_pylist()), pa.int32())
+                yield pa.RecordBatch.from_arrays([c.column(0).take(keep), c.column(1).take(keep)], names=["a", "b"])
 
     one = payloads.select(F.col("node").alias("a"), F.col("payload").alias("pa"))
     two = payloads.select(F.col("node").alias("b"), F.col("payload").alias("pb"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-#: Members of a list that are compared at once; a longer list is cut into parts, and pairs of parts are compared.
+#: Pairs unpacked at a time.
+VERIFIED = 512
+#: Members of a list whose sketches are compared at once; a longer list is cut into parts, and pairs of parts are compared.
 LIST_PART = 1024
+#: Tokens or characters of a group's members that are verified at once; a larger group is cut into parts likewise.
+GROUP_PART = 1 << 20
+#: Pivots that the lists with a common member name in one round.
+PIVOTS = 4
 
 
 def parity_sketch(tokens: np.ndarray, words: int) -> bytes:
@@ -154,66 +208,177 @@ def parity_sketch(tokens: np.ndarray, words: int) -> bytes:
     return np.packbits(odd, bitorder="little").tobytes()
 
 
-def _near_pairs(rest: DataFrame, most: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Pairs (a, b) of different components in the lists of rest(key, node, n, root, sketch, c) whose sketches don't rule them out.
+class _Sketches:
+    """Parity sketches of one or several widths, each a multiple of the narrower ones, that are compared at the narrower width."""
+
+    def __init__(self, column: pa.Array):
+        buf, offs = wh.strings(column)
+        self.width = np.diff(offs) // 8
+        self.rows = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.rows[w] = np.ascontiguousarray(buf[offs[at][:, None] + np.arange(8 * w)[None]]).view(np.uint64)
+        self.place = np.zeros(len(self.width), np.int64)
+        for w in self.rows:
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+
+    def _at(self, rows: np.ndarray, wide: int, narrow: int) -> np.ndarray:
+        """Sketches of this width, folded: the parity at a place of the narrower one is that of all places it stands for."""
+        found = self.rows[wide][self.place[rows]]
+        return found if wide == narrow else np.bitwise_xor.reduce(found.reshape(len(rows), wide // narrow, narrow), 1)
+
+    def far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which each of a differs from each of b."""
+        out = np.zeros((len(a), len(b)), np.int64)
+        for p in np.unique(self.width[a]).tolist():
+            i = np.flatnonzero(self.width[a] == p)
+            for q in np.unique(self.width[b]).tolist():
+                j, w = np.flatnonzero(self.width[b] == q), min(p, q)
+                one, two = self._at(a[i], p, w), self._at(b[j], q, w)
+                out[i[:, None], j[None]] = np.bitwise_count(one[:, None, :] ^ two[None]).sum(2, dtype=np.int64) if w else 0
+        return out
+
+    def paired(self, other: _Sketches) -> np.ndarray:
+        """Bits in which each row differs from the same row of `other`."""
+        out = np.zeros(len(self.width), np.int64)
+        for p, q in {*zip(self.width.tolist(), other.width.tolist(), strict=True)}:
+            at, w = np.flatnonzero((self.width == p) & (other.width == q)), min(p, q)
+            if w:
+                out[at] = np.bitwise_count(self._at(at, p, w) ^ other._at(at, q, w)).sum(1, dtype=np.int64)
+        return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Runs of whole groups of rows that agree in `keys`, with the numbers of the rows at which a group begins."""
+    held = None
+    for b in _with_end(batches):
+        if b is not None:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+        if held is None or not len(held):
+            continue
+        new = np.zeros(len(held), bool)
+        new[0] = True
+        for k in keys:
+            v = held[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        at = np.append(np.flatnonzero(new), len(held))
+        last = len(at) - 1 if b is None else len(at) - 2  # the last group may go on in the next batch
+        if last > 0:
+            yield held.slice(0, int(at[last])), at[: last + 1]
+            held = held.slice(int(at[last]))
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
+def _dealt(rows: DataFrame, key: str, parts: Column) -> DataFrame:
+    """rows once for each other part of their group, with lo and hi, the parts that meet, and own, the row's part; sorted by group."""
+    rows = rows.withColumn("_parts", parts.cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    rows = rows.withColumn("lo", F.least("own", "q")).withColumn("hi", F.greatest("own", "q")).drop("q")
+    return rows.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
+
+
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
 
-    No pair is made as a row before it is tested: rows are sorted by list and part, and each group of at most
-    2 * LIST_PART members is compared in memory.
+def _near_groups(rest: DataFrame, most: Near) -> DataFrame:
+    """(key, node): groups of nodes that a chain of pairs joins whose sketches don't rule them out, within lists of rest(key, node, n, root, sketch, c).
+
+    Only pairs of different components count. No pair is made as a row: at most 2 * LIST_PART members are compared in
+    memory, and a group is named by its smallest node, so that lists with the same members give the same group.
     """
-    parts = F.ceil(F.col("c") / LIST_PART).cast("int")
-    rows = rest.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("key", F.least("own", "q").alias("lo"), F.greatest("own", "q").alias("hi"), "own", "node", "n", "root", "sketch")
-    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-
-    def compare(t: pa.Table, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        node, n, root, own = (t[c][i:j] for c in ("node", "n", "root", "own"))
-        sketch = t["sketch"][i:j]
-        lo, hi = t["lo"][i], t["hi"][i]
-        out_a, out_b = [], []
-        right = np.arange(j - i) if lo == hi else np.flatnonzero(own == hi)
+    rows = _dealt(rest.select("key", "node", "n", "root", "sketch", "c"), "key", F.ceil(F.col("c") / LIST_PART)).drop("c")
+
+    def compare(node, n, root, own, sketch: _Sketches, at: int, lo, hi) -> tuple[np.ndarray, np.ndarray]:
+        right = np.arange(len(node)) if lo == hi else np.flatnonzero(own == hi)
         left = right if lo == hi else np.flatnonzero(own == lo)
+        name = node.copy()
+        touched = np.zeros(len(node), bool)
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
         for x in range(0, len(left), 128):
             some = left[x : x + 128]
-            far = np.bitwise_count(sketch[some][:, None, :] ^ sketch[right][None]).sum(2, dtype=np.int64)
-            ok = (root[some][:, None] != root[right][None]) & (far <= most(n[some][:, None], n[right][None]))
-            if lo == hi:
-                ok &= node[some][:, None] < node[right][None]
-            p, q = np.nonzero(ok)
-            out_a.append(node[some[p]])
-            out_b.append(node[right[q]])
-        none = np.zeros(0, np.int64)
-        a, b = np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
-        return np.minimum(a, b), np.maximum(a, b)
+            far = sketch.far(at + some, at + right)
+            p, q = np.nonzero((root[some][:, None] != root[right][None]) & (far <= most(n[some][:, None], n[right][None])))
+            ends.append((some[p], right[q]))
+        p, q = (np.concatenate(e) for e in zip(*ends, strict=True)) if ends else (np.zeros(0, np.int64),) * 2
+        touched[p] = touched[q] = True
+        while True:  # the smallest name spreads along the pairs
+            low = np.minimum(name[p], name[q])
+            before = name.copy()
+            np.minimum.at(name, p, low)
+            np.minimum.at(name, q, low)
+            if (name == before).all():
+                return name[touched], node[touched]
+
+    @trimmed
+    def run(batches):
+        for t, at in _groups(batches, ["key", "lo", "hi"]):
+            t = t.combine_chunks()
+            node, n, root, own, lo, hi = (t[c].to_numpy() for c in ("node", "n", "root", "own", "lo", "hi"))
+            sketch = _Sketches(t["sketch"])
+            found = [compare(node[i:j], n[i:j], root[i:j], own[i:j], sketch, i, lo[i], hi[i]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if j - i > 1]
+            if found:
+                pairs = np.unique(np.stack([np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["key", "node"])
+
+    return rows.mapInArrow(run, "key long, node long").distinct()
 
+
+def _spanning(members: DataFrame, most: Near, row_links: Callable[[list, int, np.ndarray], np.ndarray], unpack: Callable[[bytes], object]) -> DataFrame:
+    """Links (a, b) that join what the linked pairs in each group of members(key, node, n, root, sketch, payload) join.
+
+    Groups are verified in memory, in parts of GROUP_PART. A pair is verified only while its ends are in different
+    components, so a group gives fewer links than it has members.
+    """
+    size = members.groupBy("key").agg(F.sum("n").alias("_size"))
+    rows = _dealt(members.join(size, "key"), "key", F.ceil((F.col("_size") + 1) / GROUP_PART)).drop("_size")
+
+    def join(node, n, root, own, sketch: _Sketches, at: int, raw, lo, hi) -> list[tuple[int, int]]:
+        part, sets, out = root.copy(), [unpack(x) for x in raw], []
+        right = np.arange(len(node)) if lo == hi else np.flatnonzero(own == hi)
+        for x in (right if lo == hi else np.flatnonzero(own == lo)).tolist():
+            others = right[part[right] != part[x]]
+            others = others[sketch.far(np.array([at + x]), at + others)[0] <= most(n[others], n[x])]
+            hit = others[row_links(sets, x, others)] if len(others) else others
+            if len(hit):
+                _, once = np.unique(part[hit], return_index=True)
+                out += [(int(node[x]), int(node[y])) for y in hit[once]]
+                part[np.isin(part, part[hit[once]])] = part[x]
+        return out
+
+    @trimmed
     def run(batches):
-        held = None
-        for b in _with_end(batches):
-            if b is not None:
-                cols = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi", "own", "node", "n", "root")}
-                raw = b.column("sketch")
-                width = len(raw[0].as_py()) // 8 if len(raw) else 1
-                cols["sketch"] = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(len(raw), width)
-                held = cols if held is None else {c: np.concatenate([held[c], cols[c]]) for c in cols}
-                if not len(held["key"]):
-                    continue
-            if held is None or not len(held["key"]):
-                continue
-            new = np.ones(len(held["key"]), bool)
-            new[1:] = (held["key"][1:] != held["key"][:-1]) | (held["lo"][1:] != held["lo"][:-1]) | (held["hi"][1:] != held["hi"][:-1])
-            at = np.append(np.flatnonzero(new), len(new))
-            last = len(at) - 1 if b is None else len(at) - 2  # the last group may go on in the next batch
-            pairs = [compare(held, i, j) for i, j in zip(at[:last].tolist(), at[1 : last + 1].tolist(), strict=True) if j - i > 1]
-            held = {c: v[at[last] :] for c, v in held.items()} if b is not None else None
-            if pairs:
-                found = np.unique(np.stack([np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+        for t, at in _groups(batches, ["key", "lo", "hi"]):
+            t = t.combine_chunks()
+            node, n, root, own, lo, hi = (t[c].to_numpy() for c in ("node", "n", "root", "own", "lo", "hi"))
+            sketch, found = _Sketches(t["sketch"]), []
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if j - i > 1:
+                    found += join(node[i:j], n[i:j], root[i:j], own[i:j], sketch, i, t["payload"].slice(i, j - i).to_pylist(), lo[i], hi[i])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
+    return rows.mapInArrow(run, "a long, b long")
 
-def _with_end(batches):
-    yield from batches
-    yield None
+
+def _possible(pairs: DataFrame, known: DataFrame, most: Near) -> DataFrame:
+    """(a, b) of the pairs (a, n, b, m) that their sketches don't rule out."""
+
+    @trimmed
+    def run(batches):
+        for b in batches:
+            n, m = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "m"))
+            far = _Sketches(b.column("sa")).paired(_Sketches(b.column("sb")))
+            yield b.select(["a", "b"]).filter(pa.array(far <= most(n, m)))
+
+    one = known.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+    two = known.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def resolve_lists(
@@ -221,52 +386,67 @@ def resolve_lists(
     lists: DataFrame,
     close: Callable[[Column, Column], Column],
     fetch: Callable[[DataFrame], DataFrame],
-    linked: Callable[[list[bytes], list[bytes]], list[int]],
+    linked,
     sketches: Callable[[DataFrame], DataFrame],
-    most: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    most: Near,
     rounds: int,
 ) -> DataFrame:
     """Links (a, b) whose components are those of all linked pairs that share a list.
 
-    lists(key, node, n) holds each member once. In each of `rounds` rounds every list that holds several components
-    names a pivot, its other members are verified against that, and components contract; a pivot leaves its lists.
-    After that, pairs of different components that still share a list are compared by what sketches(nodes) gives, (node, sketch), and
-    those that differ in no more than most(n, m) bits are verified; payloads that come with the sketches save a fetch. close(n, m) may rule out a pair by its sizes,
-    fetch(nodes) gives (node, payload), and linked() picks from two lists of payloads the pairs that link.
+    lists(key, node, n) holds each member once. sketches(nodes) gives (node, sketch), and may give payloads as well;
+    two members that differ in more than most(n, m) bits can't be linked. In each of `rounds` rounds every list that
+    holds several components names a pivot, its other members are verified against that, and components contract; a
+    pivot leaves its lists. After that, members of different components that still share a list form groups by their
+    sketches, and inside each group pairs are verified until its components are known. close(n, m) may rule out a pair
+    by its sizes, fetch(nodes) gives (node, payload); linked(payloads, payloads) picks the pairs that link, and
+    linked.row(unpacked, x, others) those of one member, of payloads that linked.unpack takes apart.
     """
-    spark, links, done, labels, known = scratch.spark, None, None, None, None
-    for turn in range(rounds + 1):
-        open_ = lists
+    spark, links, done, labels = scratch.spark, None, None, None
+    company = lists.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
+    lists = scratch.keep(lists.join(company, "key", "left_semi"), "company")
+    if not lists.take(1):
+        return spark.createDataFrame([], "a long, b long")
+    known = scratch.keep(sketches(lists.select("node").distinct()), "sketches")
+
+    def open_lists() -> DataFrame:
+        out = lists
         if labels is not None:
-            open_ = open_.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            out = out.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
         else:
-            open_ = open_.withColumn("root", F.col("node"))
+            out = out.withColumn("root", F.col("node"))
         if done is not None:  # a pivot has been held against every member of its list
-            open_ = open_.join(done, ["key", "node"], "left_anti")
-        several = open_.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct("node", "n", "root")).alias("p"), F.count(F.lit(1)).alias("c")).where("r0 <> r1")
-        several = scratch.keep(several.select("key", "c", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.root").alias("rb")), "pivots")
-        if not several.take(1):
-            break
-        if turn < rounds:
-            pairs = open_.join(several, "key").where((F.col("root") != F.col("rb")) & (F.col("node") != F.col("b")) & close(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), "b").distinct()
-            now = several.select("key", F.col("b").alias("node"))
-            done = now if done is None else done.unionByName(now)
-        else:
-            rest = scratch.keep(open_.join(several.select("key", "c"), "key").select("key", "node", "n", "root", "c"), "rest")
-            known = scratch.keep(sketches(rest.select("node").distinct()), "sketches")
-            pairs = _near_pairs(rest.join(known, "node").select("key", "node", "n", "root", "sketch", "c"), most)
-        pairs = scratch.keep(pairs, "pairs")
+            out = out.join(done, ["key", "node"], "left_anti")
+        return out
+
+    def payloads(nodes: DataFrame) -> DataFrame:
+        return known if "payload" in known.columns else scratch.keep(fetch(nodes.distinct()), "payloads")
+
+    def add(found: DataFrame) -> DataFrame:
+        # the labels stand for the links that gave them
+        return found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+    for turn in range(rounds):
+        open_ = open_lists()
+        # lists with common members choose among the same few pivots, so a member meets few of them
+        order = F.xxhash64("node", F.pmod("key", F.lit(PIVOTS)), F.lit(turn))
+        several = open_.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct(order.alias("o"), "node", "n", "root")).alias("p")).where("r0 <> r1")
+        several = scratch.keep(several.select("key", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.root").alias("rb")), "pivots")
+        pairs = open_.join(several, "key").where((F.col("root") != F.col("rb")) & (F.col("node") != F.col("b")) & close(F.col("n"), F.col("m")))
+        pairs = scratch.keep(_possible(pairs.select(F.col("node").alias("a"), "n", "b", "m").distinct(), known, most), "pairs")
+        now = several.select("key", F.col("b").alias("node"))
+        done = now if done is None else done.unionByName(now)
         if not pairs.take(1):
             continue
-        if known is not None and "payload" in known.columns:
-            payloads = known
-        else:
-            wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-            payloads = scratch.keep(fetch(wanted), "payloads")
-        found = scratch.keep(_verified(pairs, payloads, linked), "links")
-        scratch.drop(payloads, pairs)
-        # the labels stand for the links that gave them
-        links = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        if turn < rounds:
-            labels = components(scratch, links)
+        texts = payloads(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
+        links = add(scratch.keep(_verified(pairs, texts, linked), "links"))
+        labels = components(scratch, links)
+
+    open_ = open_lists()
+    several = open_.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("c")).where("r0 <> r1")
+    rest = scratch.keep(open_.join(several.select("key", "c"), "key").select("key", "node", "n", "root", "c"), "rest")
+    near = scratch.keep(_near_groups(rest.join(known.select("node", "sketch"), "node"), most), "groups")
+    if near.take(1):
+        members = near.join(rest.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")), "node")
+        members = members.join(known.select("node", "sketch"), "node").join(payloads(near.select("node")).select("node", "payload"), "node")
+        links = add(scratch.keep(_spanning(members, most, linked.row, linked.unpack), "links"))
     return links if links is not None else spark.createDataFrame([], "a long, b long")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import wordhash as wh
-from .shared import GATE_BITS, Gate, Scratch, test_bits
+from .shared import Gate, Scratch, gate_size, test_bits, trimmed
 
 WINDOW, ANCHOR = 35, 6
 _POS = (1 << 26) - 1
@@ -84,6 +84,7 @@ def _run_mark(key: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _minimizers(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [paths(part, offs, window, anchor)[3] for _, _, part, offs in wh.pieces(*wh.strings(b.column(0)))]
@@ -95,6 +96,7 @@ def _minimizers(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 def _paths_of(docs: DataFrame, window: int, anchor: int, gate: Gate) -> DataFrame:
     bits, table = gate.bits, gate.table
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key = b.column(1).to_numpy(zero_copy_only=False)
@@ -115,6 +117,7 @@ def _edges_of(docs: DataFrame, window: int, anchor: int, marks: Gate) -> DataFra
     """Edges (anchor, edge, key, at) of the marked paths. A path that is marked by chance only adds true edges."""
     bits, table = marks.bits, marks.table
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -134,10 +137,11 @@ def _edges_of(docs: DataFrame, window: int, anchor: int, marks: Gate) -> DataFra
     return docs.select("text", "key").mapInArrow(run, "anchor long, edge long, key long, at int")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, gate_bits: int = GATE_BITS) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, gate_bits: int | None = None) -> DataFrame:
     """(key, spans): for each row key of _keyed(docs) the edge runs (first edge, edges) that occur elsewhere too."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substring")
-    twice = _minimizers(docs, window, anchor).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    twice = scratch.keep(_minimizers(docs, window, anchor).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "minimizers")
+    gate_bits = gate_bits or gate_size(twice.count())
     found = scratch.keep(_paths_of(docs, window, anchor, Gate(spark, twice, gate_bits)), "paths")
     variants = scratch.keep(found.groupBy("anchor", "path").agg(F.count(F.lit(1)).alias("c"), F.min("mark").alias("source")), "variants")
     buckets = variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("paths"), F.min("c").alias("least")).where("paths > 1 and least = 1").select("anchor")
@@ -150,7 +154,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     return whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
-def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, gate_bits: int = GATE_BITS) -> DataFrame:
+def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, gate_bits: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept of every row of docs(doc_id, text); kept is the kept words joined by one blank.
 
     Words are runs of anything but ASCII white space. A word goes if a window of `window` words over it starts anywhere
@@ -162,6 +166,7 @@ def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, gate_bits
     spans = repeated_spans(docs, window, anchor, gate_bits)
     schema = StructType([docs.schema["doc_id"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(2)

@@ -53,8 +53,19 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
+    def forget(self) -> None:
+        self.up = self.down = np.ones(1, U)
+
+
 _BYTE_POWERS, _WORD_POWERS = _Powers(_MULT), _Powers(_WORD_MULT)
 
+
+def forget() -> None:
+    """Free the tables of powers; they grow again on demand."""
+    _BYTE_POWERS.forget()
+    _WORD_POWERS.forget()
+
+
 #: Words of [^\x20\x09-\x0D]+ : every byte but ASCII white space.
 SPACE_WORDS = np.ones(256, bool)
 SPACE_WORDS[[0x20, *range(0x09, 0x0E)]] = False
