@@ -74,3 +74,28 @@ def test_against_brute_force(spark, edits, least):
 
 def test_empty_table(spark):
     assert linededup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_batches_of_pairs_agree_with_single_pairs():
+    r = random.Random(5)
+    for edits in (0, 1, 2, 3, 5):
+        a, b = [], []
+        for _ in range(300):
+            x = "".join(r.choices("abé", k=r.randrange(60)))
+            y = list(x)
+            for _ in range(r.randrange(2 * edits + 2)):
+                at, act = r.randrange(len(y) + 1), r.randrange(3)
+                y[at : at + (act > 0)] = r.choice("abc") if act < 2 else ""
+            a.append(x)
+            b.append("".join(y) if r.random() < 0.9 else "".join(r.choices("abé", k=r.randrange(60))))
+        want = [linededup.within(x, y, edits) for x, y in zip(a, b, strict=True)]
+        assert linededup.within_many(a, b, linededup.Budget(edits, 0)).tolist() == want and any(want)
+
+
+def test_ids_that_are_null_repeated_or_text(spark):
+    line = "the very same line of more than thirty-two characters"
+    d = spark.createDataFrame([(None, line + "\nfirst text"), (None, line + "\nsecond text"), (7, "a line of its own, again and again\nx"), (7, "a line of its own, again and again\ny")], "doc_id long, text string")
+    got = [(r.doc_id, r.n_removed) for r in linededup.dedup(d).collect()]
+    assert sorted(got, key=str) == [(7, 0), (7, 1), (None, 0), (None, 1)]
+    named = d.selectExpr("concat('d', cast(coalesce(doc_id, 1) as string)) as doc_id", "text")
+    assert sum(r.n_removed for r in linededup.dedup(named).collect()) == 2

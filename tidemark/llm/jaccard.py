@@ -249,13 +249,17 @@ class _Linked:
                 keep.append(i)
         return keep
 
-    def row(self, sets: list[np.ndarray], x: int, others: np.ndarray) -> np.ndarray:
-        """Places in `others` of the sets that are linked with set x."""
-        a, some = sets[x], [sets[y] for y in others.tolist()]
-        sizes = np.array([len(s) for s in some])
-        tokens = np.concatenate(some)
-        same = a[np.minimum(np.searchsorted(a, tokens), len(a) - 1)] == tokens
-        return np.flatnonzero(self._ok(len(a), sizes, np.add.reduceat(same, np.cumsum(sizes) - sizes, dtype=np.int64)))
+    def which(self, sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the sets i are linked with the sets j."""
+        out = np.zeros(len(i), bool)
+        order = np.argsort(i, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
+            a, some = sets[i[at[0]]], [sets[y] for y in j[at].tolist()]
+            sizes = np.array([len(s) for s in some])
+            tokens = np.concatenate(some)
+            same = a[np.minimum(np.searchsorted(a, tokens), len(a) - 1)] == tokens
+            out[at] = self._ok(len(a), sizes, np.add.reduceat(same, np.cumsum(sizes) - sizes, dtype=np.int64))
+        return out
 
 
 def _boundary(nodes: DataFrame, counts: DataFrame, measure: Measure) -> int:

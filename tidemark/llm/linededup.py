@@ -30,6 +30,8 @@ PIVOT_ROUNDS = 1
 #: Words of 64 bits of the sketch that rules out pairs.
 SKETCH_WORDS = 4
 NODES = 0x11E6
+#: Keys that are broadcast (8 MB of them); more are joined by a shuffle.
+MOST_SENT = 1 << 20
 U = np.uint64
 _PIECE = 1 << 20
 _BLANK = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
@@ -114,6 +116,79 @@ def _banded(a: str, b: str, edits: int) -> bool:
     return bool(levels[-1] >> (len(b) - len(a) + edits) & 1)
 
 
+#: Pairs that are worth a batch, and characters of one.
+BATCH, BATCH_SIZE = 24, 1 << 21
+
+
+def within_many(a: list[str], b: list[str], budget: Budget) -> np.ndarray:
+    """within() of each pair, by the edits that its shorter line may have; pairs of similar lengths go together."""
+    n, m = (np.array([len(x) for x in v], np.int64) for v in (a, b))
+    edits, out = budget.of(np.minimum(n, m)), np.zeros(len(a), bool)
+    close = np.abs(n - m) <= edits
+    for e in np.unique(edits[close]).tolist():
+        rows = np.flatnonzero(close & (edits == e))
+        rows = rows[np.argsort(n[rows], kind="stable")]
+        while len(rows):
+            # as many as fit at the length of the longest
+            fit = max(1, int(np.searchsorted(np.arange(1, len(rows) + 1) * n[rows], BATCH_SIZE, "right")))
+            some, rows = rows[:fit], rows[fit:]
+            if len(some) >= BATCH:
+                out[some] = _banded_many([a[k] for k in some.tolist()], [b[k] for k in some.tolist()], e)
+            else:
+                out[some] = [within(a[k], b[k], e) for k in some.tolist()]
+    return out
+
+
+def _points(lines: list[str], size: int, before: int, fill: int) -> np.ndarray:
+    """Code points, a line a column, from row `before` on."""
+    out = np.full((len(lines), size), fill, np.uint32)
+    for k, x in enumerate(lines):
+        out[k, before : before + len(x)] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.ascontiguousarray(out.T)
+
+
+def _banded_many(a: list[str], b: list[str], edits: int) -> np.ndarray:
+    """The levels of _banded for many pairs at once: each level is one 64-bit word a pair."""
+    n, m = (np.array([len(x) for x in v], np.int64) for v in (a, b))
+    width, long = 2 * edits + 1, int(n.max())
+    one, full = np.uint64(1), np.uint64((1 << width) - 1)
+    x, y = _points(a, long, 0, 0xFFFFFFFE), _points(b, long + width + edits, edits, 0xFFFFFFFF)
+    powers = (one << np.arange(width, dtype=np.uint64))[:, None]
+
+    def inside(i: int, size: np.ndarray) -> np.ndarray:
+        """Bits of the diagonals on which position i - edits + bit is in 0 .. size - 1."""
+        top = np.clip(size - i + edits, 0, width).astype(np.uint64)
+        return ((one << top) - one) & ~np.uint64((1 << max(0, min(width, edits - i))) - 1)
+
+    levels, below, start = [], None, inside(0, m + 1)
+    for _ in range(edits + 1):
+        below = np.full(len(a), 1 << edits, np.uint64) if below is None else (below | below << one) & start
+        levels.append(below)
+    out, alive = (n == 0) & (m <= edits), np.arange(len(a))
+    for i in range(long):
+        match = ((y[i : i + width] == x[i]) * powers).sum(0, dtype=np.uint64)
+        room, ends = inside(i, m), inside(i + 1, m + 1)
+        fresh, old_below, new_below = [], None, None
+        for old in levels:
+            z = old & match
+            if old_below is not None:
+                z |= (old_below & room) | (old_below >> one) | (new_below << one)
+            z &= ends & full
+            fresh.append(z)
+            old_below, new_below = old, z
+        levels = fresh
+        over = n == i + 1
+        if over.any():
+            out[alive[over]] = (levels[-1][over] >> (m[over] - n[over] + edits).astype(np.uint64)) & one == one
+        if i % 16 == 15:
+            go = (levels[-1] != 0) & (n > i + 1)
+            if not go.any():
+                break
+            if go.mean() < 0.7:
+                alive, n, m, levels, x, y = alive[go], n[go], m[go], [v[go] for v in levels], np.ascontiguousarray(x[:, go]), np.ascontiguousarray(y[:, go])
+    return out
+
+
 def _lines(part: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, number, start, characters, code points) of the lines of a run of texts."""
     points = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -222,8 +297,10 @@ def _entries(docs: DataFrame, budget: Budget) -> DataFrame:
             _, once = np.unique(node, return_index=True)
             once = once[length[once] >= budget.least]
             start, length, node = start[once], length[once], node[once]
-            for rows, found in _signatures(start, length, h, budget, True):
-                yield _batch(schema.names, nothing, segment=pa.array(wh.signed(found)), node=pa.array(wh.signed(node[rows])), n=pa.array(length[rows].astype(np.int32)))
+            found = [*_signatures(start, length, h, budget, True)]
+            if found:
+                rows, key = (np.concatenate(v) for v in zip(*found, strict=True))
+                yield _batch(schema.names, nothing, segment=pa.array(wh.signed(key)), node=pa.array(wh.signed(node[rows])), n=pa.array(length[rows].astype(np.int32)))
 
     return docs.select("text", "key", "id").mapInArrow(run, schema)
 
@@ -237,27 +314,17 @@ def _probes(docs: DataFrame, budget: Budget, gate: Gate) -> DataFrame:
         for _, _, _, _, start, length, _, h, node in _long_lines(batches, 0, budget.least):
             _, once = np.unique(node, return_index=True)
             start, length, node = start[once], length[once], node[once]
+            found = []
             for rows, key in _signatures(start, length, h, budget, False):
                 ok = test_bits(table.value, key & U(bits - 1))
-                rows = rows[ok]
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(wh.signed(key[ok])), pa.array(wh.signed(node[rows])), pa.array(length[rows].astype(np.int32))], names=["key", "node", "n"])
+                found.append((rows[ok], key[ok]))
+            if found:
+                rows, key = (np.concatenate(v) for v in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(wh.signed(key)), pa.array(wh.signed(node[rows])), pa.array(length[rows].astype(np.int32))], names=["key", "node", "n"])
 
     return docs.select("text").mapInArrow(run, "key long, node long, n int")
 
 
-def _with_company(rows: DataFrame, gate: Gate) -> DataFrame:
-    """The rows whose key the gate may have."""
-    bits, table = gate.bits, gate.table
-
-    @trimmed
-    def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(test_bits(table.value, b.column(0).to_numpy(zero_copy_only=False).view(U) & U(bits - 1))))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def _raw(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[bytes]:
     return [points[s : s + n].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for s, n in zip(start.tolist(), length.tolist(), strict=True)]
 
@@ -299,16 +366,12 @@ class _Linked:
     def unpack(raw: bytes) -> str:
         return raw.decode("utf-8", "surrogatepass")
 
-    def row(self, lines: list[str], x: int, others: np.ndarray) -> np.ndarray:
-        """Places in `others` of the lines that are linked with line x."""
-        some = [lines[y] for y in others.tolist()]
-        edits = self.budget.of(np.minimum(np.array([len(y) for y in some]), len(lines[x]))).tolist()
-        return np.array([i for i, (y, e) in enumerate(zip(some, edits, strict=True)) if within(lines[x], y, e)], np.int64)
+    def which(self, lines: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the lines i are linked with the lines j."""
+        return within_many([lines[x] for x in i.tolist()], [lines[y] for y in j.tolist()], self.budget)
 
     def __call__(self, left: list[bytes], right: list[bytes]) -> list[int]:
-        pairs = [(self.unpack(x), self.unpack(y)) for x, y in zip(left, right, strict=True)]
-        edits = self.budget.of(np.array([min(len(x), len(y)) for x, y in pairs], np.int64)).tolist()
-        return [i for i, ((x, y), e) in enumerate(zip(pairs, edits, strict=True)) if within(x, y, e)]
+        return np.flatnonzero(within_many([self.unpack(x) for x in left], [self.unpack(y) for y in right], self.budget)).tolist()
 
 
 def classes(docs: DataFrame, budget: Budget, scratch: Scratch, gate_bits: int | None) -> tuple[DataFrame, DataFrame]:
@@ -320,9 +383,10 @@ def classes(docs: DataFrame, budget: Budget, scratch: Scratch, gate_bits: int |
     bits = gate_bits or gate_size(index.count())
     probes = scratch.keep(_probes(docs, budget, Gate(spark, index.select("key"), bits)), "probes")
     both = index.unionByName(probes)
-    shared = both.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    lists = scratch.keep(_with_company(both, Gate(spark, shared, bits)).distinct(), "lists")
-    scratch.drop(probes)
+    shared = scratch.keep(both.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"), "shared")
+    few = shared.count() <= MOST_SENT
+    lists = scratch.keep(both.join(F.broadcast(shared) if few else shared, "key", "left_semi").distinct(), "lists")
+    scratch.drop(probes, shared)
     nodes = lambda wanted: KeyGate(spark, wanted, "node", NODES, bits)
     links = resolve_lists(
         scratch,

@@ -195,8 +195,8 @@ def _verified(pairs: DataFrame, payloads: DataFrame, linked: Callable[[list[byte
 VERIFIED = 512
 #: Members of a list whose sketches are compared at once; a longer list is cut into parts, and pairs of parts are compared.
 LIST_PART = 1024
-#: Tokens or characters of a group's members that are verified at once; a larger group is cut into parts likewise.
-GROUP_PART = 1 << 20
+#: Members of a group that are verified at once, and their tokens or characters; a larger group is cut into parts likewise.
+GROUP_PART, GROUP_SIZE = 512, 1 << 20
 #: Pivots that the lists with a common member name in one round.
 PIVOTS = 4
 
@@ -329,26 +329,39 @@ def _near_groups(rest: DataFrame, most: Near) -> DataFrame:
     return rows.mapInArrow(run, "key long, node long").distinct()
 
 
-def _spanning(members: DataFrame, most: Near, row_links: Callable[[list, int, np.ndarray], np.ndarray], unpack: Callable[[bytes], object]) -> DataFrame:
+def _spanning(members: DataFrame, most: Near, which: Callable[[list, np.ndarray, np.ndarray], np.ndarray], unpack: Callable[[bytes], object]) -> DataFrame:
     """Links (a, b) that join what the linked pairs in each group of members(key, node, n, root, sketch, payload) join.
 
-    Groups are verified in memory, in parts of GROUP_PART. A pair is verified only while its ends are in different
+    Groups are verified in memory, in parts of GROUP_PART members and GROUP_SIZE. A pair is verified only while its ends are in different
     components, so a group gives fewer links than it has members.
     """
-    size = members.groupBy("key").agg(F.sum("n").alias("_size"))
-    rows = _dealt(members.join(size, "key"), "key", F.ceil((F.col("_size") + 1) / GROUP_PART)).drop("_size")
+    size = members.groupBy("key").agg(F.sum("n").alias("_size"), F.count(F.lit(1)).alias("_c"))
+    parts = F.greatest(F.ceil((F.col("_size") + 1) / GROUP_SIZE), F.ceil(F.col("_c") / GROUP_PART))
+    rows = _dealt(members.join(size, "key"), "key", parts).drop("_size", "_c")
 
     def join(node, n, root, own, sketch: _Sketches, at: int, raw, lo, hi) -> list[tuple[int, int]]:
-        part, sets, out = root.copy(), [unpack(x) for x in raw], []
         right = np.arange(len(node)) if lo == hi else np.flatnonzero(own == hi)
-        for x in (right if lo == hi else np.flatnonzero(own == lo)).tolist():
-            others = right[part[right] != part[x]]
-            others = others[sketch.far(np.array([at + x]), at + others)[0] <= most(n[others], n[x])]
-            hit = others[row_links(sets, x, others)] if len(others) else others
-            if len(hit):
-                _, once = np.unique(part[hit], return_index=True)
-                out += [(int(node[x]), int(node[y])) for y in hit[once]]
-                part[np.isin(part, part[hit[once]])] = part[x]
+        left = right if lo == hi else np.flatnonzero(own == lo)
+        ends = []
+        for x in range(0, len(left), 128):
+            some = left[x : x + 128]
+            far = sketch.far(at + some, at + right)
+            p, q = np.nonzero((root[some][:, None] != root[right][None]) & (far <= most(n[some][:, None], n[right][None])) & ((some[:, None] < right[None]) | (lo != hi)))
+            ends.append((some[p], right[q], far[p, q]))
+        p, q, far = (np.concatenate(e) for e in zip(*ends, strict=True))
+        order = np.argsort(far, kind="stable")  # the nearest pairs first, as each link rules out others
+        p, q = p[order], q[order]
+        part, sets, out = root.copy(), [unpack(x) for x in raw], []
+        x, step = 0, 64
+        while x < len(p):
+            i, j = p[x : x + step], q[x : x + step]
+            x, step = x + step, min(4 * step, 4096)
+            open_ = part[i] != part[j]
+            i, j = i[open_], j[open_]
+            for k in np.flatnonzero(which(sets, i, j)).tolist() if len(i) else ():
+                if part[i[k]] != part[j[k]]:
+                    out.append((int(node[i[k]]), int(node[j[k]])))
+                    part[part == part[j[k]]] = part[i[k]]
         return out
 
     @trimmed
@@ -399,7 +412,7 @@ def resolve_lists(
     pivot leaves its lists. After that, members of different components that still share a list form groups by their
     sketches, and inside each group pairs are verified until its components are known. close(n, m) may rule out a pair
     by its sizes, fetch(nodes) gives (node, payload); linked(payloads, payloads) picks the pairs that link, and
-    linked.row(unpacked, x, others) those of one member, of payloads that linked.unpack takes apart.
+    linked.which(unpacked, i, j) says which pairs do of members that linked.unpack has taken apart.
     """
     spark, links, done, labels = scratch.spark, None, None, None
     company = lists.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
@@ -448,5 +461,5 @@ def resolve_lists(
     if near.take(1):
         members = near.join(rest.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")), "node")
         members = members.join(known.select("node", "sketch"), "node").join(payloads(near.select("node")).select("node", "payload"), "node")
-        links = add(scratch.keep(_spanning(members, most, linked.row, linked.unpack), "links"))
+        links = add(scratch.keep(_spanning(members, most, linked.which, linked.unpack), "links"))
     return links if links is not None else spark.createDataFrame([], "a long, b long")
