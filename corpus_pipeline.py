@@ -24,19 +24,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes near-copied lines out of texts, all but the first; documents stay, with n_chars of what is left."""
-    found = linededup.dedup(docs.select(*COLUMNS))
+    """Takes near-copied lines out of texts, all but the first; n_chars is of what is left. Documents that lose all they had go."""
+    found = linededup.dedup(docs.select(*COLUMNS)).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
-    groups = jaccard.join(docs, k=5, num=80, den=100)
-    # one row of each component: the one that gave it its name
-    kept = Scratch(spark, "kept").keep(groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_id")), "ids")
-    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*COLUMNS)
-    # rows that repeat an id are one document only if they repeat its text as well
-    return out.dropDuplicates(["doc_id", "text"]) if kept.groupBy("_id").count().where("count > 1").take(1) else out
+    """Keeps one document of each near-duplicate group: five-word shingles, similarity 0.8 or more.
+
+    That of the smallest doc_id stays, null ids last; rows that agree in id and text are one document.
+    """
+    lead = jaccard.groups(docs, k=5, num=80, den=100).where("leads").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    lead = Scratch(spark, "kept").keep(lead, "ids")
+    same = docs["doc_id"].eqNullSafe(lead["_id"]) & (F.xxhash64(docs["text"]) == lead["_hash"])
+    out = docs.join(lead.distinct(), same, "left_semi").select(*COLUMNS)
+    return out.dropDuplicates(["doc_id", "text"]) if lead.groupBy("_id", "_hash").count().where("count > 1").take(1) else out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
