@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
+from .shared import trimmed
+
 
 #: A piece of more bytes than this runs the same rule on a linked list with a heap: a padded row costs the square of its length.
 WIDEST = 512
@@ -255,6 +257,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     schema = StructType([*docs.schema.fields, *more])
     at = docs.columns.index(text)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared)
         for b in batches:
@@ -285,6 +288,7 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
     schema = StructType([*rows.schema.fields, StructField(out, BinaryType())])
     at = rows.columns.index(ids)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _coder(shared).bpe
         for b in batches:
@@ -304,6 +308,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     docs = docs.select("doc_id", "text")
     schema = StructType([docs.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared)
         for b in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import wordhash as wh
-from .shared import Scratch
+from .shared import Scratch, trimmed
 
 WINDOW, SHINGLE = 10, 5
 #: Most windows of one broadcast (about 30 MB).
@@ -36,6 +36,7 @@ def _hashed(buf, offsets):
 def _windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
     """(content, length, item): distinct windows of every item; the shingles of a window follow from its content."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0)
@@ -114,6 +115,7 @@ def _rarity(docs: DataFrame, block: _Block) -> np.ndarray:
     sizes = {s: np.unique(block.every[block.size == s]) for s in np.unique(block.size).tolist()}
     shared = spark.sparkContext.broadcast(sizes)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {s: np.zeros(len(k), np.int64) for s, k in shared.value.items()}
         flags = {s: _flags(k) for s, k in shared.value.items()}
@@ -179,6 +181,7 @@ def _probe(docs: DataFrame, block: _Block, keep: list[str]) -> DataFrame:
             begin, window = begin[same], window[same]
         return first, begin, window
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = shared.value
         length, items = data[1], data[4]

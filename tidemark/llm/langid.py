@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .shared import trimmed
+
 BUCKETS = (512, 2048, 4096)
 WIDTH = sum(BUCKETS)
 LANDMARKS = 256
@@ -178,6 +180,7 @@ def train(docs: DataFrame, allowed: Column) -> Model:
     for lang, c in counts.items():
         share = F.when(F.col("lang") == lang, int((1 << 30) * min(1.0, 1.2 * each / c + 1e-6))).otherwise(share)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, texts = 0, b.column(1).to_pylist()
@@ -213,6 +216,7 @@ def classify(docs: DataFrame, model: Model, strict: bool = False) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, scores = [], []

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .shared import Scratch
+from .shared import Scratch, trimmed
 
 #: The bound of the training sample, in labelled rows.
 MOST_LABELS = 20_000
@@ -100,6 +100,7 @@ def measure(part: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the STATISTICS of every whole text; a null text counts as empty."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [measure(part, offs) for _, _, part, offs in wh.pieces(*wh.strings(b.column(1)))]
