@@ -20,13 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .shared import trimmed
-
+from .shared import small_batches, trimmed
 
 #: A piece of more bytes than this runs the same rule on a linked list with a heap: a padded row costs the square of its length.
 WIDEST = 512
 #: Distinct pieces that a worker remembers between batches; older ones are forgotten together.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _NONE = np.int64(1 << 40)
 U = np.uint64
 
@@ -188,10 +187,18 @@ class Bpe:
 
 
 class Coder:
-    """Encodes texts piece by piece, with a bounded memory of pieces. Each piece is kept with its ids and its decoded bytes."""
+    """Encodes texts piece by piece, with a bounded memory of pieces: their number of ids, the ids and the bytes decoded from them.
+
+    Ids are kept as decimals joined by blanks, or as the bytes of 32-bit integers, whichever the task needs.
+    """
 
     def __init__(self, bpe: Bpe):
-        self.bpe, self.known = bpe, {}
+        self.bpe, self.known, self.decimal = bpe, {}, True
+
+    def form(self, decimal: bool) -> Coder:
+        if decimal != self.decimal:
+            self.known, self.decimal = {}, decimal
+        return self
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         cut = [self.bpe.pattern.findall(t) for t in texts]
@@ -200,7 +207,7 @@ class Coder:
         fresh = list(set().union(*cut).difference(self.known)) if cut else []
         raw = [p.encode("utf-8", "surrogatepass") for p in fresh]
         for p, ids in zip(fresh, self.bpe.encode_pieces(raw), strict=True):
-            self.known[p] = (len(ids), " ".join(map(str, ids)), self.bpe.decode(ids), ids)
+            self.known[p] = (len(ids), " ".join(map(str, ids)) if self.decimal else np.array(ids, np.int32).tobytes(), self.bpe.decode(ids))
         return cut
 
     def groups(self, texts: Iterable[str]) -> Iterator[list[str]]:
@@ -240,6 +247,7 @@ class _Shared:
 
 def _vocabulary(spark, path: str, pattern: str) -> _Shared:
     """The rank file, read once by the driver; it is a fixed file of about 1 MB, so it can be broadcast."""
+    small_batches(spark)
     with open(path, encoding="ascii") as f:
         return _Shared(spark.sparkContext.broadcast((f.read(), pattern)))
 
@@ -259,14 +267,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared)
+        coder = _coder(shared).form(decimal=False)
         for b in batches:
             done = 0
             for group in coder.groups(x or "" for x in b.column(at).to_pylist()):
                 values, lengths, raw = [], [0], []
                 for cut in coder.learn(group):
                     found = list(map(coder.known.__getitem__, cut))
-                    flat = np.fromiter((i for x in found for i in x[3]), np.int32)
+                    flat = np.frombuffer(b"".join([x[1] for x in found]), np.int32)
                     values.append(flat)
                     lengths.append(lengths[-1] + len(flat))
                     if decoded:
@@ -310,7 +318,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared)
+        coder = _coder(shared).form(decimal=True)
         for b in batches:
             n, a, d = [], [], []
             for group in coder.groups(x or "" for x in b.column(1).to_pylist()):

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import trimmed
+from .shared import small_batches, trimmed
 
 BUCKETS = (512, 2048, 4096)
 WIDTH = sum(BUCKETS)
@@ -173,6 +173,7 @@ def _groups(texts: list[str], most: int = 64, chars: int = 1 << 19) -> Iterator[
 
 def train(docs: DataFrame, allowed: Column) -> Model:
     """Fit on a bounded sample of the rows with a language, a text with a letter, and `allowed`; whole texts are used."""
+    small_batches(docs.sparkSession)
     rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)).alias("draw"))
     counts = {r["lang"]: r["c"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).collect()}
     each = min(PER_LANGUAGE, MOST_TEXTS // max(1, len(counts)))

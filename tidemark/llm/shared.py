@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 
-#: Bits of a row gate: GATE_SPREAD for each key, from 1 MB to 32 MB whatever the size of the input.
-LEAST_GATE, MOST_GATE, GATE_SPREAD = 1 << 23, 1 << 28, 16
+#: Bits of a row gate: GATE_SPREAD for each key, from 1 MB to 16 MB whatever the size of the input.
+LEAST_GATE, MOST_GATE, GATE_SPREAD = 1 << 23, 1 << 27, 8
+#: Rows that go to a Python worker at once, where the session has Spark's own setting: 10 000 long texts are too much.
+BATCH_ROWS = 2000
 
 
 def gate_size(keys: int) -> int:
@@ -27,6 +29,13 @@ def gate_size(keys: int) -> int:
     return min(MOST_GATE, max(LEAST_GATE, 1 << max(0, keys * GATE_SPREAD - 1).bit_length()))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Set BATCH_ROWS for the session unless it has a setting of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run for mapInArrow; once its rows end, the worker gives freed memory back, as idle workers stay beside the busy ones."""
 
@@ -71,6 +80,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.live: set[str] = set()
+        small_batches(spark)
         atexit.register(self._end)
 
     def _end(self) -> None:
@@ -235,8 +245,11 @@ class _Sketches:
             i = np.flatnonzero(self.width[a] == p)
             for q in np.unique(self.width[b]).tolist():
                 j, w = np.flatnonzero(self.width[b] == q), min(p, q)
-                one, two = self._at(a[i], p, w), self._at(b[j], q, w)
-                out[i[:, None], j[None]] = np.bitwise_count(one[:, None, :] ^ two[None]).sum(2, dtype=np.int64) if w else 0
+                two = self._at(b[j], q, w)
+                step = max(1, (1 << 20) // max(1, two.size))
+                for x in range(0, len(i) if w else 0, step):
+                    some = i[x : x + step]
+                    out[some[:, None], j[None]] = np.bitwise_count(self._at(a[some], p, w)[:, None, :] ^ two[None]).sum(2, dtype=np.int64)
         return out
 
     def paired(self, other: _Sketches) -> np.ndarray:

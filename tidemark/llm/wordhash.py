@@ -44,7 +44,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = max(n + n // 8, 1 << 16)
             for name, b in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(size, b, U)
                 steps[0] = 1
