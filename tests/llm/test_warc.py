@@ -62,3 +62,17 @@ def test_chain_rejects_what_is_not_reached():
     reached, pieces, whole = warc.chain(sizes, lengths)
     assert reached.tolist() == [False, True, False, True] and pieces[1] == 2 and pieces[3] == 1 and whole[[1, 3]].all()
     assert not warc.chain(np.array([3, 20]), np.array([-1, 20]))[0].any()
+
+
+def test_scans_with_other_splits_agree(spark, tmp_path):
+    rows = nasty() + [(100 + i, "u", f"page {i} " + MAGIC * (i % 3)) for i in range(300)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), str(tmp_path / "w"), compression="none")
+    found = warc.read(spark, str(tmp_path / "w"))  # its candidates are read; the parts of long records aren't yet
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = sorted((r.record_id, r.block_bytes, r.block_digest) for r in found.collect() if r.record_type == "response")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted((f"<urn:x-page:{'null' if i is None else i}>", n, d) for i, n, d, kind, _ in brute(rows) if kind == "response")

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch
@@ -79,10 +79,22 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
 
 
+def _offsets(pieces: DataFrame) -> DataFrame:
+    """pieces with begin, the byte at which the magic before each stands in its file: another scan may cut files elsewhere and count otherwise."""
+    sizes = F.octet_length("value").cast("long")
+    before = F.sum(sizes + len(MAGIC)).over(Window.partitionBy("file").orderBy("block", "at"))
+    return pieces.withColumn("begin", before - sizes - 2 * len(MAGIC))
+
+
 def _field(name: str) -> Column:
     return F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1)
 
 
+def _begins(sizes: np.ndarray) -> np.ndarray:
+    """The byte at which the magic before each piece stands; the first piece has none."""
+    return np.cumsum(sizes + len(MAGIC)) - sizes - 2 * len(MAGIC)
+
+
 def chain(sizes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(reached, pieces of each, whether it ends with its pieces) for the pieces of one file.
 
@@ -90,7 +102,7 @@ def chain(sizes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
     can't be read. The first piece stands before the first magic.
     """
     magic, n = len(MAGIC), len(sizes)
-    begin = np.cumsum(sizes + magic) - sizes - 2 * magic
+    begin = _begins(sizes)
     end_of_file = begin[-1] + magic + sizes[-1]
     successor = np.where(lengths >= 0, begin + magic + lengths, -1)
     at = np.searchsorted(begin, successor)
@@ -115,7 +127,8 @@ def _chains(pdf: pd.DataFrame) -> pd.DataFrame:
     single = pieces[keep] == 1
     first = np.repeat(keep, pieces[keep])
     offset = np.arange(len(first)) - np.repeat(np.cumsum(pieces[keep]) - pieces[keep], pieces[keep])
-    return pd.DataFrame({"file": pdf["file"].iloc[0], "at": at[first + offset], "record": at[first], "single": np.repeat(single, pieces[keep]), "complete": whole[first]})
+    begin = _begins(pdf["size"].to_numpy(np.int64))
+    return pd.DataFrame({"file": pdf["file"].iloc[0], "at": at[first + offset], "begin": begin[first + offset], "record": at[first], "single": np.repeat(single, pieces[keep]), "complete": whole[first]})
 
 
 def read(spark: SparkSession, path: str, scratch: Scratch | None = None) -> DataFrame:
@@ -136,15 +149,17 @@ def read(spark: SparkSession, path: str, scratch: Scratch | None = None) -> Data
     fields = [_field("WARC-Record-ID").alias("record_id"), _field("WARC-Type").alias("record_type"), _field("WARC-Target-URI").alias("target_uri"), _field("WARC-Refers-To").alias("refers_to"), _field("WARC-Payload-Digest").alias("digest"), _field("X-Payload-Length").alias("full_length")]
     meta = head.select("file", "block", "at", "size", "claims", "h", *fields, F.when(fits, F.col("size") - F.col("h") - 4).alias("block_bytes"), F.when(fits, F.sha1(body)).alias("block_digest"))
     meta = scratch.keep(meta, "candidates")
-    spans = meta.select("file", "block", "at", "size", "claims").groupBy("file").applyInPandas(_chains, "file string, at long, record long, single boolean, complete boolean")
+    spans = meta.select("file", "block", "at", "size", "claims").groupBy("file").applyInPandas(_chains, "file string, at long, begin long, record long, single boolean, complete boolean")
     spans = scratch.keep(spans, "chains")
     names = ["file", "record_id", "record_type", "target_uri", "refers_to", "digest", "full_length", "block_bytes", "block_digest", "complete"]
     plain = meta.join(spans.where("single").select("file", "at", "complete"), ["file", "at"])
     plain = plain.withColumn("complete", F.col("complete") & F.col("block_bytes").isNotNull()).select(*names)
-    parts = spans.where("not single").select("file", "at", "record", "complete")
+    parts = spans.where("not single").select("file", "begin", "record", "complete")
     if not parts.take(1):
         return plain
-    joined = pieces.join(parts, ["file", "at"]).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("p"), F.first("complete").alias("complete"))
+    # the second scan of the files with such records goes by bytes, whatever its splits
+    again = _offsets(pieces.join(parts.select("file").distinct(), "file", "left_semi"))
+    joined = again.join(parts, ["file", "begin"]).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("begin", "value"))).alias("p"), F.first("complete").alias("complete"))
     text = joined.select("file", F.col("record").alias("at"), "complete", F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).cast("binary").alias("raw"))
     mended = text.join(meta.drop("block_bytes", "block_digest"), ["file", "at"])
     size = F.least(F.octet_length("raw").cast("long") - F.col("h"), F.col("claims") - F.col("h") - 4)
