@@ -39,14 +39,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def event_signals(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     cells = e.groupBy(F.col("user_id").alias("id"), (F.dayofmonth("ts") - 1).alias("t")).agg(F.sum("value").alias("x"))
-    return model.from_long(cells.where(F.col("t") < DAYS), DAYS)
+    return model.from_long(cells, DAYS)
 
 
 def supplier_signals(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "lineitem")
     t = (F.year("l_shipdate") - 1995) * 4 + F.quarter("l_shipdate") - 1
     cells = e.groupBy(F.col("l_suppkey").alias("id"), t.alias("t")).agg(F.sum("l_quantity").alias("x"))
-    return model.from_long(cells.where(F.col("t") < QUARTERS), QUARTERS)
+    return model.from_long(cells, QUARTERS)
 
 
 def sparse_signals(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,7 +57,7 @@ def sparse_signals(spark: SparkSession, sf: str) -> DataFrame:
 def typed_signals(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     cells = e.groupBy(F.col("event_type").alias("source"), F.col("user_id").alias("id"), (F.dayofmonth("ts") - 1).alias("t")).agg(F.sum("value").alias("x"))
-    return model.from_long(cells.where(F.col("t") < DAYS), DAYS, keys=("source", "id"))
+    return model.from_long(cells, DAYS, keys=("source", "id"))
 
 
 def subject_signals(spark: SparkSession, sf: str) -> DataFrame:

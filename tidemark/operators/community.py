@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import visibility
+
 
 def matrix(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Symmetric lengths; no edge is infinite."""
@@ -38,11 +40,11 @@ def backbone(edge: np.ndarray, d: np.ndarray) -> list[int]:
 
 
 def _gap_cut(d: np.ndarray, hubs: list[int]) -> float | None:
-    """The start of the widest gap in the hub distances, unless the median is passed only by other gaps."""
+    """The start of the widest gap in the hub distances that lies no higher than the median of all path lengths."""
     pairs = d[np.triu_indices(len(d), 1)]
     values = sorted([pairs.min(), *[d[a, b] for a, b in zip(hubs, hubs[1:], strict=False)], pairs.max()])
     gaps = np.diff(values)
-    middle = float(np.median(values))
+    middle = float(np.median(pairs))
     while len(gaps):
         k = int(gaps.argmax())
         if values[k] <= middle:
@@ -109,14 +111,15 @@ def betweenness(edge: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, dict[t
 
 
 def by_betweenness(edge: np.ndarray, least: int = 2) -> np.ndarray:
-    """Segments that start at the nodes with the most shortest paths through them, removed one at a time."""
+    """Segments that start at node 0 and at the least - 1 nodes with the most shortest paths through them, removed one at a time.
+
+    Of equal nodes the first goes; if that is node 0, there is a segment less.
+    """
     n, alive, starts = len(edge), np.ones(len(edge), bool), {0}
-    while len(starts) < min(least, n):
+    for _ in range(min(least - 1, n - 1)):
         node, _ = betweenness(edge, alive)
+        node = np.round(node, 9)
         node[~alive] = -1
-        node[list(starts)] = -1
-        if node.max() <= 0:
-            break
         top = int(node.argmax())
         starts.add(top)
         alive[top] = False
@@ -152,6 +155,19 @@ def by_edge_splits(edge: np.ndarray, least: int = 2) -> np.ndarray:
 METHODS = {"path": by_path_length, "betweenness": by_betweenness, "edges": by_edge_splits}
 
 
+def of_series(points: DataFrame, method: str = "path", horizontal: bool = False, **options) -> DataFrame:
+    """(id, node, community) of visibility points(id, i, t, x) by the graph that belongs to the method.
+
+    path: the dual graph weighted by distance, nodes go to earlier hubs and hubs merge by the automatic cutoff. betweenness: the graph
+    of -x. edges: the graph of x. In the last two, points that touch the line of sight don't block it.
+    """
+    kind = "horizontal" if horizontal else "natural"
+    if method == "path":
+        return communities(points, visibility.dual_edges(points, kind, "distance"), method, **({"direction": "left"} | options))
+    seen = points.withColumn("x", -F.col("x")) if method == "betweenness" else points
+    return communities(points, visibility.edges(seen, kind, through=True), method, **options)
+
+
 def communities(points: DataFrame, edges: DataFrame, method: str = "path", **options) -> DataFrame:
     """(id, node, community) of every node. A signal's graph is the unit of work: its size is that of the time grid."""
     find = METHODS[method]

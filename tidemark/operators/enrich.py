@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import operator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,16 +48,26 @@ def restrict(bridge: DataFrame, background: DataFrame | None = None, length: int
     return bridge
 
 
-def log_factorials(m: int) -> Column:
-    """The array ln 0!, ln 1!, ..., ln m! as one expression."""
-    start = F.struct(F.array(F.lit(0.0)).alias("a"), F.lit(0.0).alias("s"))
-    step = lambda acc, i: F.struct(F.array_append(acc["a"], acc["s"] + F.ln(i)).alias("a"), (acc["s"] + F.ln(i)).alias("s"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(max(m, 1))), start, step)["a"]
+def union_dictionaries(old: DataFrame, new: DataFrame, species: str = "species") -> DataFrame:
+    """All rows of both, but those of species that `new` has come from `new` alone."""
+    return old.join(new.select(species).distinct(), species, "left_anti").select(*old.columns).unionByName(new, allowMissingColumns=True)
 
 
-def _tail(lf: Column, x: Column, n: Column, k: Column, m: Column) -> Column:
+#: Up to this, ln n! is looked up; beyond it, Stirling's series is exact to double precision.
+SMALL = 20
+
+
+def log_factorial(n: Column) -> Column:
+    """ln n! as an expression, whatever n."""
+    table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(SMALL + 1)])
+    z = n.cast("double") + 1
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    return F.when(n <= SMALL, F.get(table, n.cast("int"))).otherwise((z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + series)
+
+
+def _tail(x: Column, n: Column, k: Column, m: Column) -> Column:
     """P(X >= x) of the hypergeometric distribution: n draws from m with k marked, summed from the tail."""
-    at = lambda i: F.get(lf, i.cast("int"))
+    at = log_factorial
     top = F.least(n, k)
     low = F.greatest(x, n + k - m)
     choose = at(n) + at(m - n) + at(k) + at(m - k) - at(m)
@@ -66,15 +77,8 @@ def _tail(lf: Column, x: Column, n: Column, k: Column, m: Column) -> Column:
 
 
 def hypergeometric(rows: DataFrame, x: str = "x_hits", n: str = "n_list", k: str = "k_family", m: str = "m_total") -> DataFrame:
-    """rows with p_value. The log-factorials are one broadcast array of as many doubles as the largest population.
-
-    Only the factorials up to the largest m are needed, and m is a number of identifiers.
-    """
-    most = rows.agg(F.max(m)).first()[0] or 1
-    spark = rows.sparkSession
-    running = spark.range(1, most + 1, numPartitions=1).select(F.sum(F.ln("id")).over(Window.orderBy("id")).alias("s"), "id")
-    lf = running.agg(F.concat(F.array(F.lit(0.0)), F.transform(F.array_sort(F.collect_list(F.struct("id", "s"))), lambda v: v["s"])).alias("_lf"))
-    return rows.join(F.broadcast(lf)).withColumn("p_value", _tail(X("_lf"), X(x), X(n), X(k), X(m))).drop("_lf")
+    """rows with p_value, an expression of each row."""
+    return rows.withColumn("p_value", _tail(X(x), X(n), X(k), X(m)))
 
 
 def benjamini_hochberg(rows: DataFrame, alpha: float = 0.05, by: str = "list_name", tie: str = "term") -> DataFrame:
@@ -102,14 +106,20 @@ def enrich(
 
     lists(list_name, id, label), bridge(id, term), terms(term, name, namespace). A dictionary (table, source columns,
     target column) translates ids first. With multiple_lists an id under several labels is several members, and the
-    correction `auto` multiplies family and population by the largest number of labels of an id. Terms that the table
-    of terms lacks keep a null name. Ids without a term don't count.
+    correction `auto` multiplies family and population by the largest number of times that the list names one id;
+    `auto_all` by the largest of all lists, as for the subgroups of one clustering. Terms that the table of terms lacks
+    keep a null name. Ids without a term don't count.
     """
     lists = lists.where(X("id").isNotNull() & (X("id") != MISSING)).select("list_name", "id", F.coalesce("label", F.lit("")).alias("label"))
     named = lists.withColumn("gene", F.concat_ws("_", "id", "label") if multiple_lists else X("id"))
-    if correction == "auto":
-        repeats = lists.distinct().groupBy("list_name", "id").agg(F.count(F.lit(1)).alias("c"))
-        correction = (repeats.agg(F.max("c")).first()[0] or 1) if multiple_lists else 1
+    if isinstance(correction, str) and correction not in ("auto", "auto_all"):
+        raise ValueError(f"unknown correction {correction!r}")
+    times = lists.groupBy("list_name", "id").agg(F.count(F.lit(1)).alias("c")).groupBy("list_name").agg(F.max("c").alias("_times"))
+    if not multiple_lists or isinstance(correction, int):
+        times = times.withColumn("_times", F.lit(1 if isinstance(correction, str) else correction).cast("long"))
+    elif correction == "auto_all":
+        most = times.agg(F.max("_times").alias("_times"))  # one row
+        times = times.select("list_name").join(F.broadcast(most))
     keys = named
     if dictionary is not None:
         table, sources, target = dictionary
@@ -117,9 +127,10 @@ def enrich(
     member = keys.withColumn("id", F.concat(F.lit(prefix), "id")).join(bridge, "id").groupBy("list_name", "gene", "term").agg(F.array_distinct(F.collect_list("label")).alias("labels"))
     n = member.groupBy("list_name").agg(F.countDistinct("gene").alias("n_list"))
     x = member.groupBy("list_name", "term").agg(F.count(F.lit(1)).alias("x_hits"), F.array_sort(F.collect_list(F.struct("gene", "labels"))).alias("hits"))
-    k = bridge.groupBy("term").agg((F.count(F.lit(1)) * correction).alias("k_family"))
-    m = bridge.agg((F.countDistinct("id") * correction).alias("m_total"))
-    rows = hypergeometric(x.join(n, "list_name").join(k, "term").join(F.broadcast(m)))
+    k = bridge.groupBy("term").agg(F.count(F.lit(1)).alias("k_family"))
+    m = bridge.agg(F.countDistinct("id").alias("m_total"))  # one row
+    rows = x.join(n.join(times, "list_name"), "list_name").join(k, "term").join(F.broadcast(m))
+    rows = hypergeometric(rows.withColumn("k_family", X("k_family") * X("_times")).withColumn("m_total", X("m_total") * X("_times")).drop("_times"))
     rows = benjamini_hochberg(rows, alpha).where(COMPARE[how](X("x_hits"), least_hits))
     if only_significant:
         rows = rows.where("significant")
@@ -130,6 +141,47 @@ def enrich(
     return rows.select("list_name", "term", "p_value", "q_value", "significant", "n_list", "k_family", "m_total", "x_hits", "name", "namespace", "hits")
 
 
+def cluster_lists(clusters: DataFrame, label: str | None = None) -> DataFrame:
+    """(list_name, id, label) of a clustering (trend_class, id, group, subgroup): a list for each subgroup, `class:group:subgroup`."""
+    name = F.concat_ws(":", *[F.coalesce(X(c).cast("string"), F.lit("")) for c in ("trend_class", "group", "subgroup")])
+    return clusters.select(name.alias("list_name"), X("id").cast("string").alias("id"), (X(label) if label else F.lit(None)).cast("string").alias("label"))
+
+
+def _lists(data, spark) -> tuple[DataFrame, bool]:
+    """The lists of any accepted input, and whether they are the subgroups of a clustering."""
+    if isinstance(data, DataFrame) and {"group", "subgroup", "trend_class"} <= set(data.columns):
+        return cluster_lists(data), True
+    return normalise_lists(spark, data), False
+
+
+def go_analysis(data, annotations: DataFrame, terms: DataFrame, dictionary=None, background: DataFrame | None = None, length: int = 2, correction: int | str = 1, only_significant: bool = True, **options) -> DataFrame:
+    """enrich() with the ontology defaults: terms of two ids or more, a hit or more, significant ones at 0.05.
+
+    data: lists in any shape, or a clustering, whose subgroups share one automatic correction. annotations(id, term).
+    """
+    lists, clustered = _lists(data, annotations.sparkSession)
+    bridge = restrict(annotations, background, length)
+    return enrich(lists, bridge, terms, dictionary, correction="auto_all" if clustered and correction == "auto" else correction, only_significant=only_significant, **options)
+
+
+def kegg_analysis(data, kind: str = "Genomic", genomic: DataFrame | None = None, molecular: DataFrame | None = None, terms: DataFrame | None = None, dictionary=None, molecular_dictionary=None, prefix: str = "hsa:", length: int = 2, correction: int | str = 1, only_significant: bool = True, **options) -> DataFrame:
+    """enrich() with the pathway defaults, and the column analysis.
+
+    Genomic ids get the organism's prefix; Molecular ones none, and no correction; All gives both analyses. genomic and
+    molecular are (id, term).
+    """
+    if kind not in ("Genomic", "Molecular", "All"):
+        raise ValueError(f"unknown analysis {kind!r}")
+    out = None
+    for name, bridge, table, start, times in (("Genomic", genomic, dictionary, prefix, correction), ("Molecular", molecular, molecular_dictionary, "", 1)):
+        if kind in (name, "All"):
+            lists, clustered = _lists(data, bridge.sparkSession)
+            times = "auto_all" if clustered and times == "auto" else times
+            rows = enrich(lists, restrict(bridge, None, length), terms, table, start, correction=times, only_significant=only_significant, **options).withColumn("analysis", F.lit(name))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def match_masses(queries: DataFrame, masses: DataFrame, ppm: float) -> DataFrame:
     """(query, compound) with m(1 - ppm) < mass < m(1 + ppm), strictly, by an equi-join on logarithmic buckets.
 

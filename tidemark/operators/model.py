@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def from_long(rows: DataFrame, n: int, keys: tuple[str, ...] = ("id",), t: str = "t", x: str = "x") -> DataFrame:
-    """Signals from rows (keys, t in 0..n-1, x); NaN and absent cells become NULL."""
+    """Signals from rows (keys, t in 0..n-1, x); NaN and absent cells become NULL, a t outside the grid is an error."""
     value = F.when(F.isnan(x), None).otherwise(F.col(x).cast("double"))
-    cells = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(t).cast("int").alias("t"), value.alias("v")))).alias("_m"))
+    at = F.when(F.col(t).between(0, n - 1), F.col(t)).otherwise(F.raise_error(F.concat(F.lit("no time point "), F.coalesce(F.col(t).cast("string"), F.lit("null")), F.lit(f" in a grid of {n}"))).cast("int"))
+    cells = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(at.cast("int").alias("t"), value.alias("v")))).alias("_m"))
     return cells.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.try_element_at("_m", i)).alias("x"))
 
 

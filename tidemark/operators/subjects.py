@@ -20,17 +20,29 @@ def _links(pairs: DataFrame, linked) -> DataFrame:
     return pairs.withColumn("l", F.coalesce(linked, F.lit(False))).groupBy("a", "b").agg(F.count_if("l").alias("linked"), F.count(F.lit(1)).alias("common"), F.array_sort(F.collect_list(F.when(X("l"), X("id")))).alias("ids"))
 
 
-def links_by_distance(s: DataFrame, cutoff: float) -> DataFrame:
-    """(a, b, linked, common, ids) of all subject pairs of s(subject, id, x): common ids closer than the cutoff."""
-    return _links(_pairs(s), common_distance(X("xa"), X("xb")) < cutoff)
+def _whole(pairs: DataFrame):
+    """Whether both signals of a pair have all cells."""
+    return ~(F.exists("xa", lambda v: v.isNull()) | F.exists("xb", lambda v: v.isNull()))
 
 
-def links_by_correlation(s: DataFrame, cutoff: float) -> DataFrame:
-    """The same by Pearson's correlation over the cells that both have, above the cutoff."""
+def links_by_distance(s: DataFrame, cutoff: float, complete: bool = True) -> DataFrame:
+    """(a, b, linked, common, ids) of all subject pairs of s(subject, id, x): common ids closer than the cutoff.
+
+    A signal with a missing cell is linked with none; if not `complete`, the cells that both have are compared.
+    """
+    pairs = _pairs(s)
+    near = common_distance(X("xa"), X("xb")) < cutoff
+    return _links(pairs, near & _whole(pairs) if complete else near)
+
+
+def links_by_correlation(s: DataFrame, cutoff: float, complete: bool = True) -> DataFrame:
+    """The same by Pearson's correlation, above the cutoff."""
     pairs = _pairs(s)
+    every = pairs.select("a", "b", "id")
+    pairs = pairs.where(_whole(pairs)) if complete else pairs
     cells = pairs.select("a", "b", "id", F.explode(F.arrays_zip("xa", "xb")).alias("c")).where("c.xa is not null and c.xb is not null")
     r = cells.groupBy("a", "b", "id").agg(F.corr("c.xa", "c.xb").alias("r"))
-    return _links(pairs.select("a", "b", "id").join(r, ["a", "b", "id"], "left"), X("r") > cutoff)
+    return _links(every.join(r, ["a", "b", "id"], "left"), X("r") > cutoff)
 
 
 def structure(partition: DataFrame) -> DataFrame:

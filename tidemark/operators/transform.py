@@ -122,11 +122,18 @@ def box_cox_fitted(s: DataFrame) -> DataFrame:
     return s.mapInPandas(run, s.withColumn("lam", F.lit(None).cast("double")).schema)
 
 
-def quantile_normalise(s: DataFrame) -> DataFrame:
-    """Long rows (id, t, x): every time point gets the mean distribution; tied values get the mean of their ranks' weights."""
+#: Aggregates that averaging and ties may name.
+AGGREGATES = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "sum": F.sum, "product": F.product}
+
+
+def quantile_normalise(s: DataFrame, averaging: str = "mean", ties: str = "mean") -> DataFrame:
+    """Long rows (id, t, x): every time point gets one distribution, the `averaging` of each rank's values over time points.
+
+    Tied values get the `ties` aggregate of their ranks' weights. Both are names of AGGREGATES.
+    """
     ranked = model.to_long(s).where("x is not null").withColumn("rn", F.row_number().over(Window.partitionBy("t").orderBy("x", "id")))
-    weights = ranked.groupBy("rn").agg(F.avg("x").alias("w"))
-    return ranked.join(weights, "rn").select("id", "t", F.avg("w").over(Window.partitionBy("t", "x")).alias("x"))
+    weights = ranked.groupBy("rn").agg(AGGREGATES[averaging]("x").alias("w"))
+    return ranked.join(weights, "rn").select("id", "t", AGGREGATES[ties]("w").over(Window.partitionBy("t", "x")).alias("x"))
 
 
 def quantile_transform(s: DataFrame, target: str = "uniform", landmarks: int = 1000) -> DataFrame:
@@ -139,7 +146,7 @@ def quantile_transform(s: DataFrame, target: str = "uniform", landmarks: int = 1
     def run(f: pd.DataFrame) -> pd.DataFrame:
         v = f["x"].to_numpy(float)
         grid = np.linspace(0, 1, max(1, min(len(v), landmarks)))
-        q = np.quantile(v, grid)
+        q = np.sort(v) if len(v) <= landmarks else np.quantile(v, grid)
         y = (np.interp(v, q, grid) - np.interp(-v, -q[::-1], -grid[::-1])) / 2
         y[v == q[0]], y[v == q[-1]] = 0.0, 1.0
         if target == "normal":

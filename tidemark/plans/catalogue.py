@@ -93,8 +93,21 @@ def _quantile(spark, sf):
     return transform.quantile_normalise(a.supplier_signals(spark, sf)).select("id", X("t").cast("long").alias("t"), num("x"))
 
 
+@query("t_quantile_median", f"""with {a.SUPPLIERS_SQL},
+  r as (select id, t, x, row_number() over (partition by t order by x, id) as rn from sup where x is not null),
+  w as (select rn, median(x) as w from r group by rn)
+  select id, cast(t as bigint) as t, round(max(w) over (partition by t, x), 6) + 0e0 as x from r join w using (rn)""")
+def _quantile_median(spark, sf):
+    return transform.quantile_normalise(a.supplier_signals(spark, sf), "median", "max").select("id", X("t").cast("long").alias("t"), num("x"))
+
+
+# up to 1000 values at a time point every value is a landmark, and the middle of its ranks is its place
+_UNIFORM = f"""with {a.SUPPLIERS_SQL},
+  r as (select id, t, x, rank() over (partition by t order by x) - 1 as low, count(*) over (partition by t, x) as ties, count(*) over (partition by t) as n,
+               min(x) over (partition by t) as x0, max(x) over (partition by t) as x1 from sup where x is not null)
+  select id, cast(t as bigint) as t, round(case when x = x1 then 1e0 when x = x0 then 0e0 else (low + (ties - 1) / 2e0) / (n - 1) end, 6) + 0e0 as x from r"""
 for _kind in ("uniform", "normal"):
-    query(f"t_quantile_{_kind}")(lambda spark, sf, k=_kind: transform.quantile_transform(a.supplier_signals(spark, sf), k).select("id", X("t").cast("long").alias("t"), num("x")))
+    query(f"t_quantile_{_kind}", _UNIFORM if _kind == "uniform" else None)(lambda spark, sf, k=_kind: transform.quantile_transform(a.supplier_signals(spark, sf), k).select("id", X("t").cast("long").alias("t"), num("x")))
 
 
 def _halves(spark, sf):
@@ -275,7 +288,7 @@ def _null_sql(cte: str, name: str, width: int, samples: int) -> str:
 query("n_null_autocorr", f"with {_acf_sql(_null_sql(a.SUPPLIERS_SQL, 'sup', a.QUARTERS, SAMPLES), 'nul', a.QUARTERS)} select id, cast(k as bigint) as t, round(v, 6) + 0e0 as x from acf where v is not null")(
     lambda spark, sf: cells(resample.null_autocorrelations(a.supplier_signals(spark, sf), a.QUARTER_TIMES, SAMPLES))
 )
-query("n_null_periodogram")(lambda spark, sf: cells(resample.null_periodograms(a.supplier_signals(spark, sf), a.QUARTER_TIMES, SAMPLES)))
+query("n_null_periodogram", _lomb_sql(_null_sql(a.SUPPLIERS_SQL, "sup", a.QUARTERS, SAMPLES), "nul", spectral.frequencies(a.QUARTER_TIMES)))(lambda spark, sf: cells(resample.null_periodograms(a.supplier_signals(spark, sf), a.QUARTER_TIMES, SAMPLES)))
 _CUTS = """cuts as (select k, case when k = 0 then 1e0 else list_sort(list(v))[cast(floor((count(v) - 1) * 0.95e0) as integer) + 1] end as cut from {acf} where v is not null group by k)"""
 
 
@@ -416,9 +429,7 @@ for _name, _method, _opts in (("v_communities", "path", {"direction": "left"}),
 
     @query(_name)
     def _communities(spark, sf, method=_method, opts=_opts):
-        p = _centred(spark, sf)
-        e = visibility.dual_edges(p, "natural", "distance") if method == "path" else visibility.edges(p)
-        return community.communities(p, e, method, **opts)
+        return community.of_series(_centred(spark, sf), method, **opts)
 
 
 # -- enrichment ----------------------------------------------------------------------------------------------------
@@ -482,14 +493,62 @@ def _termlen_whole(spark, sf):
     return enrich.restrict(a.bridge(spark, sf), None, 45, "<")
 
 
-@query("e_multilist", f"""with {a.BRIDGE_SQL}, {a.LISTS_SQL},
-  lab as (select 'all' as list_name, id, list_name as label from lists), mem as (select distinct id || '_' || label as gene, term from lab join bridge using (id)),
-  c as (select max(c) as c from (select count(*) as c from lab group by id))
-  select 'all' as list_name, term, (select count(distinct gene) from mem) as n_list, (select count(*) from bridge b where b.term = mem.term) * max(c) as k_family,
-         (select count(distinct id) from bridge) * max(c) as m_total, count(*) as x_hits from mem cross join c group by term""")
-def _multilist(spark, sf):
-    rows = a.lists(spark, sf).select(F.lit("all").alias("list_name"), "id", X("list_name").alias("label"))
-    return enrich.enrich(rows, a.bridge(spark, sf), multiple_lists=True, correction="auto").select("list_name", "term", "n_list", "k_family", "m_total", "x_hits")
+# lists by quarter of the year, in which an id stands once for each segment that has it
+_LABELLED = f"""{a.BRIDGE_SQL}, lab as (
+  select distinct 'q' || quarter(l_shipdate) as list_name, cast(l_partkey as varchar) as id, c_mktsegment as label
+  from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where l_quantity >= 50 - quarter(l_shipdate))"""
+
+
+def _labelled(spark, sf):
+    li, o, c = (a.table(spark, sf, t) for t in ("lineitem", "orders", "customer"))
+    q = F.quarter("l_shipdate")
+    rows = li.where(X("l_quantity") >= 50 - q).join(o, X("l_orderkey") == X("o_orderkey")).join(c, X("o_custkey") == X("c_custkey"))
+    return rows.select(F.concat(F.lit("q"), q.cast("string")).alias("list_name"), X("l_partkey").cast("string").alias("id"), X("c_mktsegment").alias("label")).distinct()
+
+
+for _name, _auto in (("e_multilist", "auto"), ("e_multilist_all", "auto_all")):
+    _most = "select list_name, max(c) as c from (select list_name, id, count(*) as c from lab group by all) group by list_name"
+    _most = _most if _auto == "auto" else f"select list_name, max(c) over () as c from ({_most})"
+
+    @query(_name, f"""with {_LABELLED}, mem as (select distinct list_name, id || '_' || label as gene, term from lab join bridge using (id)), c as ({_most}),
+      n as (select list_name, count(distinct gene) as n_list from mem group by list_name), k as (select term, count(*) as k from bridge group by term), m as (select count(distinct id) as m from bridge)
+      select list_name, term, max(n_list) as n_list, max(k.k) * max(c.c) as k_family, max(m.m) * max(c.c) as m_total, count(*) as x_hits
+      from mem join n using (list_name) join c using (list_name) join k using (term) cross join m group by list_name, term""")
+    def _multilist(spark, sf, auto=_auto):
+        return enrich.enrich(_labelled(spark, sf), a.bridge(spark, sf), multiple_lists=True, correction=auto).select("list_name", "term", "n_list", "k_family", "m_total", "x_hits")
+
+
+@query("e_go", f"""with {a.BRIDGE_SQL}, {a.LISTS_SQL}, b as (select * from bridge where term in (select term from bridge group by term having count(*) >= 2)),
+  mem as (select distinct list_name, id, term from lists join b using (id)), n as (select list_name, count(distinct id) as n from mem group by list_name)
+  select list_name, term, max(n.n) as n_list, (select count(*) from b where b.term = mem.term) as k_family, (select count(distinct id) from b) as m_total, count(*) as x_hits
+  from mem join n using (list_name) group by list_name, term""")
+def _go(spark, sf):
+    b = a.bridge(spark, sf)
+    terms = b.select("term", X("term").alias("name"), F.lit("part").alias("namespace")).distinct()
+    return enrich.go_analysis(a.lists(spark, sf), b, terms, only_significant=False).select("list_name", "term", "n_list", "k_family", "m_total", "x_hits")
+
+
+_KEGG = """select '{kind}' as analysis, list_name, term, max(n) as n_list, max(k) as k_family, max(m) as m_total, count(*) as x_hits from (
+    select distinct l.list_name, l.id, b.term, n.n, k.k, m.m from lists l join {b} b using (id)
+    join (select list_name, count(distinct id) as n from lists join {b} using (id) group by list_name) n using (list_name)
+    join (select term, count(*) as k from {b} group by term) k using (term) cross join (select count(distinct id) as m from {b}) m) group by list_name, term"""
+
+
+@query("e_kegg", f"""with {a.BRIDGE_SQL}, {a.LISTS_SQL}, ge as (select * from bridge where term in (select term from bridge group by term having count(*) >= 2)),
+  mo as (select cast(p_partkey as varchar) as id, p_type as term from part where p_type in (select p_type from part group by 1 having count(*) >= 2))
+  {_KEGG.format(kind='Genomic', b='ge')} union all {_KEGG.format(kind='Molecular', b='mo')}""")
+def _kegg(spark, sf):
+    genomic = a.bridge(spark, sf).withColumn("id", F.concat(F.lit("hsa:"), "id"))
+    molecular = a.table(spark, sf, "part").select(X("p_partkey").cast("string").alias("id"), X("p_type").alias("term"))
+    return enrich.kegg_analysis(a.lists(spark, sf), "All", genomic, molecular, only_significant=False).select("analysis", "list_name", "term", "n_list", "k_family", "m_total", "x_hits")
+
+
+@query("e_union", """with old as (select p_brand as species, p_type as id, p_partkey as v from part), new as (select 'Brand#' || cast(10 + s_suppkey % 5 as varchar) as species, s_name as id, s_suppkey as v from supplier)
+  select * from old where species not in (select species from new) union all select * from new""")
+def _union(spark, sf):
+    old = a.table(spark, sf, "part").select(X("p_brand").alias("species"), X("p_type").alias("id"), X("p_partkey").cast("long").alias("v"))
+    new = a.table(spark, sf, "supplier").select(F.concat(F.lit("Brand#"), (10 + X("s_suppkey") % 5).cast("string")).alias("species"), X("s_name").alias("id"), X("s_suppkey").cast("long").alias("v"))
+    return enrich.union_dictionaries(old, new)
 
 
 @query("e_translate", f"with {a.LISTS_SQL}, d as (select cast(p_partkey as varchar) as key, p_name as name, p_brand as target from part) select distinct id, target from (select distinct id from lists) l join d on id = key or id = name where target is not null")
@@ -520,8 +579,11 @@ def _link_out(d: DataFrame) -> DataFrame:
 
 
 _LINK = "select a, b, count(*) filter (where l) as linked, count(*) as common, coalesce(string_agg(case when l then id end, ',' order by id), '') as ids from (select a, b, id, coalesce({l}, false) as l from ce group by a, b, id) group by a, b"
-query("m_links_dist", f"with {_PAIRS} " + _LINK.format(l="sqrt(coalesce(sum((xa - xb) * (xa - xb)), 0)) < 2500"))(lambda spark, sf: _link_out(subjects.links_by_distance(a.subject_signals(spark, sf), 2500)))
-query("m_links_corr", f"with {_PAIRS} " + _LINK.format(l="corr(xa, xb) > 0.2e0"))(lambda spark, sf: _link_out(subjects.links_by_correlation(a.subject_signals(spark, sf), 0.2)))
+_EVERY = "count(xb) = 7 and "  # signals of seven years without a gap
+query("m_links_dist_complete", f"with {_PAIRS} " + _LINK.format(l=_EVERY + "sqrt(coalesce(sum((xa - xb) * (xa - xb)), 0)) < 2500"))(lambda spark, sf: _link_out(subjects.links_by_distance(a.subject_signals(spark, sf), 2500)))
+query("m_links_corr_complete", f"with {_PAIRS} " + _LINK.format(l=_EVERY + "corr(xa, xb) > 0.2e0"))(lambda spark, sf: _link_out(subjects.links_by_correlation(a.subject_signals(spark, sf), 0.2)))
+query("m_links_dist", f"with {_PAIRS} " + _LINK.format(l="sqrt(coalesce(sum((xa - xb) * (xa - xb)), 0)) < 2500"))(lambda spark, sf: _link_out(subjects.links_by_distance(a.subject_signals(spark, sf), 2500, complete=False)))
+query("m_links_corr", f"with {_PAIRS} " + _LINK.format(l="corr(xa, xb) > 0.2e0"))(lambda spark, sf: _link_out(subjects.links_by_correlation(a.subject_signals(spark, sf), 0.2, complete=False)))
 
 
 @query("m_structure", "select n_regionkey as community, string_agg(n_name, ',' order by n_name) as subjects from nation group by 1")
@@ -600,3 +662,24 @@ query("g_groups_silhouette")(lambda spark, sf: cluster.two_levels(_classified(sp
 def _ari(spark, sf):
     v = a.table(spark, sf, "embeddings").select(X("vec_id").alias("id"), F.transform("embedding", lambda c: c.cast("double")).alias("x"))
     return cluster.adjusted_rand(cluster.kmeans(v, 10, 1), cluster.kmeans(v, 10, 2))
+
+
+@query("g_class_flow")
+def _class_flow(spark, sf):
+    """Classes of the suppliers' signals, their clusters, and the cells of each in the order of leaves."""
+    s = a.supplier_signals(spark, sf)
+    unit = transform.unit_norm(s)
+    found = cluster.class_clusters(unit, categorize.categorise(s, a.QUARTER_TIMES, samples=SAMPLES, prepare=False), spectral.autocorrelation(unit, a.QUARTER_TIMES))
+    return found.select("trend_class", "id", "group", "subgroup", "leaf_order", F.posexplode("x").alias("t", "x"))
+
+
+@query("g_optimise_k")
+def _optimise_k(spark, sf):
+    best, scores = cluster.optimise_k(clean.fill_missing(transform.unit_norm(a.supplier_signals(spark, sf)), 0.0), list(range(2, 7)))
+    return spark.createDataFrame([(k, v, k == best) for k, v in scores.items()], "k int, score double, best boolean")
+
+
+@query("g_estimate_k")
+def _estimate_k(spark, sf):
+    best, scores = cluster.estimate_k(clean.fill_missing(transform.unit_norm(a.supplier_signals(spark, sf)), 0.0), 3, 8, 3)
+    return spark.createDataFrame([(k, v, k == best) for k, v in scores.items()], "k int, score double, best boolean")
