@@ -6,7 +6,7 @@ import pytest
 from tidemark.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["t_two_frames_whole", "t_concat_rows_whole", "t_concat_cols_whole", "e_background_lists", "e_termlen_whole"]
+NAMES = ["t_two_frames_sub", "t_concat_rows", "t_concat_cols", "e_background", "e_termlen"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -24,5 +24,5 @@ def test_same_rows_as_sql(spark, name):
 def test_every_term_counts_the_whole_bridge(spark):
     bridge = catalogue.a.bridge(spark, SF)
     sizes = {r.term: r["count"] for r in bridge.groupBy("term").count().collect()}
-    got = catalogue.QUERIES["e_termlen_whole"](spark, SF).groupBy("term").count().collect()
+    got = catalogue.QUERIES["e_termlen"](spark, SF).groupBy("term").count().collect()
     assert {r.term: r["count"] for r in got} == {t: n for t, n in sizes.items() if n < 45}

@@ -110,16 +110,6 @@ for _kind in ("uniform", "normal"):
     query(f"t_quantile_{_kind}", _UNIFORM if _kind == "uniform" else None)(lambda spark, sf, k=_kind: transform.quantile_transform(a.supplier_signals(spark, sf), k).select("id", X("t").cast("long").alias("t"), num("x")))
 
 
-def _halves(spark, sf):
-    s = a.sparse_signals(spark, sf)
-    return s.where("id % 3 <> 0"), clean.fill_missing(s.where("id % 2 = 0"), 1.0)
-
-
-@query("t_two_frames_sub", f"with {a.SPARSE_SQL} select id, cast(t as bigint) as t, round(x - coalesce(x, 1), 6) + 0e0 as x from sp where id % 3 <> 0 and id % 2 = 0 and x is not null")
-def _two(spark, sf):
-    return cells(transform.compare_frames(*_halves(spark, sf)))
-
-
 @query("t_two_frames_median", f"""with {a.TYPED_SQL},
   p as (select id, t, median(x) as x from typed where source in ('click', 'view') group by id, t), q as (select id, t, median(x) as x from typed where source not in ('click', 'view') group by id, t)
   select id, cast(t as bigint) as t, round(p.x - q.x, 6) + 0e0 as x from p join q using (id, t) where p.x - q.x is not null""")
@@ -138,32 +128,22 @@ def _common(spark, sf):
     return s.join(other, "id").select(X("id").alias("a"), "b", (F.round(transform.common_distance(X("x"), X("y")), 6) + F.lit(0.0)).alias("d"))
 
 
-@query("t_concat_rows", f"with {a.SPARSE_SQL} {OUT} (select * from sp where id % 3 <> 0 union all select id, t, coalesce(x, 1) from sp where id % 2 = 0) u where x is not null")
-def _rows(spark, sf):
-    return cells(transform.concat_rows(*_halves(spark, sf)))
-
-
-@query("t_concat_cols", f"with {a.SPARSE_SQL} {OUT} (select * from sp where id % 3 <> 0 union all select id, t + {a.QUARTERS}, coalesce(x, 1) from sp where id % 2 = 0) u where x is not null")
-def _cols(spark, sf):
-    return cells(transform.concat_columns(*_halves(spark, sf), a.QUARTERS, a.QUARTERS))
-
-
-# the same operators over two whole frames: the sparse signals, and the suppliers' with their gaps filled
+# two whole frames: the sparse signals, and the suppliers' with their gaps filled
 def _wholes(spark, sf):
     return a.sparse_signals(spark, sf), clean.fill_missing(a.supplier_signals(spark, sf), 1.0)
 
 
-@query("t_two_frames_whole", f"with {a.SPARSE_SQL} select id, cast(t as bigint) as t, round(sp.x - coalesce(sup.x, 1), 6) + 0e0 as x from sp join sup using (id, t) where sp.x is not null")
+@query("t_two_frames_sub", f"with {a.SPARSE_SQL} select id, cast(t as bigint) as t, round(sp.x - coalesce(sup.x, 1), 6) + 0e0 as x from sp join sup using (id, t) where sp.x is not null")
 def _two_whole(spark, sf):
     return cells(transform.compare_frames(*_wholes(spark, sf)))
 
 
-@query("t_concat_rows_whole", f"with {a.SPARSE_SQL} {OUT} (select * from sp union all select id, t, coalesce(x, 1) from sup) u where x is not null")
+@query("t_concat_rows", f"with {a.SPARSE_SQL} {OUT} (select * from sp union all select id, t, coalesce(x, 1) from sup) u where x is not null")
 def _rows_whole(spark, sf):
     return cells(transform.concat_rows(*_wholes(spark, sf)))
 
 
-@query("t_concat_cols_whole", f"with {a.SPARSE_SQL} {OUT} (select * from sp union all select id, t + {a.QUARTERS}, coalesce(x, 1) from sup) u where x is not null")
+@query("t_concat_cols", f"with {a.SPARSE_SQL} {OUT} (select * from sp union all select id, t + {a.QUARTERS}, coalesce(x, 1) from sup) u where x is not null")
 def _cols_whole(spark, sf):
     return cells(transform.concat_columns(*_wholes(spark, sf), a.QUARTERS, a.QUARTERS))
 
@@ -468,27 +448,12 @@ def _bh(spark, sf):
     return enrich.benjamini_hochberg(rows, 0.3).select("list_name", "term", num("q_value"), "significant")
 
 
-_RESTRICT = f"{a.BRIDGE_SQL}, b1 as (select * from bridge where cast(id as bigint) % 3 = 0), b2 as (select * from b1 where term in (select term from b1 group by term having count(*) {{c}}))"
-
-
-@query("e_background", f"with {_RESTRICT.format(c='>= 0')} select id, term from b2")
-def _background(spark, sf):
-    b = a.bridge(spark, sf)
-    return enrich.restrict(b, b.where(X("id").cast("long") % 3 == 0).select("id"))
-
-
-@query("e_termlen", f"with {_RESTRICT.format(c='< 15')} select id, term from b2")
-def _termlen(spark, sf):
-    b = a.bridge(spark, sf)
-    return enrich.restrict(b, b.where(X("id").cast("long") % 3 == 0).select("id"), 15, "<")
-
-
-@query("e_background_lists", f"with {a.BRIDGE_SQL}, {a.LISTS_SQL} select id, term from bridge where id in (select id from lists)")
+@query("e_background", f"with {a.BRIDGE_SQL}, {a.LISTS_SQL} select id, term from bridge where id in (select id from lists)")
 def _background_lists(spark, sf):
     return enrich.restrict(a.bridge(spark, sf), a.lists(spark, sf).select("id"))
 
 
-@query("e_termlen_whole", f"with {a.BRIDGE_SQL} select id, term from bridge where term in (select term from bridge group by term having count(*) < 45)")
+@query("e_termlen", f"with {a.BRIDGE_SQL} select id, term from bridge where term in (select term from bridge group by term having count(*) < 45)")
 def _termlen_whole(spark, sf):
     return enrich.restrict(a.bridge(spark, sf), None, 45, "<")
 
