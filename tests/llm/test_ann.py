@@ -47,3 +47,40 @@ def test_edges(spark):
     got = sorted(map(tuple, ann.neighbours(df).collect()))
     assert got == [(0, 1, 20, 1.0), (0, 2, 1, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 0.5)]
     assert ann.neighbours(df.limit(0)).count() == 0
+
+
+def test_production_parameters_select():
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pandas()
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"]).astype(float)
+    index = ann.Index(ids, x, float(np.linalg.norm(x, axis=1).max()))
+    want = brute(ids.tolist(), x, 20, 20)
+    hit = verified = 0
+    for i, q in zip(ids.tolist(), x, strict=True):
+        if i % 20 == 0:
+            found, scores = index.search(q, i, 20)
+            assert (np.diff(scores) <= 0).all() and i not in found
+            hit += len({j for j, _ in want[i]} & set(found.tolist()))
+            verified += index.verified
+    # among 2000 vectors the 20th neighbour is hardly nearer than the rest
+    assert hit >= 0.9 * 20 * len(want) and verified < 0.65 * len(want) * len(x)
+
+
+def test_a_full_block_verifies_a_part():
+    x = np.random.default_rng(2).standard_normal((ann.BLOCK, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.Index(np.arange(len(x)), x, 1.0)
+    hit = verified = 0
+    for i in range(40):
+        found, _ = index.search(x[i], i, 20)
+        near = np.argsort(-(x @ x[i]), kind="stable")
+        hit += len(set(near[near != i][:20].tolist()) & set(found.tolist()))
+        verified += index.verified
+    assert hit >= 0.9 * 20 * 40 and verified < 0.3 * 40 * len(x)
+
+
+def test_repeated_ids_and_tie_order(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (5, [0.5, 0.5]), (3, [0.5, 0.5]), (4, [0.5, -9.0]), (4, [0.5, 3.0])]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=9).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 3, 0.5), (0, 2, 4, 0.5), (0, 3, 4, 0.5), (0, 4, 5, 0.5)]
