@@ -333,6 +333,7 @@ def _links(spark, scratch: Scratch, docs: DataFrame, rows: DataFrame, k: int, me
     gate = KeyGate(spark, shared, "key", KEYS, key_bits)
     lists = scratch.keep(_emit(docs, k, measure, boundary, order, gate, False).distinct(), "lists")
     scratch.drop(plain)
+    scratch.settle()
     return resolve_lists(
         scratch,
         lists,

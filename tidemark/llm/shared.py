@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import functools
+import gc
 import shutil
 import tempfile
 import uuid
@@ -107,6 +108,11 @@ class Scratch:
                 self.live.discard(path)
                 delete_path(self.spark, path)
 
+    def settle(self) -> None:
+        """Free the shuffle files of steps that are over: Spark removes them once the driver's garbage is collected, which may be long."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self, *kept: DataFrame) -> None:
         """Free every table but those of `kept`."""
         for path in self.live - {getattr(df, "_scratch", None) for df in kept}:
@@ -429,7 +435,9 @@ def resolve_lists(
     """
     spark, links, done, labels = scratch.spark, None, None, None
     company = lists.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    lists = scratch.keep(lists.join(company, "key", "left_semi"), "company")
+    given, lists = lists, scratch.keep(lists.join(company, "key", "left_semi"), "company")
+    scratch.drop(given)
+    scratch.settle()
     if not lists.take(1):
         return spark.createDataFrame([], "a long, b long")
     known = scratch.keep(sketches(lists.select("node").distinct()), "sketches")
@@ -465,14 +473,21 @@ def resolve_lists(
             continue
         texts = payloads(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
         links = add(scratch.keep(_verified(pairs, texts, linked), "links"))
+        scratch.drop(pairs, *([] if texts is known else [texts]))
         labels = components(scratch, links)
+        scratch.settle()
 
     open_ = open_lists()
     several = open_.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("c")).where("r0 <> r1")
     rest = scratch.keep(open_.join(several.select("key", "c"), "key").select("key", "node", "n", "root", "c"), "rest")
+    scratch.drop(lists)
+    scratch.settle()
     near = scratch.keep(_near_groups(rest.join(known.select("node", "sketch"), "node"), most), "groups")
     if near.take(1):
         members = near.join(rest.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")), "node")
-        members = members.join(known.select("node", "sketch"), "node").join(payloads(near.select("node")).select("node", "payload"), "node")
+        texts = payloads(near.select("node"))
+        members = members.join(known.select("node", "sketch"), "node").join(texts.select("node", "payload"), "node")
         links = add(scratch.keep(_spanning(members, most, linked.which, linked.unpack), "links"))
+        scratch.drop(rest, near, known, texts)
+        scratch.settle()
     return links if links is not None else spark.createDataFrame([], "a long, b long")
