@@ -5,7 +5,7 @@ import re
 import pytest
 
 import corpus_pipeline as cp
-from tests_llm_helpers import brute_lines
+from test_short_and_long_lines import brute as brute_lines
 
 
 @pytest.fixture(scope="module")
