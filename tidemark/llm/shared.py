@@ -348,15 +348,15 @@ def _near_groups(rest: DataFrame, most: Near) -> DataFrame:
     return rows.mapInArrow(run, "key long, node long").distinct()
 
 
-def _spanning(members: DataFrame, most: Near, which: Callable[[list, np.ndarray, np.ndarray], np.ndarray], unpack: Callable[[bytes], object]) -> DataFrame:
-    """Links (a, b) that join what the linked pairs in each group of members(key, node, n, root, sketch, payload) join.
+def _spanning(members: DataFrame, payloads: DataFrame, most: Near, which: Callable[[list, np.ndarray, np.ndarray], np.ndarray], unpack: Callable[[bytes], object]) -> DataFrame:
+    """Links (a, b) that join what the linked pairs in each group of members(key, node, n, root, sketch) join.
 
     Groups are verified in memory, in parts of GROUP_PART members and GROUP_SIZE. A pair is verified only while its ends are in different
-    components, so a group gives fewer links than it has members.
+    components, so a group gives fewer links than it has members. payloads(node, payload) is read once.
     """
     size = members.groupBy("key").agg(F.sum("n").alias("_size"), F.count(F.lit(1)).alias("_c"))
     parts = F.greatest(F.ceil((F.col("_size") + 1) / GROUP_SIZE), F.ceil(F.col("_c") / GROUP_PART))
-    rows = _dealt(members.join(size, "key"), "key", parts).drop("_size", "_c")
+    rows = _dealt(members.join(size, "key").join(payloads, "node"), "key", parts).drop("_size", "_c")
 
     def join(node, n, root, own, sketch: _Sketches, at: int, raw, lo, hi) -> list[tuple[int, int]]:
         right = np.arange(len(node)) if lo == hi else np.flatnonzero(own == hi)
@@ -485,9 +485,11 @@ def resolve_lists(
     near = scratch.keep(_near_groups(rest.join(known.select("node", "sketch"), "node"), most), "groups")
     if near.take(1):
         members = near.join(rest.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")), "node")
-        texts = payloads(near.select("node"))
-        members = members.join(known.select("node", "sketch"), "node").join(texts.select("node", "payload"), "node")
-        links = add(scratch.keep(_spanning(members, most, linked.which, linked.unpack), "links"))
-        scratch.drop(rest, near, known, texts)
+        members = members.join(known.select("node", "sketch"), "node")
+        # the payloads go from the texts to their groups without a table between
+        texts = known if "payload" in known.columns else fetch(near.select("node").distinct())
+        scratch.settle()
+        links = add(scratch.keep(_spanning(members, texts.select("node", "payload"), most, linked.which, linked.unpack), "links"))
+        scratch.drop(rest, near, known)
         scratch.settle()
     return links if links is not None else spark.createDataFrame([], "a long, b long")
