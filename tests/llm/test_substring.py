@@ -41,3 +41,29 @@ def test_against_brute_force(spark, window, anchor, bits):
 
 def test_empty_table(spark):
     assert substring.strip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_that_repeat_by_chance_are_not_held(spark, monkeypatch):
+    """Minimizers that recur without a longer passage give no rows, and no table but the result stays."""
+    r = random.Random(4)
+    phrases = [" ".join(f"p{i}w{j}" for j in range(12)) for i in range(20)]
+    texts = [" ".join(x for i in range(30) for x in (r.choice(phrases), *(f"d{d}i{i}w{j}" for j in range(9)))) for d in range(40)]
+    passage = " ".join(f"s{i}" for i in range(50))
+    texts = [*texts, texts[0] + " " + passage, texts[1] + " " + passage + " end"]
+    rows, made = {}, []
+    keep = substring.Scratch.keep
+
+    def kept(self, df, name):
+        out = keep(self, df, name)
+        rows[name] = out.count()
+        made.append(self)
+        return out
+
+    monkeypatch.setattr(substring.Scratch, "keep", kept)
+    docs = spark.createDataFrame(list(enumerate(texts[:40])), "doc_id long, text string")
+    assert substring.repeated_spans(substring._keyed(docs)).count() == 0
+    # a path or edge that passes a gate of 8 million bits by chance is still one of a few
+    assert rows["paths"] <= 5 and rows["edges"] <= 5
+    assert len(made[-1].live) == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, substring.strip(docs).collect())) == brute(list(enumerate(texts)), 35)

@@ -1,17 +1,19 @@
 """Removal of long repeated spans by de Bruijn compaction.
 
-An edge is a k-mer of WINDOW consecutive words of one document. Edges are bucketed by their minimizer: the leftmost
-ANCHOR-word k-mer of least hash inside. Consecutive edges of a document with one minimizer position are a path, compacted
-into one row (minimizer, hash of the path's words, source coordinates); about one row stands for a dozen edges. Equal
-edges have equal minimizers at equal offsets, so all that can repeat an edge meets under its minimizer:
-
-1. paths whose minimizer occurs once hold no repeated edge;
+An edge is a k-mer of WINDOW consecutive words of one document. Edges are bucketed by their minimizer, the leftmost
+ANCHOR-word k-mer of least hash inside, and its arm: the minimizer with as many words before or after it as any edge
+around it must have on one side at least (15 of 29). A few words repeat by chance, the more the larger the corpus; an arm
+of 21 words hardly does. Consecutive edges of a document with one minimizer position and arm are a path, compacted into
+one row (arm, hash of the path's words, source coordinates). Equal edges have equal minimizers at equal offsets and so
+equal arms, and all that can repeat an edge meets under its arm:
+
+1. paths whose arm occurs once hold no repeated edge;
 2. a path that occurs at two coordinates is repeated whole: it has no branch, and none of its edges is looked at again;
-3. where paths of a minimizer branch, the edges of those that occur once are held, edge by edge, against one source of
-   each path of that minimizer.
+3. where paths of an arm branch, the edges of those that occur once are held, edge by edge, against one source of each
+   path of that arm.
 
 Repeated paths and edges are then glued by their source coordinates into maximal spans of words, and removed.
-Equality is that of two independent 64-bit hashes (minimizer and path, or minimizer and edge).
+Equality is that of two independent 64-bit hashes (arm and path, or arm and edge).
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def paths(part: np.ndarray, offs: np.ndarray, window: int, anchor: int):
-    """(doc, first edge, edges, minimizer, path hash, word hashes) of the paths of a run of texts.
+    """(doc, first edge, edges, arm, path hash, word hashes, first words) of the paths of a run of texts.
 
     doc is the text within the run; the first edge is counted in words over the run, so an edge is words[i : i + window].
     """
@@ -63,14 +65,19 @@ def paths(part: np.ndarray, offs: np.ndarray, window: int, anchor: int):
     doc = np.repeat(np.arange(len(counts)), counts)
     # positions are taken modulo the mask; the minimizer lies within the edge
     at = edges + (((low[edges] & U(_POS)).astype(np.int64) - edges) & _POS)
+    # an edge with `reach` words or more before its minimizer holds the arm to the left, any other one that to the right
+    reach = -(-(window - anchor) // 2)
+    left = at - edges >= reach
     new = np.ones(len(edges), bool)
-    new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (at[1:] != at[:-1]) | (left[1:] != left[:-1]) | (doc[1:] != doc[:-1])
     lead = np.flatnonzero(new)
     n = np.diff(np.append(lead, len(edges)))
     begin = edges[lead]
     with np.errstate(over="ignore"):
         path = wh.mix(wh.span_hashes(h, begin, begin + n - 1 + window, salt=0x9A7) + (at[lead] - begin).astype(U) * U(0x9E3779B97F4A7C15))
-    return doc[lead], begin, n, kmers[at[lead]], path, h, first
+    with np.errstate(over="ignore"):
+        arm = wh.mix(wh.window_hashes(h, anchor + reach, salt=0xA12)[at[lead] - reach * left[lead]] + left[lead].astype(U))
+    return doc[lead], begin, n, arm, path, h, first
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -83,14 +90,14 @@ def _run_mark(key: np.ndarray, at: np.ndarray) -> np.ndarray:
         return wh.mix(key.view(U) + at.astype(U) * U(0xD1342543DE82EF95), 0x4B)
 
 
-def _minimizers(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+def _arms(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [paths(part, offs, window, anchor)[3] for _, _, part, offs in wh.pieces(*wh.strings(b.column(0)))]
-            yield pa.RecordBatch.from_arrays([pa.array(wh.signed(np.concatenate(found)) if found else np.zeros(0, np.int64))], names=["anchor"])
+            yield pa.RecordBatch.from_arrays([pa.array(wh.signed(np.concatenate(found)) if found else np.zeros(0, np.int64))], names=["arm"])
 
-    return docs.select("text").mapInArrow(run, "anchor long")
+    return docs.select("text").mapInArrow(run, "arm long")
 
 
 def _paths_of(docs: DataFrame, window: int, anchor: int, gate: Gate) -> DataFrame:
@@ -102,20 +109,20 @@ def _paths_of(docs: DataFrame, window: int, anchor: int, gate: Gate) -> DataFram
             key = b.column(1).to_numpy(zero_copy_only=False)
             cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for at, _, part, offs in wh.pieces(*wh.strings(b.column(0))):
-                doc, begin, n, kmer, path, _, first = paths(part, offs, window, anchor)
-                ok = test_bits(table.value, kmer & U(bits - 1))
+                doc, begin, n, arm, path, _, first = paths(part, offs, window, anchor)
+                ok = test_bits(table.value, arm & U(bits - 1))
                 k, i0 = key[at + doc[ok]], (begin - first[doc])[ok]
-                for c, v in zip(cols, (wh.signed(kmer[ok]), wh.signed(path[ok]), k, i0, n[ok], wh.signed(_run_mark(k.astype(np.int64), i0))), strict=True):
+                for c, v in zip(cols, (wh.signed(arm[ok]), wh.signed(path[ok]), k, i0, n[ok], wh.signed(_run_mark(k.astype(np.int64), i0))), strict=True):
                     c.append(v)
             out = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2], pa.int64()), pa.array(out[3].astype(np.int32)), pa.array(out[4].astype(np.int32)), pa.array(out[5])], names=["anchor", "path", "key", "at", "n", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2], pa.int64()), pa.array(out[3].astype(np.int32)), pa.array(out[4].astype(np.int32)), pa.array(out[5])], names=["arm", "path", "key", "at", "n", "mark"])
 
-    return docs.select("text", "key").mapInArrow(run, "anchor long, path long, key long, at int, n int, mark long")
+    return docs.select("text", "key").mapInArrow(run, "arm long, path long, key long, at int, n int, mark long")
 
 
-def _edges_of(docs: DataFrame, window: int, anchor: int, marks: Gate) -> DataFrame:
-    """Edges (anchor, edge, key, at) of the marked paths. A path that is marked by chance only adds true edges."""
-    bits, table = marks.bits, marks.table
+def _edges_of(docs: DataFrame, window: int, anchor: int, gate: Gate, marks: Gate) -> DataFrame:
+    """Edges (arm, edge, key, at) of the marked paths. A path that passes both gates by chance only adds true edges."""
+    arm_bits, arm_table, bits, table = gate.bits, gate.table, marks.bits, marks.table
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,35 +130,48 @@ def _edges_of(docs: DataFrame, window: int, anchor: int, marks: Gate) -> DataFra
             key = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             cols: list[list[np.ndarray]] = [[], [], [], []]
             for at, _, part, offs in wh.pieces(*wh.strings(b.column(0))):
-                doc, begin, n, kmer, _, h, first = paths(part, offs, window, anchor)
+                doc, begin, n, arm, _, h, first = paths(part, offs, window, anchor)
                 k, i0 = key[at + doc], begin - first[doc]
-                ok = test_bits(table.value, _run_mark(k, i0) & U(bits - 1))
+                ok = test_bits(arm_table.value, arm & U(arm_bits - 1)) & test_bits(table.value, _run_mark(k, i0) & U(bits - 1))
                 begin, n = begin[ok], n[ok]
                 edge = wh.ranges(begin, n)
                 full = wh.window_hashes(h, window, salt=0xED6E)
-                for c, v in zip(cols, (wh.signed(np.repeat(kmer[ok], n)), wh.signed(full[edge]) if len(edge) else edge, np.repeat(k[ok], n), wh.ranges(i0[ok], n)), strict=True):
+                for c, v in zip(cols, (wh.signed(np.repeat(arm[ok], n)), wh.signed(full[edge]) if len(edge) else edge, np.repeat(k[ok], n), wh.ranges(i0[ok], n)), strict=True):
                     c.append(v)
             out = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2]), pa.array(out[3].astype(np.int32))], names=["anchor", "edge", "key", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2]), pa.array(out[3].astype(np.int32))], names=["arm", "edge", "key", "at"])
 
-    return docs.select("text", "key").mapInArrow(run, "anchor long, edge long, key long, at int")
+    return docs.select("text", "key").mapInArrow(run, "arm long, edge long, key long, at int")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, gate_bits: int | None = None) -> DataFrame:
-    """(key, spans): for each row key of _keyed(docs) the edge runs (first edge, edges) that occur elsewhere too."""
+    """(key, spans): for each row key of _keyed(docs) the edge runs (first edge, edges) that occur elsewhere too.
+
+    A kept table; what led to it is freed step by step.
+    """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substring")
-    twice = scratch.keep(_minimizers(docs, window, anchor).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "minimizers")
+    twice = scratch.keep(_arms(docs, window, anchor).groupBy("arm").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("arm"), "arms")
     gate_bits = gate_bits or gate_size(twice.count())
-    found = scratch.keep(_paths_of(docs, window, anchor, Gate(spark, twice, gate_bits)), "paths")
-    variants = scratch.keep(found.groupBy("anchor", "path").agg(F.count(F.lit(1)).alias("c"), F.min("mark").alias("source")), "variants")
-    buckets = variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("paths"), F.min("c").alias("least")).where("paths > 1 and least = 1").select("anchor")
-    # one source of every path under a branching minimizer that has a path of one occurrence
-    marks = variants.join(buckets, "anchor", "left_semi").select("source")
-    whole = found.join(variants.where("c > 1").select("anchor", "path"), ["anchor", "path"], "left_semi").select("key", "at", "n")
-    edges = scratch.keep(_edges_of(docs, window, anchor, Gate(spark, marks, gate_bits)), "edges")
-    again = edges.groupBy("anchor", "edge").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor", "edge")
-    single = edges.join(again, ["anchor", "edge"], "left_semi").select("key", "at", F.lit(1).alias("n"))
-    return whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    gate = Gate(spark, twice, gate_bits)
+    scratch.drop(twice)
+    scratch.settle()
+    found = scratch.keep(_paths_of(docs, window, anchor, gate), "paths")
+    variants = scratch.keep(found.groupBy("arm", "path").agg(F.count(F.lit(1)).alias("c"), F.min("mark").alias("source")), "variants")
+    buckets = variants.groupBy("arm").agg(F.count(F.lit(1)).alias("paths"), F.min("c").alias("least")).where("paths > 1 and least = 1").select("arm")
+    # one source of every path under a branching arm that has a path of one occurrence
+    marks = Gate(spark, variants.join(buckets, "arm", "left_semi").select("source"), gate_bits)
+    whole = scratch.keep(found.join(variants.where("c > 1").select("arm", "path"), ["arm", "path"], "left_semi").select("key", "at", "n"), "whole")
+    scratch.drop(found, variants)
+    scratch.settle()
+    edges = scratch.keep(_edges_of(docs, window, anchor, gate, marks), "edges")
+    again = edges.groupBy("arm", "edge").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("arm", "edge")
+    single = scratch.keep(edges.join(again, ["arm", "edge"], "left_semi").select("key", "at", F.lit(1).alias("n")), "single")
+    scratch.drop(edges)
+    scratch.settle()
+    spans = scratch.keep(whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
+    scratch.close(spans)
+    scratch.settle()
+    return spans
 
 
 def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, gate_bits: int | None = None) -> DataFrame:
