@@ -123,3 +123,59 @@ def test_ids_that_are_null_or_repeated(spark):
     assert sorted((r.doc_id, r.component_id, r.leads) for r in rows if r.doc_id is not None) == [(7, 7, True), (7, 7, True), (8, 7, False), (9, 9, True)]
     named = spark.createDataFrame([("b", "a b c d e"), ("a", "a b c d e")], "doc_id string, text string")
     assert {tuple(r) for r in jaccard.join(named).collect()} == {("a", 2, "a"), ("b", 2, "a")}
+
+
+def roots(docs, k, num, den):
+    return [(d, low) for d, _, low in brute(docs, k, num, den)]
+
+
+def test_large_sets_that_are_nearly_linked_bring_no_payloads(spark, monkeypatch):
+    """Sets of 1 700 shingles that agree in 0.72 of them pass the narrow sketches; none of them may go on to be dealt with its payload."""
+    from tidemark.llm import shared
+
+    r = random.Random(3)
+    base, docs = [f"w{i}" for i in range(1700)], []
+    for i in range(16):
+        w = list(base)
+        for at in r.sample(range(1700), 140):
+            w[at] = f"n{i}-{at}"
+        docs.append((i, " ".join(w)))
+    docs.append((16, docs[5][1].replace("w1", "v1", 40)))
+    dealt, spanning = [], shared._spanning
+
+    def counted(members, *rest):
+        dealt.append(members.select("node").distinct().count())
+        return spanning(members, *rest)
+
+    monkeypatch.setattr(shared, "_spanning", counted)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((x.doc_id, x.component_id) for x in jaccard.groups(d, 1, 80, 100).collect())
+    assert got == roots(docs, 1, 80, 100) and (16, 5) in got and (15, 15) in got
+    assert sum(dealt) <= 2
+
+
+def test_groups_dealt_in_turns(spark, monkeypatch):
+    """A turn deals a bounded share of what the parts of groups repeat, and all turns together miss no link."""
+    from tidemark.llm import shared
+
+    for name, value in (("LIST_PART", 5), ("GROUP_PART", 4), ("DEALT", 0.5)):
+        monkeypatch.setattr(shared, name, value)
+    monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", 0)
+    turns, in_turns = {}, shared._in_turns
+
+    def counted(scratch, n, name, deal):
+        turns[name] = max(n, turns.get(name, 0))
+        return in_turns(scratch, n, name, deal)
+
+    monkeypatch.setattr(shared, "_in_turns", counted)
+    docs = []
+    for chain in range(3):  # a text is linked with the two before and after it only
+        w = [f"w{i}" for i in range(120)]
+        for i in range(16):
+            for at in range(4 * i, 4 * i + 4):
+                w[at] = f"c{chain}n{i}-{at}"
+            docs.append((16 * chain + i, " ".join(w)))
+    docs = docs[16:] + docs[:16]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.join(d, 1).collect())) == brute(docs, 1, 85, 100)
+    assert turns["groups"] > 2 and turns["links"] > 2

@@ -149,6 +149,11 @@ def _of_nodes(docs: DataFrame, k: int, gate: KeyGate, name: str, form) -> DataFr
     return docs.select("text").mapInArrow(run, f"node long, {name} binary").groupBy("node").agg(F.first(name).alias(name))
 
 
+def _wide_sketches(docs: DataFrame, k: int, gate: KeyGate) -> DataFrame:
+    """Sketches of 4 to 8 bits a shingle, in widths that are powers of two: an eighth of a payload at most."""
+    return _of_nodes(docs, k, gate, "sketch", lambda s: parity_sketch(s, max(SKETCH_WORDS, 1 << (len(s) // 16).bit_length())))
+
+
 def _sketches(docs: DataFrame, k: int, gate: KeyGate) -> DataFrame:
     return _of_nodes(docs, k, gate, "sketch", lambda s: parity_sketch(s, SKETCH_WORDS * (1 if len(s) <= SKETCHED else 4 if len(s) <= 4 * SKETCHED else 16)))
 
@@ -343,6 +348,7 @@ def _links(spark, scratch: Scratch, docs: DataFrame, rows: DataFrame, k: int, me
         sketches=lambda wanted: _sketches(docs, k, KeyGate(spark, wanted, "node", NODES, node_bits)),
         most=lambda n, m: n + m - 2 * measure.overlap(n, m),
         rounds=PIVOT_ROUNDS,
+        finer=lambda wanted: _wide_sketches(docs, k, KeyGate(spark, wanted, "node", NODES, node_bits)),
     )
 
 

@@ -213,6 +213,8 @@ VERIFIED = 512
 LIST_PART = 1024
 #: Members of a group that are verified at once, and their tokens or characters; a larger group is cut into parts likewise.
 GROUP_PART, GROUP_SIZE = 512, 1 << 20
+#: Groups are dealt in turns, each of this many times what their members hold once each; a group in many parts, or a member of many groups, is dealt often.
+DEALT = 2
 #: Pivots that the lists with a common member name in one round.
 PIVOTS = 4
 
@@ -294,24 +296,50 @@ def _with_end(batches):
     yield None
 
 
-def _dealt(rows: DataFrame, key: str, parts: Column) -> DataFrame:
-    """rows once for each other part of their group, with lo and hi, the parts that meet, and own, the row's part; sorted by group."""
+def _dealt(rows: DataFrame, key: str, parts: Column, turn: tuple[int, int] = (0, 1)) -> DataFrame:
+    """rows once for each other part of their group, with lo and hi, the parts that meet, and own, the row's part; sorted by group.
+
+    Of several turns (i, turns) each has its own meetings of parts.
+    """
     rows = rows.withColumn("_parts", parts.cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     rows = rows.withColumn("lo", F.least("own", "q")).withColumn("hi", F.greatest("own", "q")).drop("q")
+    if turn[1] > 1:
+        rows = rows.where(F.pmod(F.xxhash64(key, "lo", "hi", F.lit(0x7075)), F.lit(turn[1])) == turn[0])
     return rows.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
 
 
 Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def _near_groups(rest: DataFrame, most: Near) -> DataFrame:
+def _turns(sizes: DataFrame, parts: Column, size: Column, once: float) -> int:
+    """In how many turns groups (one row of sizes each) are dealt so that a turn deals some DEALT times `once`, the size of all members once each."""
+    dealt = sizes.agg(F.sum(parts * size)).first()[0] or 0
+    return max(1, -(-int(dealt) // max(1, int(DEALT * once))))
+
+
+def _in_turns(scratch: Scratch, turns: int, name: str, deal: Callable[[tuple[int, int]], DataFrame]) -> DataFrame:
+    """The rows of all turns; what a turn has shuffled is freed before the next."""
+    out = None
+    for i in range(turns):
+        found = scratch.keep(deal((i, turns)), name)
+        out = found if out is None else out.unionByName(found)
+        if turns > 1:
+            scratch.settle()
+    return out
+
+
+def _list_parts() -> Column:
+    return F.ceil(F.col("c") / LIST_PART)
+
+
+def _near_groups(rest: DataFrame, most: Near, turn: tuple[int, int] = (0, 1)) -> DataFrame:
     """(key, node): groups of nodes that a chain of pairs joins whose sketches don't rule them out, within lists of rest(key, node, n, root, sketch, c).
 
     Only pairs of different components count. No pair is made as a row: at most 2 * LIST_PART members are compared in
     memory, and a group is named by its smallest node, so that lists with the same members give the same group.
     """
-    rows = _dealt(rest.select("key", "node", "n", "root", "sketch", "c"), "key", F.ceil(F.col("c") / LIST_PART)).drop("c")
+    rows = _dealt(rest.select("key", "node", "n", "root", "sketch", "c"), "key", _list_parts(), turn).drop("c")
 
     def compare(node, n, root, own, sketch: _Sketches, at: int, lo, hi) -> tuple[np.ndarray, np.ndarray]:
         right = np.arange(len(node)) if lo == hi else np.flatnonzero(own == hi)
@@ -348,19 +376,27 @@ def _near_groups(rest: DataFrame, most: Near) -> DataFrame:
     return rows.mapInArrow(run, "key long, node long").distinct()
 
 
-def _spanning(members: DataFrame, payloads: DataFrame, most: Near, which: Callable[[list, np.ndarray, np.ndarray], np.ndarray], unpack: Callable[[bytes], object]) -> DataFrame:
+def _group_sizes(members: DataFrame) -> DataFrame:
+    return members.groupBy("key").agg(F.sum("n").alias("_size"), F.count(F.lit(1)).alias("_c"))
+
+
+def _group_parts() -> Column:
+    return F.greatest(F.ceil((F.col("_size") + 1) / GROUP_SIZE), F.ceil(F.col("_c") / GROUP_PART))
+
+
+def _spanning(members: DataFrame, payloads: DataFrame, most: Near, which: Callable[[list, np.ndarray, np.ndarray], np.ndarray], unpack: Callable[[bytes], object], turn: tuple[int, int] = (0, 1)) -> DataFrame:
     """Links (a, b) that join what the linked pairs in each group of members(key, node, n, root, sketch) join.
 
     Groups are verified in memory, in parts of GROUP_PART members and GROUP_SIZE. A pair is verified only while its ends are in different
     components, so a group gives fewer links than it has members. payloads(node, payload) is read once.
     """
-    size = members.groupBy("key").agg(F.sum("n").alias("_size"), F.count(F.lit(1)).alias("_c"))
-    parts = F.greatest(F.ceil((F.col("_size") + 1) / GROUP_SIZE), F.ceil(F.col("_c") / GROUP_PART))
-    rows = _dealt(members.join(size, "key").join(payloads, "node"), "key", parts).drop("_size", "_c")
+    rows = _dealt(members.join(_group_sizes(members), "key").join(payloads, "node"), "key", _group_parts(), turn).drop("_size", "_c")
 
     def join(node, n, root, own, sketch: _Sketches, at: int, raw, lo, hi) -> list[tuple[int, int]]:
         right = np.arange(len(node)) if lo == hi else np.flatnonzero(own == hi)
         left = right if lo == hi else np.flatnonzero(own == lo)
+        if not len(left):  # all members of this group are in the other part
+            return []
         ends = []
         for x in range(0, len(left), 128):
             some = left[x : x + 128]
@@ -422,6 +458,7 @@ def resolve_lists(
     sketches: Callable[[DataFrame], DataFrame],
     most: Near,
     rounds: int,
+    finer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Links (a, b) whose components are those of all linked pairs that share a list.
 
@@ -429,7 +466,8 @@ def resolve_lists(
     two members that differ in more than most(n, m) bits can't be linked. In each of `rounds` rounds every list that
     holds several components names a pivot, its other members are verified against that, and components contract; a
     pivot leaves its lists. After that, members of different components that still share a list form groups by their
-    sketches, and inside each group pairs are verified until its components are known. close(n, m) may rule out a pair
+    sketches, and inside each group pairs are verified until its components are known. finer(nodes) gives wider
+    sketches, by which groups fall apart before payloads are read. close(n, m) may rule out a pair
     by its sizes, fetch(nodes) gives (node, payload); linked(payloads, payloads) picks the pairs that link, and
     linked.which(unpacked, i, j) says which pairs do of members that linked.unpack has taken apart.
     """
@@ -482,14 +520,32 @@ def resolve_lists(
     rest = scratch.keep(open_.join(several.select("key", "c"), "key").select("key", "node", "n", "root", "c"), "rest")
     scratch.drop(lists)
     scratch.settle()
-    near = scratch.keep(_near_groups(rest.join(known.select("node", "sketch"), "node"), most), "groups")
-    if near.take(1):
-        members = near.join(rest.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")), "node")
-        members = members.join(known.select("node", "sketch"), "node")
-        # the payloads go from the texts to their groups without a table between
-        texts = known if "payload" in known.columns else fetch(near.select("node").distinct())
+    facts = rest.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"))
+
+    def groups_of(lists: DataFrame, sketches: DataFrame, name: str) -> DataFrame:
+        """(key, node, n, root) of the groups that these sketches leave of lists(key, node, n, root, c)."""
+        sizes = lists.groupBy("key").agg(F.first("c").alias("c"))
+        turns = _turns(sizes, _list_parts(), F.col("c"), lists.count())
+        near = _in_turns(scratch, turns, name, lambda turn: _near_groups(lists.join(sketches.select("node", "sketch"), "node"), most, turn))
+        return scratch.keep((near.distinct() if turns > 1 else near).join(facts, "node"), "members")
+
+    members = groups_of(rest, known, "groups")
+    scratch.settle()
+    if finer is not None and members.take(1):
+        wide = scratch.keep(finer(members.select("node").distinct()), "finer")
+        some = scratch.keep(members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key"), "some")
+        members, known = groups_of(some, wide, "closer"), wide
+        scratch.settle()
+    if members.take(1):
+        once = members.groupBy("node").agg(F.first("n").alias("n")).agg(F.sum("n")).first()[0]
+        turns = _turns(_group_sizes(members), _group_parts(), F.col("_size"), once)
+        members = scratch.keep(members.join(known.select("node", "sketch"), "node"), "sketched")
+        # the payloads go from the texts to their groups without a table between, unless they are dealt in turns
+        texts = known if "payload" in known.columns else fetch(members.select("node").distinct())
+        if turns > 1 and texts is not known:
+            texts = scratch.keep(texts, "payloads")
         scratch.settle()
-        links = add(scratch.keep(_spanning(members, texts.select("node", "payload"), most, linked.which, linked.unpack), "links"))
-        scratch.drop(rest, near, known)
+        links = add(_in_turns(scratch, turns, "links", lambda turn: _spanning(members, texts.select("node", "payload"), most, linked.which, linked.unpack, turn)))
+        scratch.drop(rest, members, known, texts)
         scratch.settle()
     return links if links is not None else spark.createDataFrame([], "a long, b long")
