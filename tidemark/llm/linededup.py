@@ -18,12 +18,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from . import wordhash as wh
-from .shared import Gate, KeyGate, Scratch, components, gate_size, parity_sketch, resolve_lists, test_bits, trimmed
+from .shared import Gate, KeyGate, PackedGate, Scratch, components, gate_size, parity_sketches, resolve_lists, runs_of, test_bits, trimmed
 
 EDITS, LEAST, GROWS = 2, 32, 256
 PIVOT_ROUNDS = 1
@@ -32,6 +32,8 @@ SKETCH_WORDS = 4
 NODES = 0x11E6
 #: Keys that are broadcast (8 MB of them); more are joined by a shuffle.
 MOST_SENT = 1 << 20
+#: Entries that are packed into one row, and buckets of keys for each shuffle partition.
+PACKED, SPREAD = 1 << 16, 4
 U = np.uint64
 _PIECE = 1 << 20
 _BLANK = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
@@ -192,8 +194,7 @@ def _banded_many(a: list[str], b: list[str], edits: int) -> np.ndarray:
 def _lines(part: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, number, start, characters, code points) of the lines of a run of texts."""
     points = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
-    lead = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-    first = lead[offs]
+    first = offs - np.searchsorted(np.flatnonzero((part & 0xC0) == 0x80), offs)
     breaks = np.flatnonzero(points == 0x0A)
     text_of = np.searchsorted(first, breaks, "right") - 1
     n = np.diff(first) > 0
@@ -218,8 +219,11 @@ class _Hasher:
     def __init__(self, points: np.ndarray):
         self.up, self.down = wh._BYTE_POWERS.get(len(points) + 1)
         self.run = np.zeros(len(points) + 1, U)
+        run = self.run[1:]
+        np.take(_point_hashes(), points, out=run, mode="clip")
         with np.errstate(over="ignore"):
-            np.cumsum(_point_hashes()[points] * self.up[: len(points)], out=self.run[1:])
+            run *= self.up[: len(points)]
+            np.cumsum(run, out=run)
 
     def get(self, start: np.ndarray, size: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -269,9 +273,10 @@ def _long_lines(batches: Iterator[pa.RecordBatch], column: int, least: int, shor
             owner, number, start, length, points = _lines(part, offs)
             h = _Hasher(points)
             fine = length >= least
-            if short:
-                marks = np.concatenate([[0], np.cumsum(~_BLANK[np.minimum(points, len(_BLANK) - 1)])])
-                fine |= marks[start + length] > marks[start]
+            some = np.flatnonzero(~fine & (length > 0)) if short else ()
+            if len(some):
+                marks = ~_BLANK[np.minimum(points[wh.ranges(start[some], length[some])], len(_BLANK) - 1)]
+                fine[some] = np.logical_or.reduceat(marks, np.cumsum(length[some]) - length[some])
             keep = np.flatnonzero(fine)
             owner, number, start, length = owner[keep], number[keep], start[keep], length[keep]
             yield b, at, owner, number, start, length, points, h, h.get(start, length, 0)
@@ -279,35 +284,51 @@ def _long_lines(batches: Iterator[pa.RecordBatch], column: int, least: int, shor
 
 def _batch(names: list[str], kinds: dict[str, pa.DataType], **columns: pa.Array) -> pa.RecordBatch:
     """A batch of the given columns; the others are null."""
-    size = len(columns["node"])
+    size = len(next(iter(columns.values())))
     return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, kinds[c]) for c in names], names=names)
 
 
+def _packed(found: list[tuple[np.ndarray, np.ndarray]], node: np.ndarray, length: np.ndarray) -> Iterator[dict[str, pa.Array]]:
+    """The entries or probes (rows, keys) of some lines, many in a row: as rows of their own they would cost more than all else."""
+    if not found:
+        return
+    rows, key = (np.concatenate(v) for v in zip(*found, strict=True))
+    node, size = node[rows], length[rows].astype(np.int32)
+    for at in range(0, len(key), PACKED):
+        some = slice(at, at + PACKED)
+        columns = {"count": pa.array([len(key[some])], pa.int32())}
+        yield columns | {c: pa.array([v[some].tobytes()], pa.binary()) for c, v in (("keys", key), ("nodes", node), ("sizes", size))}
+
+
+def _unpacked(column: pa.Array, kind: type = U) -> np.ndarray:
+    buf, offs = wh.strings(column)
+    return np.frombuffer(buf[offs[0] : offs[-1]].tobytes(), kind)
+
+
 def _entries(docs: DataFrame, budget: Budget) -> DataFrame:
-    """In one reading of docs(text, key, id): an occurrence (node, key, id, line) of every line, and entries (segment, node, n), each line's once a piece."""
+    """In one reading of docs(text, key, id): an occurrence (node, key, id, line) of every line, and packed entries (count, keys, nodes, sizes), each line's once a piece."""
     kind = docs.schema["id"].dataType
-    schema = StructType([*(StructField(c, LongType()) for c in ("segment", "node", "key")), StructField("id", kind), StructField("line", IntegerType()), StructField("n", IntegerType())])
+    packed = [StructField("count", IntegerType()), *(StructField(c, BinaryType()) for c in ("keys", "nodes", "sizes"))]
+    schema = StructType([StructField("node", LongType()), StructField("key", LongType()), StructField("id", kind), StructField("line", IntegerType()), *packed])
 
     @trimmed
     def run(batches):
         for b, at, owner, number, start, length, _, h, node in _long_lines(batches, 0, budget.least, budget.exact):
-            nothing = {"segment": pa.int64(), "key": b.column(1).type, "id": b.column(2).type, "line": pa.int32(), "n": pa.int32()}
+            nothing = {"node": pa.int64(), "key": b.column(1).type, "id": b.column(2).type, "line": pa.int32(), "count": pa.int32(), "keys": pa.binary(), "nodes": pa.binary(), "sizes": pa.binary()}
             rows = pa.array(at + owner)
             yield _batch(schema.names, nothing, node=pa.array(wh.signed(node)), key=b.column(1).take(rows), id=b.column(2).take(rows), line=pa.array(number.astype(np.int32)))
             _, once = np.unique(node, return_index=True)
             once = once[length[once] >= budget.least]
             start, length, node = start[once], length[once], node[once]
-            found = [*_signatures(start, length, h, budget, True)]
-            if found:
-                rows, key = (np.concatenate(v) for v in zip(*found, strict=True))
-                yield _batch(schema.names, nothing, segment=pa.array(wh.signed(key)), node=pa.array(wh.signed(node[rows])), n=pa.array(length[rows].astype(np.int32)))
+            for columns in _packed([*_signatures(start, length, h, budget, True)], node, length):
+                yield _batch(schema.names, nothing, **columns)
 
     return docs.select("text", "key", "id").mapInArrow(run, schema)
 
 
-def _probes(docs: DataFrame, budget: Budget, gate: Gate) -> DataFrame:
-    """(key, node, n) of the probes of all lines for segments that the gate may have, each line's once a piece."""
-    bits, table = gate.bits, gate.table
+def _probes(docs: DataFrame, budget: Budget, gate: PackedGate) -> DataFrame:
+    """Packed (keys, nodes, sizes) of the probes of all lines for segments that the gate may have, each line's once a piece."""
+    bits, table, names = gate.bits, gate.table, ["keys", "nodes", "sizes"]
 
     @trimmed
     def run(batches):
@@ -318,11 +339,68 @@ def _probes(docs: DataFrame, budget: Budget, gate: Gate) -> DataFrame:
             for rows, key in _signatures(start, length, h, budget, False):
                 ok = test_bits(table.value, key & U(bits - 1))
                 found.append((rows[ok], key[ok]))
-            if found:
-                rows, key = (np.concatenate(v) for v in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(wh.signed(key)), pa.array(wh.signed(node[rows])), pa.array(length[rows].astype(np.int32))], names=["key", "node", "n"])
+            for columns in _packed(found, node, length):
+                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+    return docs.select("text").mapInArrow(run, "keys binary, nodes binary, sizes binary")
+
+
+def _extremes(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, smallest node, largest node), in the order of the keys."""
+    order = np.argsort(key)
+    key, node = key[order], node[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+    return (key[at], np.minimum.reduceat(node, at), np.maximum.reduceat(node, at)) if len(at) else (key, node, node)
+
+
+def _met(spark: SparkSession, packed: DataFrame) -> DataFrame:
+    """(key) of the keys that at least two nodes of packed(keys, nodes) have.
+
+    Keys are hashes, so equal ranges of them are buckets of like size. A task sends two nodes of a key at most, however
+    many lines have it.
+    """
+    buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    low = np.array([-(-(k << 64) // buckets) for k in range(buckets)], U)
+
+    @trimmed
+    def deal(batches):
+        for b in batches:
+            key, x, y = _extremes(_unpacked(b.column(0)), _unpacked(b.column(1)))
+            if not len(key):
+                continue
+            cut, two, out = np.append(np.searchsorted(key, low), len(key)), x != y, []
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                i, j = int(cut[k]), int(cut[k + 1])
+                more = two[i:j]
+                out.append((k, key[i:j].tobytes() + key[i:j][more].tobytes(), x[i:j].tobytes() + y[i:j][more].tobytes()))
+            bucket, keys, nodes = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(keys, pa.binary()), pa.array(nodes, pa.binary())], names=["bucket", "keys", "nodes"])
+
+    @trimmed
+    def meet(batches):
+        for t, at in runs_of(batches, ["bucket"]):
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                some = t.slice(i, j - i)
+                key, x, y = _extremes(_unpacked(some["keys"]), _unpacked(some["nodes"]))
+                yield pa.RecordBatch.from_arrays([pa.array(wh.signed(key[x != y]))], names=["key"])
+
+    dealt = packed.select("keys", "nodes").mapInArrow(deal, "bucket int, keys binary, nodes binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long")
+
+
+def _rows(packed: DataFrame, gate: Gate) -> DataFrame:
+    """(key, node, n) of packed(keys, nodes, sizes), of the keys that the gate may have."""
+    bits, table = gate.bits, gate.table
+
+    @trimmed
+    def run(batches):
+        for b in batches:
+            key = _unpacked(b.column(0))
+            ok = np.flatnonzero(test_bits(table.value, key & U(bits - 1)))
+            node, n = _unpacked(b.column(1))[ok], _unpacked(b.column(2), np.int32)[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(wh.signed(key[ok])), pa.array(wh.signed(node)), pa.array(n)], names=["key", "node", "n"])
 
-    return docs.select("text").mapInArrow(run, "key long, node long, n int")
+    return packed.select("keys", "nodes", "sizes").mapInArrow(run, "key long, node long, n int")
 
 
 def _raw(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[bytes]:
@@ -351,8 +429,9 @@ def _sketches(docs: DataFrame, least: int, gate: KeyGate) -> DataFrame:
         for _, _, _, _, start, length, points, _, node in _long_lines(batches, 0, least):
             _, once = np.unique(node, return_index=True)
             once = once[test_bits(table.value, wh.mix(node[once], NODES) & U(bits - 1))]
-            pairs = points[:-1].astype(U) << U(32) | points[1:].astype(U)
-            out = [parity_sketch(pairs[s : s + n - 1], SKETCH_WORDS) for s, n in zip(start[once].tolist(), length[once].tolist(), strict=True)]
+            count = np.maximum(length[once] - 1, 0)
+            at = wh.ranges(start[once], count)
+            out = parity_sketches(points[at].astype(U) << U(32) | points[at + 1].astype(U), count, SKETCH_WORDS)
             yield pa.RecordBatch.from_arrays([pa.array(wh.signed(node[once])), pa.array(out, pa.binary()), pa.array(_raw(points, start[once], length[once]), pa.binary())], names=["node", "sketch", "payload"])
 
     return docs.select("text").mapInArrow(run, "node long, sketch binary, payload binary").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("payload").alias("payload"))
@@ -378,14 +457,16 @@ def classes(docs: DataFrame, budget: Budget, scratch: Scratch, gate_bits: int |
     """(occurrences of lines that take part, (node, key0, line0) of the first occurrence of each class that has several)."""
     spark, least = docs.sparkSession, budget.least
     entries = scratch.keep(_entries(docs, budget), "entries")
-    occurrences = entries.where("segment is null").select("node", "key", "id", "line")
-    index = entries.where("segment is not null").select(F.col("segment").alias("key"), "node", "n")
-    bits = gate_bits or gate_size(index.count())
-    probes = scratch.keep(_probes(docs, budget, Gate(spark, index.select("key"), bits)), "probes")
+    occurrences = entries.where("count is null").select("node", "key", "id", "line")
+    index = entries.where("count is not null")
+    bits = gate_bits or gate_size(index.agg(F.sum("count")).first()[0] or 0)
+    index = index.select("keys", "nodes", "sizes")
+    probes = scratch.keep(_probes(docs, budget, PackedGate(spark, index.select("keys"), bits)), "probes")
     both = index.unionByName(probes)
-    shared = scratch.keep(both.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"), "shared")
-    few = shared.count() <= MOST_SENT
-    lists = scratch.keep(both.join(F.broadcast(shared) if few else shared, "key", "left_semi").distinct(), "lists")
+    shared = scratch.keep(_met(spark, both), "shared")
+    several = shared.count()
+    rows = _rows(both, Gate(spark, shared, gate_bits or gate_size(several)))
+    lists = scratch.keep(rows.join(F.broadcast(shared) if several <= MOST_SENT else shared, "key", "left_semi").distinct(), "lists")
     scratch.drop(probes, shared)
     nodes = lambda wanted: KeyGate(spark, wanted, "node", NODES, bits)
     links = resolve_lists(

@@ -21,6 +21,8 @@ from . import wordhash as wh
 
 #: Bits of a row gate: GATE_SPREAD for each key, from 1 MB to 16 MB whatever the size of the input.
 LEAST_GATE, MOST_GATE, GATE_SPREAD = 1 << 23, 1 << 27, 8
+#: Slices in which the bitmap of a PackedGate is put together.
+SLICES = 64
 #: Rows that go to a Python worker at once, where the session has Spark's own setting: 10 000 long texts are too much.
 BATCH_ROWS = 2000
 
@@ -146,6 +148,40 @@ class Gate:
         self.bits, self.table = bits, _bitmap(spark, marks.select(F.col(marks.columns[0]).bitwiseAND(F.lit(bits - 1)).alias("p")), bits)
 
 
+class PackedGate:
+    """A Gate over rows that hold many 64-bit marks each, as bytes; the bitmap comes together in slices, without a row for each mark."""
+
+    def __init__(self, spark: SparkSession, packed: DataFrame, bits: int):
+        slices = min(SLICES, bits >> 6)
+        step = bits // slices
+
+        @trimmed
+        def cut(batches):
+            for b in batches:
+                buf, offs = wh.strings(b.column(0))
+                p = np.unique(np.frombuffer(buf[offs[0] : offs[-1]].tobytes(), np.uint64) & np.uint64(bits - 1)).astype(np.uint32)
+                at = np.searchsorted(p, np.arange(slices + 1) * step)
+                some = np.flatnonzero(np.diff(at)).tolist()
+                places = [(p[at[k] : at[k + 1]] - np.uint32(k * step)).tobytes() for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(places, pa.binary())], names=["slice", "places"])
+
+        @trimmed
+        def join(batches):
+            for t, at in runs_of(batches, ["slice"]):
+                for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    marks = np.zeros(step, np.uint8)
+                    for raw in t["places"].slice(i, j - i):
+                        marks[np.frombuffer(raw.as_buffer(), np.uint32)] = 1
+                    words = pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([t["slice"].slice(i, 1).combine_chunks().cast(pa.int32()), words], names=["slice", "words"])
+
+        dealt = packed.mapInArrow(cut, "slice int, places binary").repartition("slice").sortWithinPartitions("slice")
+        table = np.zeros(bits >> 6, np.uint64)
+        for row in dealt.mapInArrow(join, "slice int, words binary").toArrow().to_pylist():
+            table[row["slice"] * (step >> 6) :][: step >> 6] = np.frombuffer(row["words"], np.uint64)
+        self.bits, self.table = bits, spark.sparkContext.broadcast(table)
+
+
 class KeyGate:
     """A Gate over 64-bit keys that are mixed with a salt first."""
 
@@ -226,6 +262,19 @@ def parity_sketch(tokens: np.ndarray, words: int) -> bytes:
     return np.packbits(odd, bitorder="little").tobytes()
 
 
+def parity_sketches(tokens: np.ndarray, counts: np.ndarray, words: int) -> list[bytes]:
+    """parity_sketch() of the first counts[0] tokens, the next counts[1] and so on, some 4096 at a time."""
+    size, out = 64 * words, []
+    ends = np.append(0, np.cumsum(counts))
+    places = ((wh.mix(tokens, 0x5EC7) >> np.uint64(20)) % np.uint64(size)).astype(np.int64)
+    for at in range(0, len(counts), 4096):
+        some = counts[at : at + 4096]
+        own = places[ends[at] : ends[at + len(some)]] + np.repeat(np.arange(len(some)) * size, some)
+        odd = (np.bincount(own, minlength=len(some) * size) & 1).astype(np.uint8)
+        out += [x.tobytes() for x in np.packbits(odd.reshape(len(some), size), axis=1, bitorder="little")]
+    return out
+
+
 class _Sketches:
     """Parity sketches of one or several widths, each a multiple of the narrower ones, that are compared at the narrower width."""
 
@@ -270,7 +319,7 @@ class _Sketches:
         return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Runs of whole groups of rows that agree in `keys`, with the numbers of the rows at which a group begins."""
     held = None
     for b in _with_end(batches):
@@ -364,7 +413,7 @@ def _near_groups(rest: DataFrame, most: Near, turn: tuple[int, int] = (0, 1)) ->
 
     @trimmed
     def run(batches):
-        for t, at in _groups(batches, ["key", "lo", "hi"]):
+        for t, at in runs_of(batches, ["key", "lo", "hi"]):
             t = t.combine_chunks()
             node, n, root, own, lo, hi = (t[c].to_numpy() for c in ("node", "n", "root", "own", "lo", "hi"))
             sketch = _Sketches(t["sketch"])
@@ -421,7 +470,7 @@ def _spanning(members: DataFrame, payloads: DataFrame, most: Near, which: Callab
 
     @trimmed
     def run(batches):
-        for t, at in _groups(batches, ["key", "lo", "hi"]):
+        for t, at in runs_of(batches, ["key", "lo", "hi"]):
             t = t.combine_chunks()
             node, n, root, own, lo, hi = (t[c].to_numpy() for c in ("node", "n", "root", "own", "lo", "hi"))
             sketch, found = _Sketches(t["sketch"]), []
