@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontaminate, jaccard, langid, linededup, quality, sharding, substring, warc
+from . import ann, bpe, decontaminate, jaccard, langid, linededup, quality, sharding, substring, vectorcodes, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -54,6 +54,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_jaccard": op9_jaccard,
     "op10_warc": op10_warc,
+    "op11_vectorcodes": op11_vectorcodes,
 }
 
 ORACLES = {
@@ -73,4 +78,5 @@ ORACLES = {
     "op4_substring": substring.ORACLE,
     "op9_jaccard": jaccard.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op11_vectorcodes": vectorcodes.ORACLE,
 }
