@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontaminate, jaccard, langid, linededup, quality, sharding, substring, vectorcodes, warc
+from . import ann, bpe, conversations, decontaminate, jaccard, langid, linededup, quality, sharding, substring, vectorcodes, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -58,6 +58,10 @@ def op11_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
@@ -70,6 +74,7 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_warc": op10_warc,
     "op11_vectorcodes": op11_vectorcodes,
+    "op12_conversations": op12_conversations,
 }
 
 ORACLES = {
@@ -79,4 +84,5 @@ ORACLES = {
     "op9_jaccard": jaccard.ORACLE,
     "op10_warc": warc.ORACLE,
     "op11_vectorcodes": vectorcodes.ORACLE,
+    "op12_conversations": conversations.ORACLE,
 }
