@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, conversations, decontaminate, jaccard, langid, linededup, quality, sharding, substring, vectorcodes, warc
+from . import ann, bpe, conversations, decontaminate, jaccard, langid, linededup, quality, sharding, substring, toxicity, vectorcodes, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -62,6 +62,10 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_report(table(spark, sf_dir, "conversations"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
@@ -75,6 +79,7 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_vectorcodes": op11_vectorcodes,
     "op12_conversations": op12_conversations,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLES = {
