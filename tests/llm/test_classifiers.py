@@ -65,3 +65,14 @@ def test_quality_edges(spark):
     assert len(quality.report(docs, labels).collect()) == 4
     assert {r.score for r in quality.report(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.report(docs.limit(0), labels).count() == 0
+
+
+def test_thousands_of_languages(spark):
+    """Dirty labels: the frequent languages are learned, whatever else stands in the column."""
+    rows = [(i, "the cat sat on the mat and the dog ran to them" if i % 2 else "der hund und die katze sind nicht da gewesen", "en" if i % 2 else "de") for i in range(400)]
+    rows += [(1000 + i, f"word{i} qx{i} the", f"label {i}") for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, ~langid.held_out())
+    assert len(model.languages) == langid.MOST_LANGUAGES and {"en", "de"} <= set(model.languages)
+    out = {r.doc_id: r.lang_pred for r in langid.classify(docs.where("doc_id < 400").select("doc_id", "text"), model).collect()}
+    assert all(out[i] == ("en" if i % 2 else "de") for i in range(400))

@@ -52,3 +52,22 @@ def test_empty_tables(spark):
     i = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert [(r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(d, i.limit(0)).collect()] == [(0, 0, False)]
     assert decontaminate.report(d.limit(0), i).count() == 0
+
+
+@pytest.mark.parametrize("block", [100_000, 7])
+def test_clean_rows_stay_whatever_their_ids(spark, block):
+    docs, items = case()
+    docs = [(None if k % 3 == 0 else k % 4, t) for k, (_, t) in enumerate(docs)] + [(None, None), (1, "")]
+    d = spark.createDataFrame([(a, k, b, "clash") for k, (a, b) in enumerate(docs)], "doc_id long, n_hit long, text string, items string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.clean(d, i, block=block)
+    hit = {k for k, (_, _, n, _) in enumerate(brute(docs, items)) if n}
+    assert got.columns == d.columns and 0 < len(hit) < len(docs)
+    assert sorted(got.collect(), key=lambda r: r.n_hit) == [r for r in d.collect() if r.n_hit not in hit]
+
+
+def test_very_long_text(spark):
+    d = spark.createDataFrame([(1, "z " * 2_000_000 + "a b c"), (2, "a b")], "doc_id long, text string")
+    i = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert [(r.doc_id, r.n_hit) for r in decontaminate.report(d, i).orderBy("doc_id").collect()] == [(1, 3), (2, 0)]
+    assert [r.doc_id for r in decontaminate.clean(d, i).collect()] == [2]

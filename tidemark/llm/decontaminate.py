@@ -11,7 +11,7 @@ Items are a query set: they are worked through in blocks of at most BLOCK window
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -146,9 +146,10 @@ def _results(id_field: StructField) -> StructType:
     return StructType([id_field, StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType())), StructField("spans", _spans_type())])
 
 
-def _probe(docs: DataFrame, block: _Block, keep: list[str]) -> DataFrame:
-    """keep columns, n_words, n_hit, items and spans of every row of docs under one block of windows."""
-    rank = _rarity(docs, block)
+def _probe(docs: DataFrame, block: _Block, keep: list[str], counted: DataFrame | None = None) -> DataFrame:
+    """keep columns, n_words, n_hit, items and spans of every row of docs under one block of windows; rarity is that in `counted`, docs and more."""
+    rank = _rarity(docs if counted is None else counted, block)
+    at = keep.index("text") if "text" in keep else len(keep)
     alive = np.zeros(len(block.contents), bool)
     probes = block.probes(rank) if len(block.every) else {}
     # a window whose rarest shingle never occurs cannot occur
@@ -187,7 +188,7 @@ def _probe(docs: DataFrame, block: _Block, keep: list[str]) -> DataFrame:
         length, items = data[1], data[4]
         for b in batches:
             n_words, n_hit, found, spans = [], [], [], []
-            for _, _, part, offs in wh.pieces(*wh.strings(b.column(len(keep)))):
+            for _, _, part, offs in wh.pieces(*wh.strings(b.column(at))):
                 first, begin, window = hits(part, offs, data)
                 depth = np.zeros(int(first[-1]) + 1, np.int64)
                 np.add.at(depth, begin, 1)
@@ -215,7 +216,34 @@ def _probe(docs: DataFrame, block: _Block, keep: list[str]) -> DataFrame:
                 names=[*keep, "n_words", "n_hit", "items", "spans"],
             )
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, *["text"][at < len(keep) :]).mapInArrow(run, schema)
+
+
+def _blocks(docs: DataFrame, items: DataFrame, window: int, shingle: int, block: int) -> tuple[int, Callable[[int], _Block]]:
+    windows = Scratch(docs.sparkSession, "decontaminate").keep(_windows(items, window, shingle), "windows")
+    blocks = max(1, -(-windows.count() // block))
+    part = F.pmod(F.xxhash64("content"), F.lit(blocks))
+
+    def load(k: int) -> _Block:
+        t = windows.where(part == k).toArrow().to_pandas()
+        return _Block(t["content"].tolist(), [list(x) for x in t["items"]], shingle)
+
+    return blocks, load
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of an item: those of which contamination() has no hit.
+
+    A row is judged by its own text, whatever ids are null or repeated. Items of fewer words than a window are windows
+    too, so one word of a one-word item is enough. Docs need a column text; the other columns may have any names.
+    """
+    blocks, load = _blocks(docs, items, window, shingle, block)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    names[docs.columns.index("text")] = "text"
+    rest = all_rows = docs.toDF(*names)
+    for k in range(blocks):
+        rest = _probe(rest, load(k), names, all_rows).where("n_hit = 0").select(*names)
+    return rest.toDF(*docs.columns)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
@@ -225,16 +253,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     no windows; repeated rows and items each count; words of one document never join those of another. Columns other
     than these are ignored. Without windows, or without documents, the result is that of no hits.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    windows = Scratch(spark, "decontaminate").keep(_windows(items, window, shingle), "windows")
-    blocks = max(1, -(-windows.count() // block))
-    part = F.pmod(F.xxhash64("content"), F.lit(blocks))
-
-    def load(k: int) -> _Block:
-        t = windows.where(part == k).toArrow().to_pandas()
-        return _Block(t["content"].tolist(), [list(x) for x in t["items"]], shingle)
-
+    blocks, load = _blocks(docs, items, window, shingle, block)
     if blocks == 1:
         return _probe(docs, load(0), ["doc_id"])
     keyed = docs.withColumn("_h", F.sha2(F.coalesce("text", F.lit("")), 256))

@@ -28,6 +28,8 @@ WIDTH = sum(BUCKETS)
 LANDMARKS = 256
 #: The bound of the training sample: labelled texts per language, and in all.
 PER_LANGUAGE, MOST_TEXTS = 500, 6_000
+#: Languages that are learned, the most frequent ones; each has a landmark at least.
+MOST_LANGUAGES = 256
 RIDGE = 1e-3
 #: A text is foreign if its unseen share is over SLACK times that which SHARE_OVER of the learned texts exceed, by over MOST_STRAY n-grams.
 SHARE_OVER, SLACK, MOST_STRAY = 0.001, 1.5, 2
@@ -172,14 +174,16 @@ def _groups(texts: list[str], most: int = 64, chars: int = 1 << 19) -> Iterator[
 
 
 def train(docs: DataFrame, allowed: Column) -> Model:
-    """Fit on a bounded sample of the rows with a language, a text with a letter, and `allowed`; whole texts are used."""
+    """Fit on a bounded sample of the rows with a language, a text with a letter, and `allowed`; whole texts are used.
+
+    Of more than MOST_LANGUAGES languages the most frequent are learned, ties by name; texts in others are never sampled.
+    """
     small_batches(docs.sparkSession)
     rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)).alias("draw"))
-    counts = {r["lang"]: r["c"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).collect()}
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "lang").limit(MOST_LANGUAGES).collect()
     each = min(PER_LANGUAGE, MOST_TEXTS // max(1, len(counts)))
-    share = F.lit(0)
-    for lang, c in counts.items():
-        share = F.when(F.col("lang") == lang, int((1 << 30) * min(1.0, 1.2 * each / c + 1e-6))).otherwise(share)
+    shares = [(r["lang"], int((1 << 30) * min(1.0, 1.2 * each / r["c"] + 1e-6))) for r in counts]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share int"))  # MOST_LANGUAGES rows at most
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +196,7 @@ def train(docs: DataFrame, allowed: Column) -> Model:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(group)).take(pa.array(keep)), b.column(2).slice(at, len(group)).take(pa.array(keep)), pa.array([packed[i].tobytes() for i in keep], pa.binary())], names=["lang", "draw", "bits"])
                 at += len(group)
 
-    found = rows.where(F.col("draw") < share).mapInArrow(run, "lang string, draw long, bits binary").toArrow().to_pandas() if counts else None
+    found = rows.join(shares, "lang").where("draw < share").select("lang", "text", "draw").mapInArrow(run, "lang string, draw long, bits binary").toArrow().to_pandas() if counts else None
     if found is None or not len(found):
         return fit(np.zeros((0, WIDTH), bool), [])
     found = found.sort_values(["draw", "bits"], kind="stable").groupby("lang", sort=False).head(each)
