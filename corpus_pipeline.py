@@ -12,15 +12,13 @@ from tidemark.llm import bpe, decontaminate, jaccard, langid, linededup
 from tidemark.llm.shared import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text whose best language scores less than this is too mixed to belong to one; with L languages a best score is 1/L at least.
-LEAST_SCORE = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or in none of the learned languages; `lang` becomes the predicted one."""
     model = langid.train(docs, ~langid.held_out())
     found = langid.classify(docs.select(*COLUMNS), model, strict=True)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +40,11 @@ def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontaminate.contamination(docs, items).where("n_hit > 0").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]), "left_anti").select(*COLUMNS)
+    """Drops documents that hold a window of a benchmark item, ten words or all of a shorter item.
+
+    A row is judged by its own text: clean rows stay, whatever rows share their doc_id or have none.
+    """
+    return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
