@@ -93,3 +93,22 @@ def test_empty(spark, sf):
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_clean_documents_that_share_an_id_with_a_hit_stay(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    rows = [(None, f"lead {item}", "en", "s", 1), (None, "zq zq zq", "en", "s", 2), (7, item, "en", "s", 3), (7, "zq zz", "en", None, 4), (8, "zz zq", "en", "s", 5), (8, "zz zq", "en", "s", 5), (9, None, None, None, None)]
+    out = cp.drop_contaminated(spark, spark.createDataFrame(rows, schema), sf)
+    assert out.columns == cp.COLUMNS and sorted(map(tuple, out.collect()), key=str) == sorted([rows[k] for k in (1, 3, 4, 5, 6)], key=str)
+
+
+def test_very_long_documents(spark, sf):
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    base = next(r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' and length(text) > 500").collect())
+    long = "\n".join(f"{base} {i}" for i in range(300))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null").unionByName(spark.createDataFrame([(10**6, long, "en", "s", len(long))], schema))
+    for _, stage in cp.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), schema)
+    assert docs.where(f"doc_id = {10**6}").count() <= 1
+    assert all(r.round_trip for r in cp.encode(spark, docs, sf).collect())
