@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import model
+from . import model, order
 
 X = F.col
 
@@ -55,8 +55,8 @@ def impute_rows(s: DataFrame) -> DataFrame:
 
 
 def impute_columns(s: DataFrame) -> DataFrame:
-    """Missing cells take the median of their time point, from one aggregate over the grid (one value per point)."""
-    medians = model.to_long(s).groupBy("t").agg(F.median("x").alias("m"))
+    """Missing cells take the median of their time point (one value per point)."""
+    medians = order.medians(model.to_long(s), "t", "x", "m")
     row = medians.agg(F.map_from_entries(F.collect_list(F.struct("t", "m"))).alias("_m"))
     s = s.join(F.broadcast(row))
     return s.withColumn("x", F.transform("x", lambda v, i: F.coalesce(v, F.try_element_at("_m", i)))).drop("_m")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import model
+from . import model, order
 
 X = F.col
 
@@ -61,9 +61,9 @@ def _modified(x: Column, med: Column, mad: Column, mean_ad: Column) -> Column:
 def modified_z_columns(s: DataFrame) -> DataFrame:
     """Long rows (id, t, z); deviations within each time point."""
     cells = model.to_long(s).where("x is not null")
-    first = cells.groupBy("t").agg(F.median("x").alias("med"), F.avg("x").alias("mu"))
-    cells = cells.join(F.broadcast(first), "t")  # one row per time point
-    second = cells.groupBy("t").agg(F.median(F.abs(X("x") - X("med"))).alias("mad"), F.avg(F.abs(X("x") - X("mu"))).alias("mean_ad"))
+    first = order.medians(cells, "t", "x", "med").join(cells.groupBy("t").agg(F.avg("x").alias("mu")), "t")
+    cells = cells.join(F.broadcast(order.settled(first)), "t").withColumn("_off", F.abs(X("x") - X("med")))  # one row per time point
+    second = order.medians(cells, "t", "_off", "mad").join(cells.groupBy("t").agg(F.avg(F.abs(X("x") - X("mu"))).alias("mean_ad")), "t")
     cells = cells.join(F.broadcast(second), "t")
     return cells.select("id", "t", _modified(X("x"), X("med"), X("mad"), X("mean_ad")).alias("z"))
 
@@ -131,29 +131,49 @@ def quantile_normalise(s: DataFrame, averaging: str = "mean", ties: str = "mean"
 
     Tied values get the `ties` aggregate of their ranks' weights. Both are names of AGGREGATES.
     """
-    ranked = model.to_long(s).where("x is not null").withColumn("rn", F.row_number().over(Window.partitionBy("t").orderBy("x", "id")))
+    ranked = order.settled(order.numbered(model.to_long(s).where("x is not null"), "t", ["x", "id"], "rn"))
     weights = ranked.groupBy("rn").agg(AGGREGATES[averaging]("x").alias("w"))
-    return ranked.join(weights, "rn").select("id", "t", AGGREGATES[ties]("w").over(Window.partitionBy("t", "x")).alias("x"))
+    tied = ranked.join(weights, "rn").groupBy("t", "x").agg(AGGREGATES[ties]("w").alias("w"))
+    return ranked.select("id", "t", "x").join(tied, ["t", "x"]).select("id", "t", X("w").alias("x"))
+
+
+def landmarks(s: DataFrame, most: int = 1000) -> dict[int, np.ndarray]:
+    """Ascending values by time point: all of up to `most`, else as many quantiles, straight between order statistics."""
+    ranked = order.numbered(model.to_long(s).where("x is not null").select("id", "t", "x"), "t", ["x", "id"], "rn")
+    sizes = ranked.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(most), X("n")) - 1), lambda k: F.when(X("n") <= most, k.cast("double")).otherwise(k * (X("n") - 1) / (most - 1))))
+    wanted = sizes.select("t", at.alias("at")).withColumn("rn", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
+    # at most 2 * most rows of a time point
+    found = ranked.join(F.broadcast(wanted), ["t", "rn"]).select("t", "at", "rn", "x").orderBy("t", "at", "rn").toArrow().to_pandas()
+    out = {}
+    for t, f in found.groupby("t"):
+        low, high = f.groupby("at").first(), f.groupby("at").last()
+        out[int(t)] = (low["x"] + (high["x"] - low["x"]) * (low.index.to_numpy() - low["rn"])).to_numpy()
+    return out
 
 
-def quantile_transform(s: DataFrame, target: str = "uniform", landmarks: int = 1000) -> DataFrame:
-    """Each time point's values through their own distribution function, by interpolation between landmark quantiles.
+def quantile_transform(s: DataFrame, target: str = "uniform", most: int = 1000) -> DataFrame:
+    """Long rows (id, t, x): each time point's values through their own distribution function, by interpolation between landmarks.
 
-    One task works on one time point at a time, and holds its values only.
+    The landmarks, at most `most` of a time point, go to every task; cells are neither grouped nor sorted by time point.
     """
     inv = np.vectorize(NormalDist().inv_cdf, otypes=[float])
+    marks = s.sparkSession.sparkContext.broadcast(landmarks(s, most))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        v = f["x"].to_numpy(float)
-        grid = np.linspace(0, 1, max(1, min(len(v), landmarks)))
-        q = np.sort(v) if len(v) <= landmarks else np.quantile(v, grid)
+    def placed(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+        grid = np.linspace(0, 1, len(q))
         y = (np.interp(v, q, grid) - np.interp(-v, -q[::-1], -grid[::-1])) / 2
         y[v == q[0]], y[v == q[-1]] = 0.0, 1.0
-        if target == "normal":
-            y = inv(np.clip(y, 1e-7, 1 - 1e-7))
-        return f.assign(x=y)
+        return inv(np.clip(y, 1e-7, 1 - 1e-7)) if target == "normal" else y
+
+    def run(frames):
+        for f in frames:
+            v, t, y = f["x"].to_numpy(float), f["t"].to_numpy(), np.zeros(len(f))
+            for k in np.unique(t).tolist():
+                y[t == k] = placed(v[t == k], marks.value[k])
+            yield f.assign(x=y)
 
-    return model.to_long(s).where("x is not null").select("id", "t", "x").groupBy("t").applyInPandas(run, "id long, t int, x double")
+    return model.to_long(s).where("x is not null").select("id", "t", "x").mapInPandas(run, f"id {s.schema['id'].dataType.simpleString()}, t int, x double")
 
 
 def chop(c: Column, tolerance: float = 1e-10) -> Column:
