@@ -14,7 +14,7 @@ from tidemark.streaming import ingest
 
 def line(lengths):
     n = len(lengths) + 1
-    return community.matrix(n, np.arange(n - 1), np.arange(1, n), np.array(lengths, float))
+    return community.Graph(n, np.arange(n - 1), np.arange(1, n), np.array(lengths, float))
 
 
 def test_cutoff_compares_with_the_median_of_all_path_lengths():
@@ -34,20 +34,20 @@ def test_cutoff_compares_with_the_median_of_all_path_lengths():
 
 def test_betweenness_looks_at_the_mirrored_series(spark):
     x = [0.0, 5.0, 1.0, 6.0, 0.5, 5.0, 0.0]
-    points = spark.createDataFrame([(1, i, float(i), v) for i, v in enumerate(x)], "id long, i int, t double, x double")
+    points = visibility.nodes(spark.createDataFrame([(1, float(i), v) for i, v in enumerate(x)], "id long, t double, x double"))
     got = [r.community for r in community.of_series(points, "betweenness", least=2).orderBy("node").collect()]
-    edge = np.full((7, 7), np.inf)
+    ends = []
     for i in range(7):
         for j in range(i + 1, 7):
             if all((-x[k] - -x[i]) / (k - i) <= (-x[j] - -x[i]) / (j - i) for k in range(i + 1, j)):
-                edge[i, j] = edge[j, i] = 1
-    node, _ = community.betweenness(edge, np.ones(7, bool))
+                ends.append((i, j))
+    node, _ = community.betweenness(community.Graph(7, *zip(*ends, strict=True), np.ones(len(ends))), np.ones(7, bool))
     cut = int(np.round(node, 9).argmax())
     assert got == [int(i >= cut) if cut else 0 for i in range(7)]
 
 
 def test_ties_are_visible_in_edge_splits(spark):
-    points = spark.createDataFrame([(1, i, float(i), v) for i, v in enumerate([1.0, 1.0, 1.0])], "id long, i int, t double, x double")
+    points = visibility.nodes(spark.createDataFrame([(1, float(i), 1.0) for i in range(3)], "id long, t double, x double"))
     assert visibility.edges(points, through=True).count() == 3 and visibility.edges(points).count() == 2
     assert [r.community for r in community.of_series(points, "edges", least=2).orderBy("node").collect()] in ([0, 1, 1], [0, 0, 1])
 

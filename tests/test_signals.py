@@ -95,7 +95,8 @@ def pairs(text):
 
 def test_visibility(spark):
     s = frame(spark, {1: [3, 1, 2, 5, 2, 2, 4, 0]})
-    points = visibility.nodes(model.to_long(s))
+    points = visibility.points(s)
+    assert points.collect() == visibility.nodes(model.to_long(s)).collect()
     got = lambda e: {(r.i, r.j) for r in e.collect()}
     natural = pairs("01 02 03 12 13 23 34 35 36 45 46 56 67")
     flat = pairs("01 02 03 12 23 34 36 45 56 67")
@@ -103,24 +104,23 @@ def test_visibility(spark):
     assert got(visibility.edges(points, "horizontal")) == flat
     assert got(visibility.edges(points, "horizontal", through=True)) == flat | pairs("35 46")
     assert got(visibility.dual_edges(points)) == natural
-    below = points.withColumn("x", -F.col("x"))
+    below = points.withColumn("x", F.transform("x", lambda v: -v))
     assert got(visibility.edges(below)) == pairs("01 12 14 15 17 23 24 27 34 45 47 56 57 67")
-    line = visibility.nodes(model.to_long(frame(spark, {1: [0, 1, 2, 3]})))
+    line = visibility.points(frame(spark, {1: [0, 1, 2, 3]}))
     assert len(got(visibility.edges(line))) == 3 and len(got(visibility.edges(line, through=True))) == 6
 
 
 def test_communities(spark):
     x = [math.cos(0.5 * t) * 3 for t in range(30)]
-    points = visibility.nodes(model.to_long(frame(spark, {1: x, 2: [1.0]})))
-    edges = visibility.dual_edges(points, weight="distance")
+    points = visibility.points(frame(spark, {1: x, 2: [1.0]}))
     for method in community.METHODS:
-        rows = community.communities(points, edges, method).collect()
+        rows = community.communities(points, method, weight="distance", two_sided=True).collect()
         assert sorted((r.id, r.node) for r in rows) == [(1, i) for i in range(30)] + [(2, 0)]
         assert len({r.community for r in rows if r.id == 1}) >= (1 if method == "path" else 2)
 
 
 def test_betweenness_of_a_path():
-    e = community.matrix(5, np.arange(4), np.arange(1, 5), np.ones(4))
+    e = community.Graph(5, np.arange(4), np.arange(1, 5), np.ones(4))
     node, links = community.betweenness(e, np.ones(5, bool))
     assert node.tolist() == [0, 3, 4, 3, 0] and links == {(0, 1): 4, (1, 2): 6, (2, 3): 6, (3, 4): 4}
     assert community.backbone(e, community.shortest(e)) == [0, 1, 2, 3, 4]

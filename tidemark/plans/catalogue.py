@@ -365,7 +365,7 @@ def _edge_out(e: DataFrame) -> DataFrame:
 
 
 def _points(spark, sf):
-    return visibility.nodes(model.to_long(a.event_signals(spark, sf)))
+    return visibility.points(a.event_signals(spark, sf))
 
 
 for _name, _kind, _w, _t in (("v_nvg", "natural", None, False), ("v_hvg", "horizontal", None, False), ("v_nvg_ties", "natural", None, True), ("v_hvg_ties", "horizontal", None, True), ("v_weighted_time", "natural", "time", False), ("v_weighted_tan", "natural", "tan", False), ("v_weighted_dist", "horizontal", "distance", False)):
@@ -387,13 +387,12 @@ for _name, _kind in (("v_dual_h", "horizontal"), ("v_dual_n", "natural")):
 def _centred(spark, sf):
     s = a.event_signals(spark, sf)
     m = model.mean(X("x"))
-    return visibility.nodes(model.to_long(s.withColumn("_m", m).withColumn("x", F.transform("x", lambda v: v - X("_m"))).drop("_m")))
+    return visibility.points(s.withColumn("_m", m).withColumn("x", F.transform("x", lambda v: v - X("_m"))).drop("_m"))
 
 
 @query("v_degree", f"with {_NODES}, {_edge_sql('nd', 'e', 'natural', None, False)} select id, node, count(*) as degree from (select id, i as node from e union all select id, j from e) group by id, node")
 def _degree(spark, sf):
-    d = visibility.degrees(visibility.edges(_points(spark, sf)))
-    return d.withColumn("node", X("node").cast("long"))
+    return visibility.degrees(_points(spark, sf))
 
 
 @query("v_bars", f"""with {_NODES}, {_edge_sql('nd', 'e', 'horizontal', None, False)}
@@ -401,8 +400,22 @@ def _degree(spark, sf):
          round(case when p.x > 0 and q.x > 0 then least(p.x, q.x) when p.x < 0 and q.x < 0 then greatest(p.x, q.x) else 0 end, 6) + 0e0 as level
   from e join nd p on p.id = e.id and p.i = e.i join nd q on q.id = e.id and q.i = e.j""")
 def _bars(spark, sf):
-    p = _points(spark, sf)
-    return visibility.bars(p, visibility.edges(p, "horizontal")).select("id", X("i").cast("long").alias("i"), X("j").cast("long").alias("j"), num("xi"), num("xj"), num("level"))
+    return visibility.bars(_points(spark, sf), "horizontal").select("id", "i", "j", num("xi"), num("xj"), num("level"))
+
+
+for _name, _kind in (("v_bars_dual_h", "horizontal"), ("v_bars_dual_n", "natural")):
+    _low = "where min_x < 0" if _kind == "natural" else ""
+    _sql = f"""with {_NODES}, cd as (select id, i, t, x - avg(x) over (partition by id) as x from nd),
+      neg as (select id, i, t, -x as x from (select *, min(x) over (partition by id) as min_x from cd) {_low}),
+      {_edge_sql('cd', 'up', _kind, None, False)}, {_edge_sql('neg', 'down', _kind, None, False)},
+      e as (select id, i, j, case when up.w is null then -1 else 1 end as side from up full join down using (id, i, j))
+      select e.id, e.i, e.j, e.side, round(p.x, 6) + 0e0 as xi, round(q.x, 6) + 0e0 as xj,
+             round(case when p.x > 0 and q.x > 0 then least(p.x, q.x) when p.x < 0 and q.x < 0 then greatest(p.x, q.x) else 0 end, 6) + 0e0 as level
+      from e join cd p on p.id = e.id and p.i = e.i join cd q on q.id = e.id and q.i = e.j"""
+
+    @query(_name, _sql)
+    def _dual_bars(spark, sf, kind=_kind):
+        return visibility.bars(_centred(spark, sf), kind, two_sided=True).select("id", "i", "j", "side", num("xi"), num("xj"), num("level"))
 
 
 for _name, _method, _opts in (("v_communities", "path", {"direction": "left"}), ("v_betweenness", "betweenness", {"least": 3}), ("v_girvan_newman", "edges", {"least": 3})):
