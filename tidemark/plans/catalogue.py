@@ -192,9 +192,14 @@ def _lomb_sql(cte: str, name: str, freqs: list[float], normalise: bool = False)
   {final}"""
 
 
-@query("p_freqs", f"with {_freq_sql(spectral.frequencies(a.QUARTER_TIMES))} select cast(k as bigint) as k, round(f, 6) as f from fr")
+# the grid of the orders' months, up to the last one
+@query("p_freqs", """with g as (select max((year(o_orderdate) - 1992) * 12 + month(o_orderdate)) as n from orders), b as (select n, n / (cast(n - 1 as double) * (n - 1)) as base from g),
+  c as (select *, cast(floor(base * n / 2 / (1 / cast(n // 2 - 1 as double) * (n / 2.0 - 1) * base)) as bigint) as m, n / 2.0 * base as last from b)
+  select k, round(base + k * (last - base) / (m - 1), 6) as f from (select *, unnest(range(m)) as k from c)""")
 def _freqs(spark, sf):
-    return spark.createDataFrame(list(enumerate(spectral.frequencies(a.QUARTER_TIMES))), "k long, f double").withColumn("f", F.round("f", 6))
+    month = (F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate")
+    n = a.table(spark, sf, "orders").agg(F.max(month).alias("n")).first()["n"]
+    return spark.createDataFrame(list(enumerate(spectral.frequencies([float(t) for t in range(n)]))), "k long, f double").withColumn("f", F.round("f", 6))
 
 
 _DAYF = spectral.frequencies(a.DAY_TIMES)
@@ -202,6 +207,13 @@ query("p_lomb", _lomb_sql(a.EVENTS_SQL, "ev", _DAYF))(lambda spark, sf: cells(sp
 query("p_lomb_norm", _lomb_sql(a.EVENTS_SQL, "ev", _DAYF, True))(lambda spark, sf: cells(spectral.lomb_scargle(a.event_signals(spark, sf), a.DAY_TIMES, normalise=True)))
 _OVER = spectral.frequencies(a.QUARTER_TIMES, oversampling=3)
 query("p_lomb_oversampled", _lomb_sql(a.SUPPLIERS_SQL, "sup", _OVER))(lambda spark, sf: cells(spectral.lomb_scargle(a.supplier_signals(spark, sf), a.QUARTER_TIMES, oversampling=3)))
+_PLOTF = spectral.frequencies(a.QUARTER_TIMES, oversampling=100)
+_POSITIVE = f"{a.SPARSE_SQL}, pos as (select id, t, case when x > 0 then x end as x from sp where id in (select id from sp where x > 0 group by id having count(*) >= 5))"
+
+
+@query("p_plot_data", _lomb_sql(_POSITIVE, "pos", _PLOTF).replace("select id, cast(k as bigint) as t, round(p, 6) + 0e0 as x from power_ where p is not null", "select id, cast(k as bigint) as k, round(2 * pi() * f, 6) as omega, round(p, 6) + 0e0 as power from power_ join fr using (k)"))
+def _plot_data(spark, sf):
+    return spectral.plot_data(a.sparse_signals(spark, sf), a.QUARTER_TIMES).select("id", X("k").cast("long").alias("k"), F.round("omega", 6).alias("omega"), num("power"))
 
 
 def _unit_sql(cte: str, name: str) -> str:
@@ -461,6 +473,31 @@ def _bh(spark, sf):
     return enrich.benjamini_hochberg(rows, 0.3).select("list_name", "term", num("q_value"), "significant")
 
 
+@query("e_cutoffs", f"""with {_ENRICH}, {_PVAL}, {_BH}
+  select list_name, round(coalesce(max(case when round(q, 12) <= 0.3e0 then rp end), 0), 6) + 0e0 as p_cutoff, round(coalesce(max(case when round(q, 12) <= 0.3e0 then q end), 0), 6) + 0e0 as q_cutoff from bh group by list_name""")
+def _cutoff_values(spark, sf):
+    rounded = lambda n, k, m, x: F.round(enrich.hypergeometric_tail(n, k, m, x), 9)
+    return _enriched(spark, sf, test=rounded, alpha=0.3).select("list_name", num("p_cutoff"), num("q_cutoff")).distinct()
+
+
+# a user's test and correction: binomial tails by the number of terms, terms of more than a hit
+_BINOMIAL = f"""{_ENRICH}, pv as (select *, k_family / cast(m_total as double) as r from rows_),
+  pb as (select *, least(1, (select sum(exp({_LOGC.format(n='pv.n_list', k='i.i')} + i.i * ln(r) + (pv.n_list - i.i) * ln(1 - r))) from (select unnest(range(x_hits, n_list + 1)) as i) i)) as p from pv),
+  bf as (select *, least(1, p * count(*) over (partition by list_name)) as q from pb)"""
+
+
+@query("e_binomial_bonferroni", f"with {_BINOMIAL} select list_name, term, round(p, 6) + 0e0 as p_value, round(q, 6) + 0e0 as q_value, round(q, 12) <= 0.5e0 as significant from bf where x_hits > 1")
+def _binomial(spark, sf):
+    rows = _enriched(spark, sf, test=enrich.binomial_tail, hypothesis=enrich.bonferroni, alpha=0.5, least_hits=1, how=lambda hits, least: hits > least)
+    return rows.select("list_name", "term", num("p_value"), num("q_value"), "significant")
+
+
+@query("e_numpy_functions", f"with {_BINOMIAL} select list_name, term, round(x_hits / cast(n_list as double) * r, 6) + 0e0 as p_value, round(x_hits / cast(n_list as double) * r * 2, 6) + 0e0 as q_value, x_hits / cast(n_list as double) * r < 1e-3 as significant from bf")
+def _numpy_functions(spark, sf):
+    test = enrich.numpy_test(lambda n, k, m, x: x / n * (k / m))
+    return _enriched(spark, sf, test=test, hypothesis=enrich.numpy_hypothesis(lambda p, level: (2 * p, p < level)), alpha=1e-3).select("list_name", "term", num("p_value"), num("q_value"), "significant")
+
+
 @query("e_background", f"with {a.BRIDGE_SQL}, {a.LISTS_SQL} select id, term from bridge where id in (select id from lists)")
 def _background_lists(spark, sf):
     return enrich.restrict(a.bridge(spark, sf), a.lists(spark, sf).select("id"))
@@ -506,6 +543,44 @@ def _go(spark, sf):
     return enrich.go_analysis(a.lists(spark, sf), b, terms, only_significant=False).select("list_name", "term", "n_list", "k_family", "m_total", "x_hits")
 
 
+# whole results with the default filter: p, q, names and hits of significant terms, for lists and for the subgroups of a clustering
+_GO = """b as (select * from bridge where term in (select term from bridge group by term having count(*) >= 2)),
+  mem as (select distinct list_name, id, term from {lists} join b using (id)), n as (select list_name, count(distinct id) as n_list from mem group by list_name),
+  rows_ as (select list_name, term, max(n_list) as n_list, (select count(*) from b where b.term = mem.term) as k_family, (select count(distinct id) from b) as m_total, count(*) as x_hits, string_agg(id, ',' order by id) as hits from mem join n using (list_name) group by list_name, term)"""
+_CLUSTERS = """clus as (select p_brand || ':' || cast(p_size % 3 as varchar) || ':' || cast(p_size % 2 as varchar) as list_name, cast(p_partkey as varchar) as id from part)"""
+_GO_OUT = "select list_name, term, round(rp, 6) + 0e0 as p_value, round(q, 6) + 0e0 as q_value, term as name, 'part' as namespace, hits from bh where round(q, 12) <= {alpha}"
+
+
+def _go_out(spark, sf, data, alpha):
+    b = a.bridge(spark, sf)
+    terms = b.select("term", X("term").alias("name"), F.lit("part").alias("namespace")).distinct()
+    rounded = lambda n, k, m, x: F.round(enrich.hypergeometric_tail(n, k, m, x), 9)
+    found = enrich.go_analysis(data, b, terms, alpha=alpha, test=rounded)
+    return found.select("list_name", "term", num("p_value"), num("q_value"), "name", "namespace", F.array_join(F.transform("hits", lambda h: h["gene"]), ",").alias("hits"))
+
+
+@query("e_go_significant", f"with {a.BRIDGE_SQL}, {a.LISTS_SQL}, {_GO.format(lists='lists')}, {_PVAL}, {_BH} {_GO_OUT.format(alpha='0.9e0')}")
+def _go_significant(spark, sf):
+    return _go_out(spark, sf, a.lists(spark, sf), 0.9)
+
+
+@query("e_go_clusters", f"with {a.BRIDGE_SQL}, {_CLUSTERS}, {_GO.format(lists='clus')}, {_PVAL}, {_BH} {_GO_OUT.format(alpha='0.05e0')}")
+def _go_clusters(spark, sf):
+    p = a.table(spark, sf, "part")
+    clusters = p.select(X("p_brand").alias("trend_class"), (X("p_size") % 3).alias("group"), (X("p_size") % 2).alias("subgroup"), X("p_partkey").cast("string").alias("id"))
+    return _go_out(spark, sf, clusters, 0.05)
+
+
+@query("e_translate_all", f"""with {a.LISTS_SQL}, i as (select id from lists union select p_type from part where p_size = 7), d as (select cast(p_partkey as varchar) as key, p_type as kind, p_name as name, nullif(p_brand, 'Brand#11') as brand from part),
+  k as (select 'key' as source, key as id, name, brand from d union all select 'kind', kind, name, brand from d union all select 'name', name, name, brand from d)
+  select source, 'name' as target, id, name as found from k join i using (id) union all select source, 'brand', id, brand from k join i using (id)""")
+def _translate_all(spark, sf):
+    p = a.table(spark, sf, "part")
+    d = p.select(X("p_partkey").cast("string").alias("key"), X("p_type").alias("kind"), X("p_name").alias("name"), F.nullif("p_brand", F.lit("Brand#11")).alias("brand"))
+    ids = a.lists(spark, sf).select("id").unionAll(p.where("p_size = 7").select("p_type"))
+    return enrich.translate_all(ids, d, ["name", "brand"], ["key", "kind", "name"])
+
+
 _KEGG = """select '{kind}' as analysis, list_name, term, max(n) as n_list, max(k) as k_family, max(m) as m_total, count(*) as x_hits from (
     select distinct l.list_name, l.id, b.term, n.n, k.k, m.m from lists l join {b} b using (id)
     join (select list_name, count(distinct id) as n from lists join {b} using (id) group by list_name) n using (list_name)
