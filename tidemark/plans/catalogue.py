@@ -182,14 +182,17 @@ def _part(num: str, den: str) -> str:
 
 def _lomb_sql(cte: str, name: str, freqs: list[float], normalise: bool = False) -> str:
     final = "select id, cast(k as bigint) as t, round(p{n}, 6) + 0e0 as x from power_ where p is not null".format(n=" / nullif(sqrt(sum(p * p) over (partition by id)), 0)" if normalise else "")
-    return f"""with {cte}, {_freq_sql(freqs)},
+    return f"with {_lomb_cte(cte, name, freqs)} {final}"
+
+
+def _lomb_cte(cte: str, name: str, freqs: list[float]) -> str:
+    return f"""{cte}, {_freq_sql(freqs)},
   d as (select id, t, x - avg(x) over (partition by id) as d, var_samp(x) over (partition by id) as v from {name} where x is not null),
   th as (select id, k, f, 0.5e0 * atan2(sum(sin(4 * pi() * f * t)), sum(cos(4 * pi() * f * t) + 1e-20)) as th from d cross join fr group by id, k, f),
   s as (select d.id, th.k, max(v) as v, sum(d * cos(2 * pi() * f * t - th)) as c, sum(power(cos(2 * pi() * f * t - th), 2)) as cc,
                sum(d * sin(2 * pi() * f * t - th)) as s, sum(power(sin(2 * pi() * f * t - th), 2)) as ss
         from d join th on th.id = d.id group by d.id, th.k),
-  power_ as (select id, k, ({_part('c', 'cc')} + {_part('s', 'ss')}) / nullif(2 * v, 0) as p from s)
-  {final}"""
+  power_ as (select id, k, ({_part('c', 'cc')} + {_part('s', 'ss')}) / nullif(2 * v, 0) as p from s)"""
 
 
 # the grid of the orders' months, up to the last one
@@ -259,13 +262,18 @@ def _boot_sql(cte: str, name: str, width: int, samples: int, whole: bool = False
            cross join (select unnest(range({width}::bigint)) as t) g join numbered c on c.t = g.t and c.r = {_draw_sql('0' if whole else 'g.t')})"""
 
 
-def _boot_query(name: str, whole: bool) -> None:
-    sql = f"with {_boot_sql(a.SPARSE_SQL, 'sp', a.QUARTERS, SAMPLES, whole)} {OUT} boot where x is not null"
-    query(name, sql)(lambda spark, sf: cells(resample.bootstrap(a.sparse_signals(spark, sf), SAMPLES, whole)))
+def _draws(name: str, sql: Callable[[int], str | None], run: Callable[[SparkSession, str, int], DataFrame]) -> None:
+    """The query with SAMPLES draws, and as `_all` with the reference's number."""
+    for suffix, samples in (("", SAMPLES), ("_all", ALL_SAMPLES)):
+        query(f"{name}{suffix}", sql(samples))(lambda spark, sf, n=samples: run(spark, sf, n))
 
 
-_boot_query("n_bootstrap", False)
-_boot_query("n_bootstrap_rows", True)
+for _name, _whole in (("n_bootstrap", False), ("n_bootstrap_rows", True)):
+    _draws(
+        _name,
+        lambda n, whole=_whole: f"with {_boot_sql(a.SPARSE_SQL, 'sp', a.QUARTERS, n, whole)} {OUT} boot where x is not null",
+        lambda spark, sf, n, whole=_whole: cells(resample.bootstrap(a.sparse_signals(spark, sf), n, whole)),
+    )
 
 
 def _null_sql(cte: str, name: str, width: int, samples: int) -> str:
@@ -277,16 +285,18 @@ def _null_sql(cte: str, name: str, width: int, samples: int) -> str:
   nul as (select id, t, x from b1 where id in (select id from sds where sd / (select avg(sd) from sds) > 0))"""
 
 
-query("n_null_autocorr", f"with {_acf_sql(_null_sql(a.SUPPLIERS_SQL, 'sup', a.QUARTERS, SAMPLES), 'nul', a.QUARTERS)} select id, cast(k as bigint) as t, round(v, 6) + 0e0 as x from acf where v is not null")(
-    lambda spark, sf: cells(resample.null_autocorrelations(a.supplier_signals(spark, sf), a.QUARTER_TIMES, SAMPLES))
+_draws(
+    "n_null_autocorr",
+    lambda n: f"with {_acf_sql(_null_sql(a.SUPPLIERS_SQL, 'sup', a.QUARTERS, n), 'nul', a.QUARTERS)} select id, cast(k as bigint) as t, round(v, 6) + 0e0 as x from acf where v is not null",
+    lambda spark, sf, n: cells(resample.null_autocorrelations(a.supplier_signals(spark, sf), a.QUARTER_TIMES, n)),
 )
-query("n_null_periodogram", _lomb_sql(_null_sql(a.SUPPLIERS_SQL, "sup", a.QUARTERS, SAMPLES), "nul", spectral.frequencies(a.QUARTER_TIMES)))(lambda spark, sf: cells(resample.null_periodograms(a.supplier_signals(spark, sf), a.QUARTER_TIMES, SAMPLES)))
-_CUTS = """cuts as (select k, case when k = 0 then 1e0 else list_sort(list(v))[cast(floor((count(v) - 1) * 0.95e0) as integer) + 1] end as cut from {acf} where v is not null group by k)"""
-
-
-@query("c_quantile_cutoffs", f"with {_acf_sql(_null_sql(a.SUPPLIERS_SQL, 'sup', a.QUARTERS, SAMPLES), 'nul', a.QUARTERS)}, {_CUTS.format(acf='acf')} select cast(k as bigint) as k, round(cut, 6) + 0e0 as cut from cuts")
-def _cutoffs(spark, sf):
-    return _quantile_cutoffs(spark, sf, SAMPLES)
+_draws(
+    "n_null_periodogram",
+    lambda n: _lomb_sql(_null_sql(a.SUPPLIERS_SQL, "sup", a.QUARTERS, n), "nul", spectral.frequencies(a.QUARTER_TIMES)),
+    lambda spark, sf, n: cells(resample.null_periodograms(a.supplier_signals(spark, sf), a.QUARTER_TIMES, n)),
+)
+_QUANTILE = "list_sort(list({v}))[cast(floor((count({v}) - 1) * {q}) as integer) + 1]"
+_CUTS = f"""cuts as (select k, case when k = 0 then 1e0 else {_QUANTILE.format(v='v', q='0.95e0')} end as cut from {{acf}} where v is not null group by k)"""
 
 
 def _quantile_cutoffs(spark, sf, samples):
@@ -294,69 +304,75 @@ def _quantile_cutoffs(spark, sf, samples):
     return resample.cutoffs(null, 0.05).select(X("k").cast("long").alias("k"), num("cut"))
 
 
-_LIMITS = f"""{_null_sql(a.SPARSE_SQL, 'sp', a.QUARTERS, SAMPLES)},
-  ends as (select id, count(x) as n_obs, max(coalesce(x, 0)) as mx, min(coalesce(x, 0)) as mn from nul group by id),
-  lim as (select n_obs, list_sort(list(mx))[cast(floor((count(*) - 1) * (1 - 0.05e0)) as integer) + 1] as hi, list_sort(list(mn))[cast(floor((count(*) - 1) * 0.05e0) as integer) + 1] as lo from ends group by n_obs)"""
+_draws(
+    "c_quantile_cutoffs",
+    lambda n: f"with {_acf_sql(_null_sql(a.SUPPLIERS_SQL, 'sup', a.QUARTERS, n), 'nul', a.QUARTERS)}, {_CUTS.format(acf='acf')} select cast(k as bigint) as k, round(cut, 6) + 0e0 as cut from cuts",
+    _quantile_cutoffs,
+)
+
+
+def _ends(name: str) -> str:
+    return f"select id, count(x) as n_obs, max(coalesce(x, 0)) as mx, min(coalesce(x, 0)) as mn from {name} group by id"
 
 
-@query("n_spike_cutoffs", f"with {_LIMITS} select cast(n_obs as bigint) as n_obs, round(hi, 6) + 0e0 as hi, round(lo, 6) + 0e0 as lo from lim")
-def _limits(spark, sf):
-    return _spike_limits(spark, sf, SAMPLES)
+_LIM = f"select n_obs, {_QUANTILE.format(v='mx', q='(1 - 0.05e0)')} as hi, {_QUANTILE.format(v='mn', q='0.05e0')} as lo from ends group by n_obs"
+
+
+def _limits_sql(samples: int) -> str:
+    return f"{_null_sql(a.SPARSE_SQL, 'sp', a.QUARTERS, samples)}, ends as ({_ends('nul')}), lim as ({_LIM})"
 
 
 def _spike_limits(spark, sf, samples):
     return resample.spike_cutoffs(a.sparse_signals(spark, sf), 0.05, samples).select(X("n_obs").cast("long").alias("n_obs"), num("hi"), num("lo"))
 
 
+_draws("n_spike_cutoffs", lambda n: f"with {_limits_sql(n)} select cast(n_obs as bigint) as n_obs, round(hi, 6) + 0e0 as hi, round(lo, 6) + 0e0 as lo from lim", _spike_limits)
+
+
 def _spike_signals(spark, sf, high, samples):
     s = a.sparse_signals(spark, sf)
     return categorize.spikes(transform.unit_norm(s), resample.spike_cutoffs(s, 0.05, samples), high)
 
 
 for _name, _high in (("c_spikes_max", True), ("c_spikes_min", False)):
-    _sql = f"""with {_LIMITS},
+    _draws(
+        _name,
+        lambda n, high=_high: f"""with {_limits_sql(n)},
       u0 as (select id, t, x - max(case when t = 0 then x end) over (partition by id) as x from sp),
       u1 as (select id, t, x / nullif(sqrt(sum(x * x) over (partition by id)), 0) as x from u0),
-      pt as (select id, count(x) as n_obs, {'max' if _high else 'min'}(coalesce(x, 0)) as pt from u1 group by id)
-      select id, pt > hi or pt < lo as spike from pt join lim using (n_obs)"""
+      pt as (select id, n_obs, {'mx' if high else 'mn'} as pt from ({_ends('u1')}))
+      select id, pt > hi or pt < lo as spike from pt join lim using (n_obs)""",
+        lambda spark, sf, n, high=_high: _spike_signals(spark, sf, high, n),
+    )
 
-    @query(_name, _sql)
-    def _spikes(spark, sf, high=_high):
-        return _spike_signals(spark, sf, high, SAMPLES)
-
-
-def _classes_sql() -> str:
-    real = _acf_sql(_unit_sql(a.SUPPLIERS_SQL, "sup"), "un", a.QUARTERS)
-    null = _acf_sql(_null_sql(a.SUPPLIERS_SQL, "sup", a.QUARTERS, SAMPLES), "nul", a.QUARTERS)
-    nullq = f"(with {null}, {_CUTS.format(acf='acf')} select * from cuts)"
-    limq = f"""(with {_null_sql(a.SUPPLIERS_SQL, 'sup', a.QUARTERS, SAMPLES)},
-      ends as (select id, count(x) as n_obs, max(coalesce(x, 0)) as mx, min(coalesce(x, 0)) as mn from nul group by id)
-      select n_obs, list_sort(list(mx))[cast(floor((count(*) - 1) * (1 - 0.05e0)) as integer) + 1] as hi, list_sort(list(mn))[cast(floor((count(*) - 1) * 0.05e0) as integer) + 1] as lo from ends group by n_obs)"""
-    return f"""with {real}, cut as {nullq}, lim as {limq},
+
+def _classes_sql(cte: str, name: str, width: int, samples: int, letter: str, vectors: Callable[[str, str], str]) -> str:
+    """vectors(cte, name) ends in a CTE `acf`(id, k, v) of the cells of `name`."""
+    null = _null_sql(cte, name, width, samples)
+    return f"""with {vectors(_unit_sql(cte, name), 'un')}, cut as materialized (with {vectors(null, 'nul')}, {_CUTS.format(acf='acf')} select * from cuts), lim as materialized (with {null}, ends as ({_ends('nul')}) {_LIM}),
       fl as (select id, min(acf.k) filter (where acf.k >= 1 and round(v, 9) > round(cut, 9)) as lag from acf join cut using (k) group by id),
-      pt as (select id, count(x) as n_obs, max(coalesce(x, 0)) as mx, min(coalesce(x, 0)) as mn from un group by id)
-      select pt.id, case when lag is not null then 'LAG' || lag when mx > hi or mx < lo then 'SpikeMax' when mn > hi or mn < lo then 'SpikeMin' end as trend_class
+      pt as ({_ends('un')})
+      select pt.id, case when lag is not null then '{letter}' || lag when mx > hi or mx < lo then 'SpikeMax' when mn > hi or mn < lo then 'SpikeMin' end as trend_class
       from pt left join fl using (id) left join lim using (n_obs)"""
 
 
-@query("c_classes_acf", _classes_sql())
-def classes(spark, sf):
-    return categorize.categorise(a.supplier_signals(spark, sf), a.QUARTER_TIMES, samples=SAMPLES, prepare=False)
+def _lomb_vectors(cte: str, name: str) -> str:
+    return f"{_lomb_cte(cte, name, spectral.frequencies(a.DAY_TIMES))}, acf as (select id, k, p / nullif(sqrt(sum(p * p) over (partition by id)), 0) as v from power_)"
+
+
+#: The events' signals as categorise() prepares them.
+_PREPARED = f"""{a.EVENTS_SQL},
+  e1 as (select id, t, x from ev where id in (select id from ev group by id having count(*) filter (t = 0 and x = 0) = 0 and count(*) filter (x is null or x <> 0) >= ceil(0.75e0 * {a.DAYS}))),
+  e2 as (select id, t, case when x = 0 then null when x <= 1 then 1 else x end as x from e1),
+  prep as (with sds as (select id, stddev_pop(x) as sd from e2 group by id) select id, t, x from e2 where id in (select id from sds where sd / (select avg(sd) from sds) > 0))"""
+
 
+def classes(spark, sf, samples=SAMPLES):
+    return categorize.categorise(a.supplier_signals(spark, sf), a.QUARTER_TIMES, samples=samples, prepare=False)
 
-query("c_classes_pgram")(lambda spark, sf: categorize.categorise(a.event_signals(spark, sf), a.DAY_TIMES, samples=SAMPLES, spectrum=True))
 
-# with all draws; 100 000 of them make the cross joins of the SQL above too slow, so these have none
-query("n_bootstrap_all")(lambda spark, sf: cells(resample.bootstrap(a.sparse_signals(spark, sf), ALL_SAMPLES, False)))
-query("n_bootstrap_rows_all")(lambda spark, sf: cells(resample.bootstrap(a.sparse_signals(spark, sf), ALL_SAMPLES, True)))
-query("n_null_autocorr_all")(lambda spark, sf: cells(resample.null_autocorrelations(a.supplier_signals(spark, sf), a.QUARTER_TIMES, ALL_SAMPLES)))
-query("n_null_periodogram_all")(lambda spark, sf: cells(resample.null_periodograms(a.supplier_signals(spark, sf), a.QUARTER_TIMES, ALL_SAMPLES)))
-query("n_spike_cutoffs_all")(lambda spark, sf: _spike_limits(spark, sf, ALL_SAMPLES))
-query("c_quantile_cutoffs_all")(lambda spark, sf: _quantile_cutoffs(spark, sf, ALL_SAMPLES))
-query("c_spikes_max_all")(lambda spark, sf: _spike_signals(spark, sf, True, ALL_SAMPLES))
-query("c_spikes_min_all")(lambda spark, sf: _spike_signals(spark, sf, False, ALL_SAMPLES))
-query("c_classes_acf_all")(lambda spark, sf: categorize.categorise(a.supplier_signals(spark, sf), a.QUARTER_TIMES, samples=ALL_SAMPLES, prepare=False))
-query("c_classes_pgram_all")(lambda spark, sf: categorize.categorise(a.event_signals(spark, sf), a.DAY_TIMES, samples=ALL_SAMPLES, spectrum=True))
+_draws("c_classes_acf", lambda n: _classes_sql(a.SUPPLIERS_SQL, "sup", a.QUARTERS, n, "LAG", lambda cte, name: _acf_sql(cte, name, a.QUARTERS)), classes)
+_draws("c_classes_pgram", lambda n: _classes_sql(_PREPARED, "prep", a.DAYS, n, "F", _lomb_vectors), lambda spark, sf, n: categorize.categorise(a.event_signals(spark, sf), a.DAY_TIMES, samples=n, spectrum=True))
 
 
 # -- visibility graphs ---------------------------------------------------------------------------------------------
