@@ -232,11 +232,10 @@ def _acf_sql(cte: str, name: str, n: int) -> str:
     return f"""{cte}, {_freq_sql(freqs)},
   d as (select id, cast(t as double) as t, x - avg(x) over (partition by id) as d from {name} where x is not null),
   pad as (select id, t, d from d union all select id, t + {n - 1}, 0e0 from (select distinct id from d) i cross join (select unnest(range({n})) as t) g),
-  th as (select id, k, f, 0.5e0 * atan2(sum(sin(4 * pi() * f * t)), sum(cos(4 * pi() * f * t) + 1e-20)) as th from pad cross join fr group by id, k, f),
-  s as (select p.id, th.k, sum(d * cos(2 * pi() * f * t - th)) as c, sum(power(cos(2 * pi() * f * t - th), 2)) as cc,
-               sum(d * sin(2 * pi() * f * t - th)) as s, sum(power(sin(2 * pi() * f * t - th), 2)) as ss
-        from pad p join th on th.id = p.id group by p.id, th.k),
-  pw as (select id, k + 1 as m, {_part('c', 'cc')} + {_part('s', 'ss')} as p from s),
+  wv as (select k, cast(t as double) as t, cos(2 * pi() * f * t) as wc, sin(2 * pi() * f * t) as ws from fr cross join (select unnest(range({2 * n})) as t) g),
+  sm as (select id, k, sum(d * wc) as c, sum(d * ws) as s, sum(wc * wc) as cc, sum(ws * ws) as ss, sum(wc * ws) as cs, count(*) as m from pad join wv using (t) group by id, k),
+  th as (select *, cos(a) as u, sin(a) as w from (select *, 0.5e0 * atan2(2 * cs, cc - ss + m * 1e-20) as a from sm)),
+  pw as (select id, k + 1 as m, {_part('(c * u + s * w)', '(cc * u * u + 2 * cs * u * w + ss * w * w)')} + {_part('(s * u - c * w)', '(ss * u * u - 2 * cs * u * w + cc * w * w)')} as p from th),
   lag as (select id, l.k, sum(p * cos(pi() * (2 * l.k + 1) * m / (2e0 * {n + 1}))) as a from pw cross join (select unnest(range({(n + 1) // 2})) as k) l group by id, l.k),
   acf as (select id, k, a / nullif(max(case when k = 0 then a end) over (partition by id), 0) as v from lag)"""
 
