@@ -5,13 +5,15 @@ Floats are rounded to six places on both sides, and rows are long and scalar, so
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import adapters as a
-from ..operators import categorize, clean, cluster, community, enrich, model, resample, spectral, subjects, transform, visibility
+from ..operators import categorize, clean, cluster, community, enrich, model, order, resample, spectral, subjects, transform, visibility
+from ..sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -452,6 +454,28 @@ for _name, _method, _opts in (("v_communities", "path", {"direction": "left"}),
         return community.of_series(_centred(spark, sf), method, **opts)
 
 
+# -- stores: a given table is written in the format and read back ----------------------------------------------------
+def _root(spark) -> str:
+    order.settled(spark.range(1))  # sees to the folder that driver and executors share
+    return f"{spark.sparkContext.getCheckpointDir()}/entries-{uuid.uuid4().hex}"
+
+
+@query("s_frame_entry", "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer where c_custkey >= 40")
+def _frame_entry(spark, sf):
+    entries = store.Entries(spark, _root(spark))
+    entries.write(a.table(spark, sf, "customer").repartitionByRange(8, "c_custkey").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), "customer")
+    return entries.read("customer").where("c_custkey >= 40")
+
+
+@query("s_array_entry", f"with {a.SUPPLIERS_SQL} {OUT} sup where x is not null")
+def _array_entry(spark, sf):
+    root = _root(spark)
+    store.register(spark)
+    rows = store.arrays_of(a.supplier_signals(spark, sf))
+    rows.write.format("tidemark").mode("overwrite").options(kind="array").save(root, entry="suppliers")
+    return cells(store.Entries(spark, root).read("suppliers").select(X("row").alias("id"), X("values").alias("x")))
+
+
 # -- enrichment ----------------------------------------------------------------------------------------------------
 _ENRICH = f"""{a.BRIDGE_SQL}, {a.LISTS_SQL},
   mem as (select distinct list_name, id, term from lists join bridge using (id)),
@@ -726,6 +750,15 @@ query("g_groups")(lambda spark, sf: cluster.two_levels(_classified(spark, sf)))
 query("g_groups_silhouette")(lambda spark, sf: cluster.two_levels(_classified(spark, sf), rule="silhouette"))
 
 
+@query("g_silhouette", """with e as (select vec_id as place, label as c, [cast(v as double) for v in embedding] as x from embeddings),
+  s as (select p.place, p.c, q.c as o, sum(list_distance(p.x, q.x)) as s from e p join e q on p.place <> q.place group by all), n as (select c as o, count(*) as n from e group by 1),
+  w as (select place, c, max(case when o = c then n end) as own, max(case when o = c then s / greatest(n - 1, 1) end) as a, min(case when o <> c then s / n end) as b from s join n using (o) group by place, c)
+  select place, c as cluster, round(case when own > 1 and b is not null then coalesce((b - a) / nullif(greatest(a, b), 0), 0) else 0 end, 6) + 0e0 as width from w""")
+def _silhouette(spark, sf):
+    e = a.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), X("label").alias("cluster"))
+    return cluster.silhouettes(order.numbered(e, None, ["vec_id"], "place")).select("place", "cluster", num("width"))
+
+
 @query("g_kmeans_ari")
 def _ari(spark, sf):
     v = a.table(spark, sf, "embeddings").select(X("vec_id").alias("id"), F.transform("embedding", lambda c: c.cast("double")).alias("x"))
