@@ -13,7 +13,8 @@ equal arms, and all that can repeat an edge meets under its arm:
    path of that arm.
 
 Repeated paths and edges are then glued by their source coordinates into maximal spans of words, and removed.
-Equality is that of two independent 64-bit hashes (arm and path, or arm and edge).
+Equality is that of two 64-bit hashes (arm and path, or arm and edge), not of the text at its coordinates. Both are made
+of one 64-bit hash of each word, so words that collide would count as equal.
 """
 
 from __future__ import annotations
