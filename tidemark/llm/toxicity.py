@@ -27,7 +27,7 @@ from .shared import Scratch, trimmed
 #: The bounds of the training sample: confirmed toxic texts, and unlabelled ones.
 MOST_TOXIC, MOST_UNLABELLED = 8_000, 24_000
 #: Features: words of at least LEAST_TEXTS confirmed texts whose share there is over LEAST_SIGMAS deviations above that in unlabelled ones.
-LEAST_TEXTS, LEAST_SIGMAS, MOST_WORDS = 3, 5.0, 4_096
+LEAST_TEXTS, LEAST_SIGMAS, MOST_WORDS = 3, 6.0, 4_096
 CLASSIFIERS, EPOCHS, BATCHES, RATE, DECAY = 5, 60, 8, 0.05, 2e-4
 #: The part of a score that keeps texts of the same chance apart.
 RANKED = 1e-3
@@ -94,6 +94,16 @@ class Texts:
     def __len__(self) -> int:
         return len(self.first) - 1
 
+    def once(self) -> np.ndarray:
+        """Whether a text counts for the chances: the first with its features, and all without any, so that copies of one text weigh as one."""
+        seen: set[bytes] = set()
+        keep = np.ones(len(self), bool)
+        for i, (a, b) in enumerate(zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)):
+            key = self.at[a:b].tobytes()
+            keep[i] = not key or key not in seen
+            seen.add(key)
+        return keep
+
     def take(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in texts, feature) of the pairs of some texts."""
         size = np.diff(self.first)[texts]
@@ -155,14 +165,14 @@ def fit(words: np.ndarray, toxic: Texts, unlabelled: Texts, prior: float) -> Mod
     """CLASSIFIERS classifiers, each without the texts of its fold, and the chances that the texts left out tell."""
     if not len(toxic) or not len(unlabelled):
         return Model(words[:0], np.zeros((1, 0)), np.zeros(1), np.zeros(1), np.full(1, 0.5))
-    found, left = [], ([], [])
+    found, left, once = [], ([], []), (toxic.once(), unlabelled.once())
     for k in range(CLASSIFIERS):
         rows = [np.flatnonzero(t.fold != k) for t in (toxic, unlabelled)]
         rows = [r if len(r) else np.arange(len(t)) for r, t in zip(rows, (toxic, unlabelled), strict=True)]
         w, b = fit_one(toxic, unlabelled, *rows, len(words), prior, k)
         found.append((w, b))
-        for texts, scores in zip((toxic, unlabelled), left, strict=True):
-            scores.append(texts.scored(np.flatnonzero(texts.fold == k), w, b))
+        for texts, scores, keep in zip((toxic, unlabelled), left, once, strict=True):
+            scores.append(texts.scored(np.flatnonzero((texts.fold == k) & keep), w, b))
     return Model(words, np.stack([w for w, _ in found]), np.array([b for _, b in found]), *chances(*map(np.concatenate, left), prior))
 
 
