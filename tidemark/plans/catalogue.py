@@ -108,8 +108,28 @@ _UNIFORM = f"""with {a.SUPPLIERS_SQL},
   r as (select id, t, x, rank() over (partition by t order by x) - 1 as low, count(*) over (partition by t, x) as ties, count(*) over (partition by t) as n,
                min(x) over (partition by t) as x0, max(x) over (partition by t) as x1 from sup where x is not null)
   select id, cast(t as bigint) as t, round(case when x = x1 then 1e0 when x = x0 then 0e0 else (low + (ties - 1) / 2e0) / (n - 1) end, 6) + 0e0 as x from r"""
-for _kind in ("uniform", "normal"):
-    query(f"t_quantile_{_kind}", _UNIFORM if _kind == "uniform" else None)(lambda spark, sf, k=_kind: transform.quantile_transform(a.supplier_signals(spark, sf), k).select("id", X("t").cast("long").alias("t"), num("x")))
+# fixed values: numerator and denominator, constant term first, of the rational approximations of the normal distribution's
+# inverse (Wichura, 1988) for the middle, the tails and the far tails
+_MIDDLE = (3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727), (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610)
+_TAIL = (1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 7.74545014278341407640e-4), (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 5.47593808499534494600e-4, 1.05075007164441684324e-9)
+_FAR = (6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230, 0.0265321895265761230930, 0.00124266094738807843860, 2.71155556874348757815e-5, 2.01033439929228813265e-7), (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15)
+
+
+def _rational(parts: tuple[tuple[float, ...], tuple[float, ...]], r: str) -> str:
+    def polynomial(terms: tuple[float, ...]) -> str:
+        out = f"{terms[-1]!r}::double"
+        for c in reversed(terms[:-1]):
+            out = f"({out} * {r} + {c!r}::double)"
+        return out
+
+    return f"({polynomial(parts[0])} / {polynomial(parts[1])})"
+
+
+_NORMAL = f"""with u as ({_UNIFORM.replace('round(case', 'case').replace("end, 6) + 0e0 as x from r", "end as x from r")}),
+  p as (select id, t, greatest(1e-7, least(1 - 1e-7, x)) - 0.5e0 as q, sqrt(-ln(least(greatest(1e-7, least(1 - 1e-7, x)), 1 - greatest(1e-7, least(1 - 1e-7, x))))) as r from u)
+  select id, t, round(case when abs(q) <= 0.425e0 then q * {_rational(_MIDDLE, '(0.180625e0 - q * q)')} else sign(q) * case when r <= 5 then {_rational(_TAIL, '(r - 1.6e0)')} else {_rational(_FAR, '(r - 5e0)')} end end, 6) + 0e0 as x from p"""
+for _kind, _sql in (("uniform", _UNIFORM), ("normal", _NORMAL)):
+    query(f"t_quantile_{_kind}", _sql)(lambda spark, sf, k=_kind: transform.quantile_transform(a.supplier_signals(spark, sf), k).select("id", X("t").cast("long").alias("t"), num("x")))
 
 
 @query("t_two_frames_median", f"""with {a.TYPED_SQL},
