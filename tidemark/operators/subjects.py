@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .transform import common_distance
+from .transform import common_distance, correlation
 
 X = F.col
 
@@ -38,11 +38,8 @@ def links_by_distance(s: DataFrame, cutoff: float, complete: bool = True) -> Dat
 def links_by_correlation(s: DataFrame, cutoff: float, complete: bool = True) -> DataFrame:
     """The same by Pearson's correlation, above the cutoff."""
     pairs = _pairs(s)
-    every = pairs.select("a", "b", "id")
-    pairs = pairs.where(_whole(pairs)) if complete else pairs
-    cells = pairs.select("a", "b", "id", F.explode(F.arrays_zip("xa", "xb")).alias("c")).where("c.xa is not null and c.xb is not null")
-    r = cells.groupBy("a", "b", "id").agg(F.corr("c.xa", "c.xb").alias("r"))
-    return _links(every.join(r, ["a", "b", "id"], "left"), X("r") > cutoff)
+    near = correlation(X("xa"), X("xb")) > cutoff
+    return _links(pairs, near & _whole(pairs) if complete else near)
 
 
 def structure(partition: DataFrame) -> DataFrame:

@@ -185,6 +185,19 @@ def common_distance(u: Column, v: Column) -> Column:
     return F.sqrt(model.total(F.zip_with(u, v, lambda a, b: (a - b) * (a - b))))
 
 
+def correlation(u: Column, v: Column) -> Column:
+    """Pearson's correlation over the positions that both have; NULL without spread."""
+    both = F.filter(F.zip_with(u, v, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda c: c["a"].isNotNull() & c["b"].isNotNull())
+    sum_of = lambda c, f: F.aggregate(c, F.lit(0.0), lambda t, p: t + f(p))
+
+    def centred(c: Column) -> Column:
+        means = F.struct(F.try_divide(sum_of(c, lambda p: p["a"]), F.size(c)).alias("a"), F.try_divide(sum_of(c, lambda p: p["b"]), F.size(c)).alias("b"))
+        return model.let(means, lambda m: F.transform(c, lambda p: F.struct((p["a"] - m["a"]).alias("a"), (p["b"] - m["b"]).alias("b"))))
+
+    ratio = lambda d: F.try_divide(sum_of(d, lambda p: p["a"] * p["b"]), F.sqrt(sum_of(d, lambda p: p["a"] * p["a"]) * sum_of(d, lambda p: p["b"] * p["b"])))
+    return model.let(both, lambda c: model.let(centred(c), ratio))
+
+
 def concat_rows(*frames: DataFrame) -> DataFrame | None:
     out = None
     for f in frames:

@@ -744,8 +744,7 @@ def _split(spark, sf):
 @query("a_pearson", f"with {_PAIRS} select a, b, id, round(corr(xa, xb), 6) + 0e0 as r from ce group by a, b, id having corr(xa, xb) is not null and not isnan(corr(xa, xb))")
 def _pearson(spark, sf):
     p = subjects._pairs(a.subject_signals(spark, sf))
-    c = p.select("a", "b", "id", F.explode(F.arrays_zip("xa", "xb")).alias("c"))
-    return c.groupBy("a", "b", "id").agg(F.corr("c.xa", "c.xb").alias("r")).where("r is not null and not isnan(r)").select("a", "b", "id", num("r"))
+    return p.withColumn("r", transform.correlation(X("xa"), X("xb"))).where("r is not null").select("a", "b", "id", num("r"))
 
 
 @query("a_multimap", "select p_brand as term, string_agg(distinct p_type, ',' order by p_type) as ids from part group by 1")
