@@ -229,8 +229,7 @@ def train(stats: DataFrame, labels: DataFrame) -> Ensemble:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("y"))
     draw = F.xxhash64("doc_id", F.lit(7))
     known = known.orderBy(draw, "doc_id").limit(MOST_LABELS)
-    rows = stats.join(known, "doc_id").toArrow().to_pandas().sort_values(["doc_id", *STATISTICS], kind="stable")
-    rows = rows.iloc[:MOST_LABELS]
+    rows = stats.join(known, "doc_id").orderBy("doc_id", *STATISTICS).limit(MOST_LABELS).toArrow().to_pandas()  # ids may repeat
     return fit(rows[list(STATISTICS)].to_numpy(float), (rows["y"] >= 1).to_numpy())
 
 
