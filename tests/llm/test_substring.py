@@ -67,3 +67,38 @@ def test_words_that_repeat_by_chance_are_not_held(spark, monkeypatch):
     assert len(made[-1].live) == 1
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(map(tuple, substring.strip(docs).collect())) == brute(list(enumerate(texts)), 35)
+
+
+def test_digests_are_of_the_words_at_their_coordinates():
+    from hashlib import blake2b
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["a  bb\tccc", "d e", "", "f\n\n g ", " h", None, "é à\r\n ü"]
+    part, offs = substring.wh.strings(pa.array(texts))
+    starts, ends, first = substring.wh.words(part, offs, substring.wh.SPACE_WORDS)
+    spans, want = [], []
+    for t, x in zip(texts, first, strict=False):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                spans.append((x + i, x + j))
+                want.append(blake2b(" ".join(w[i:j]).encode(), digest_size=16).digest())
+    begin, end = np.array(spans).T
+    assert substring.digests(part, starts, ends, begin, end) == want
+    assert substring.digests(part, starts, ends, begin[:0], end[:0]) == []
+
+
+def test_neighbours_are_joined_from_branch_to_branch(spark):
+    # 1 2 3 always follow each other; 4 comes after 3 or alone; 5 has two ways in; 6 is never a neighbour, but for a gap
+    rows = [(0, n, "x", at, 2) for n, at in ((1, 0), (2, 2), (3, 4), (4, 6), (5, 8), (6, 11))]
+    rows += [(0, n, "y", at, 2) for n, at in ((1, 3), (2, 5), (3, 7), (5, 9), (4, 20), (6, 30))]
+    rows += [(1, n, "x", at, 1) for n, at in ((1, 0), (2, 1), (4, 2))] + [(1, n, "z", at, 1) for n, at in ((1, 7), (2, 8))]
+    rows += [(0, 7, "d", 0, 3)] * 2 + [(0, 8, "d", 3, 3)] * 2
+    nodes = spark.createDataFrame(rows, "kind int, node long, key string, at int, n int")
+    got = sorted(map(tuple, substring.compacted(nodes).collect()))
+    want = [("x", 0, 6), ("x", 6, 2), ("x", 8, 2), ("x", 11, 2), ("y", 3, 6), ("y", 9, 2), ("y", 20, 2), ("y", 30, 2)]
+    want += [("x", 0, 2), ("x", 2, 1), ("z", 7, 2)] + [("d", 0, 3)] * 2 + [("d", 3, 3)] * 2
+    assert got == sorted(want)
+    assert substring.compacted(nodes.limit(0)).count() == 0

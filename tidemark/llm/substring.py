@@ -10,20 +10,23 @@ equal arms, and all that can repeat an edge meets under its arm:
 1. paths whose arm occurs once hold no repeated edge;
 2. a path that occurs at two coordinates is repeated whole: it has no branch, and none of its edges is looked at again;
 3. where paths of an arm branch, the edges of those that occur once are held, edge by edge, against one source of each
-   path of that arm.
+   path of that arm;
+4. a repeated path or edge whose every occurrence follows one other, which nothing else ever follows, is joined to it:
+   neighbours in a source become one row, from branch to branch.
 
-Repeated paths and edges are then glued by their source coordinates into maximal spans of words, and removed.
-Equality is that of two 64-bit hashes (arm and path, or arm and edge), not of the text at its coordinates. Both are made
-of one 64-bit hash of each word, so words that collide would count as equal.
+The rows that are left are glued by their source coordinates into maximal spans of words, and removed.
+64-bit hashes choose minimizers, arms and what passes a gate. What counts as repeated is decided on the text itself, read
+at its source coordinates: two paths or edges are equal if a 128-bit BLAKE2 digest of their words is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -47,7 +50,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def paths(part: np.ndarray, offs: np.ndarray, window: int, anchor: int):
-    """(doc, first edge, edges, arm, path hash, word hashes, first words) of the paths of a run of texts.
+    """(doc, first edge, edges, arm, word starts, word ends, first words) of the paths of a run of texts.
 
     doc is the text within the run; the first edge is counted in words over the run, so an edge is words[i : i + window].
     """
@@ -55,14 +58,14 @@ def paths(part: np.ndarray, offs: np.ndarray, window: int, anchor: int):
     h = wh.word_hashes(part, starts, ends, fold=False)
     none = np.zeros(0, np.int64)
     if len(h) < window:
-        return none, none, none, np.zeros(0, U), np.zeros(0, U), h, first
+        return none, none, none, np.zeros(0, U), starts, ends, first
     kmers = wh.window_hashes(h, anchor, salt=0xA11)
     key = (kmers & ~U(_POS)) | (np.arange(len(kmers), dtype=U) & U(_POS))
     low = _sliding_min(key, window - anchor + 1)
     counts = np.maximum(0, np.diff(first) - window + 1)
     edges = wh.ranges(first[:-1], counts)
     if not len(edges):
-        return none, none, none, np.zeros(0, U), np.zeros(0, U), h, first
+        return none, none, none, np.zeros(0, U), starts, ends, first
     doc = np.repeat(np.arange(len(counts)), counts)
     # positions are taken modulo the mask; the minimizer lies within the edge
     at = edges + (((low[edges] & U(_POS)).astype(np.int64) - edges) & _POS)
@@ -74,11 +77,27 @@ def paths(part: np.ndarray, offs: np.ndarray, window: int, anchor: int):
     lead = np.flatnonzero(new)
     n = np.diff(np.append(lead, len(edges)))
     begin = edges[lead]
-    with np.errstate(over="ignore"):
-        path = wh.mix(wh.span_hashes(h, begin, begin + n - 1 + window, salt=0x9A7) + (at[lead] - begin).astype(U) * U(0x9E3779B97F4A7C15))
     with np.errstate(over="ignore"):
         arm = wh.mix(wh.window_hashes(h, anchor + reach, salt=0xA12)[at[lead] - reach * left[lead]] + left[lead].astype(U))
-    return doc[lead], begin, n, arm, path, h, first
+    return doc[lead], begin, n, arm, starts, ends, first
+
+
+def digests(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """A digest of the words begin[i] to end[i] - 1, joined by one blank, for each i; a span lies within one text."""
+    if not len(begin):
+        return []
+    depth = np.zeros(len(part) + 1, np.int8)
+    depth[starts] += 1
+    depth[ends] -= 1  # of two texts that meet, a word may start where one ends: two steps that cancel
+    keep = np.cumsum(depth[:-1], dtype=np.int8) > 0
+    after = ends[ends < len(part)]
+    gap = after[~keep[after]]
+    flat = part.copy()
+    flat[gap] = 0x20
+    keep[gap] = True
+    place = np.concatenate([[0], np.cumsum(keep)])
+    raw = flat[keep].tobytes()
+    return [blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(place[starts[begin]].tolist(), place[ends[end - 1]].tolist(), strict=True)]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -108,41 +127,60 @@ def _paths_of(docs: DataFrame, window: int, anchor: int, gate: Gate) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key = b.column(1).to_numpy(zero_copy_only=False)
-            cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            text: list[bytes] = []
             for at, _, part, offs in wh.pieces(*wh.strings(b.column(0))):
-                doc, begin, n, arm, path, _, first = paths(part, offs, window, anchor)
+                doc, begin, n, arm, starts, ends, first = paths(part, offs, window, anchor)
                 ok = test_bits(table.value, arm & U(bits - 1))
                 k, i0 = key[at + doc[ok]], (begin - first[doc])[ok]
-                for c, v in zip(cols, (wh.signed(arm[ok]), wh.signed(path[ok]), k, i0, n[ok], wh.signed(_run_mark(k.astype(np.int64), i0))), strict=True):
+                text += digests(part, starts, ends, begin[ok], begin[ok] + n[ok] - 1 + window)
+                for c, v in zip(cols, (wh.signed(arm[ok]), k, i0, n[ok], wh.signed(_run_mark(k.astype(np.int64), i0))), strict=True):
                     c.append(v)
             out = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2], pa.int64()), pa.array(out[3].astype(np.int32)), pa.array(out[4].astype(np.int32)), pa.array(out[5])], names=["arm", "path", "key", "at", "n", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(text, pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2].astype(np.int32)), pa.array(out[3].astype(np.int32)), pa.array(out[4])], names=["arm", "text", "key", "at", "n", "mark"])
 
-    return docs.select("text", "key").mapInArrow(run, "arm long, path long, key long, at int, n int, mark long")
+    return docs.select("text", "key").mapInArrow(run, "arm long, text binary, key long, at int, n int, mark long")
 
 
 def _edges_of(docs: DataFrame, window: int, anchor: int, gate: Gate, marks: Gate) -> DataFrame:
-    """Edges (arm, edge, key, at) of the marked paths. A path that passes both gates by chance only adds true edges."""
+    """Edges (text, key, at) of the marked paths. A path that passes both gates by chance only adds true edges."""
     arm_bits, arm_table, bits, table = gate.bits, gate.table, marks.bits, marks.table
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            cols: list[list[np.ndarray]] = [[], [], [], []]
+            cols: list[list[np.ndarray]] = [[], []]
+            text: list[bytes] = []
             for at, _, part, offs in wh.pieces(*wh.strings(b.column(0))):
-                doc, begin, n, arm, _, h, first = paths(part, offs, window, anchor)
+                doc, begin, n, arm, starts, ends, first = paths(part, offs, window, anchor)
                 k, i0 = key[at + doc], begin - first[doc]
                 ok = test_bits(arm_table.value, arm & U(arm_bits - 1)) & test_bits(table.value, _run_mark(k, i0) & U(bits - 1))
-                begin, n = begin[ok], n[ok]
-                edge = wh.ranges(begin, n)
-                full = wh.window_hashes(h, window, salt=0xED6E)
-                for c, v in zip(cols, (wh.signed(np.repeat(arm[ok], n)), wh.signed(full[edge]) if len(edge) else edge, np.repeat(k[ok], n), wh.ranges(i0[ok], n)), strict=True):
-                    c.append(v)
+                edge = wh.ranges(begin[ok], n[ok])
+                text += digests(part, starts, ends, edge, edge + window)
+                cols[0].append(np.repeat(k[ok], n[ok]))
+                cols[1].append(wh.ranges(i0[ok], n[ok]))
             out = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2]), pa.array(out[3].astype(np.int32))], names=["arm", "edge", "key", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.binary()), pa.array(out[0]), pa.array(out[1].astype(np.int32))], names=["text", "key", "at"])
+
+    return docs.select("text", "key").mapInArrow(run, "text binary, key long, at int")
 
-    return docs.select("text", "key").mapInArrow(run, "arm long, edge long, key long, at int")
+
+def compacted(nodes: DataFrame) -> DataFrame:
+    """(key, at, n): rows of nodes(kind, node, key, at, n), with neighbours joined wherever neither has a branch.
+
+    A node follows another one in a source if it starts where that ends. It is joined to it if all its occurrences follow
+    that one and all occurrences of that one are followed by it; what is joined covers the same words.
+    """
+    within = Window.partitionBy("key", "kind").orderBy("at")
+    before = F.when(F.lag("at").over(within) + F.lag("n").over(within) == F.col("at"), F.lag("node").over(within))
+    links = nodes.withColumn("before", before).groupBy("kind", "node", "before").agg(F.count(F.lit(1)).alias("c"))
+    ends = links.groupBy("kind", "node").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("ways"), F.max("before").alias("before"))
+    # one way in, and as often as the node before occurs
+    lone = ends.where("ways = 1 and before is not null").select("kind", "node", "before", "c")
+    joined = lone.join(ends.select("kind", F.col("node").alias("before"), "c"), ["kind", "before", "c"]).select("kind", "node", F.lit(0).alias("begins"))
+    rows = nodes.join(joined, ["kind", "node"], "left").withColumn("piece", F.sum(F.coalesce("begins", F.lit(1))).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("key", "kind", "piece").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n")).select("key", "at", "n")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, gate_bits: int | None = None) -> DataFrame:
@@ -157,19 +195,21 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     scratch.drop(twice)
     scratch.settle()
     found = scratch.keep(_paths_of(docs, window, anchor, gate), "paths")
-    variants = scratch.keep(found.groupBy("arm", "path").agg(F.count(F.lit(1)).alias("c"), F.min("mark").alias("source")), "variants")
+    variants = scratch.keep(found.groupBy("arm", "text").agg(F.count(F.lit(1)).alias("c"), F.min("mark").alias("source")), "variants")
     buckets = variants.groupBy("arm").agg(F.count(F.lit(1)).alias("paths"), F.min("c").alias("least")).where("paths > 1 and least = 1").select("arm")
     # one source of every path under a branching arm that has a path of one occurrence
     marks = Gate(spark, variants.join(buckets, "arm", "left_semi").select("source"), gate_bits)
-    whole = scratch.keep(found.join(variants.where("c > 1").select("arm", "path"), ["arm", "path"], "left_semi").select("key", "at", "n"), "whole")
+    twofold = found.join(variants.where("c > 1").select("arm", "text"), ["arm", "text"], "left_semi")
+    # a node's number only says which neighbours are joined, never what is equal
+    whole = scratch.keep(twofold.select(F.lit(0).alias("kind"), F.xxhash64("text").alias("node"), "key", "at", "n"), "whole")
     scratch.drop(found, variants)
     scratch.settle()
     edges = scratch.keep(_edges_of(docs, window, anchor, gate, marks), "edges")
-    again = edges.groupBy("arm", "edge").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("arm", "edge")
-    single = scratch.keep(edges.join(again, ["arm", "edge"], "left_semi").select("key", "at", F.lit(1).alias("n")), "single")
+    again = edges.groupBy("text").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("text")
+    single = scratch.keep(edges.join(again, "text", "left_semi").select(F.lit(1).alias("kind"), F.xxhash64("text").alias("node"), "key", "at", F.lit(1).alias("n")), "single")
     scratch.drop(edges)
     scratch.settle()
-    spans = scratch.keep(whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
+    spans = scratch.keep(compacted(whole.unionByName(single)).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
     scratch.close(spans)
     scratch.settle()
     return spans
