@@ -11,12 +11,15 @@ radii end with four fifths of a block verified. With 120 lines, a threshold of 0
 a fifth at a recall of 0.96, but a search takes five times as long: to count is dearer there than to multiply 64
 numbers. That choice pays for longer vectors or where neighbours stand out.
 
-Vectors are dealt into blocks of about BLOCK, queries into blocks of about QUERIES; every pair of blocks is one task's
-work, and the best of each are merged by query. Equal vectors of a block are one entry with its ids.
+Vectors are dealt into blocks of about BLOCK. A task indexes a block once and lets up to about QUERIES queries stream
+past it, so it holds a block and a batch; only a longer list of queries sends a block to another task as well. The best
+of each block are merged by query. Equal vectors of a block are one entry with its ids.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,7 +31,9 @@ PROJECTIONS, THRESHOLD = 40, 0.70
 #: Half of a window's width for radius 1: a vector at the radius is inside 83 of 100 windows.
 HALF_WIDTH = 1.36
 FIRST_RADIUS, STEP = 0.3, 2.0
-BLOCK, QUERIES = 8192, 1024
+BLOCK, QUERIES = 8192, 1 << 16
+#: Most tasks of a search; beyond, a task takes several blocks one after the other.
+MOST_TASKS = 100_000
 SEED = 29
 
 
@@ -40,9 +45,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(fine, F.lit(False)))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 class Index:
@@ -126,25 +130,43 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, block: int = BL
     """
     rows = usable(vectors)
     plan = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("m")).first()
-    blocks, parts, largest = max(1, -(-plan["n"] // block)), max(1, -(-plan["q"] // queries)), float(plan["m"] or 1.0)
+    blocks, largest = max(1, -(-plan["n"] // block)), float(plan["m"] or 1.0)
+    # few blocks would leave most of a cluster idle, so their queries are shared out further
+    idle = min(-(-vectors.sparkSession.sparkContext.defaultParallelism // blocks), -(-plan["q"] // 1024))
+    parts = max(1, -(-plan["q"] // queries), idle)
     spread = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     keys = ["dim", "block", "part"]
-    data = rows.withColumn("dim", F.size("v")).withColumn("block", spread(blocks, 1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    data = rows.withColumn("block", spread(blocks, 1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = asked.withColumn("dim", F.size("v")).withColumn("part", spread(parts, 2)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        if len(left) and len(right):
-            ids = right["vec_id"].to_numpy()
-            index = Index(ids, _matrix(right["v"]), largest)
-            for own, q in zip(left["vec_id"].to_numpy().tolist(), _matrix(left["v"]), strict=True):
-                v, s = index.search(q, own, k)
-                out_q.append(np.full(len(v), own))
-                out_v.append(v)
-                out_s.append(s)
-        return pa.table({"query_id": pa.array(np.concatenate(out_q), pa.int64()), "vec_id": pa.array(np.concatenate(out_v), pa.int64()), "score": pa.array(np.concatenate(out_s))})
-
-    found = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
+    asked = asked.withColumn("part", spread(parts, 2)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    both = data.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True))).withColumn("dim", F.size("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, held, index = None, [], [], None
+        for b in batches:
+            of = np.stack([b.column(c).to_numpy() for c in range(3)] + [b.column(3).to_numpy(zero_copy_only=False).astype(np.int32)])
+            cuts = np.flatnonzero((of[:, 1:] != of[:, :-1]).any(0)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)], strict=True):
+                if i == j:
+                    continue
+                if group != of[:3, i].tolist():
+                    group, ids, held, index = of[:3, i].tolist(), [], [], None
+                numbers, x = b.column(4).slice(i, j - i).to_numpy(), _matrix(b.column(5).slice(i, j - i))
+                if not of[3, i]:
+                    ids.append(numbers)
+                    held.append(x)
+                    continue
+                if index is None and ids:
+                    index = Index(np.concatenate(ids), np.concatenate(held), largest)
+                    ids, held = [], []
+                if index is not None:
+                    found = [index.search(q, own, k) for own, q in zip(numbers.tolist(), x, strict=True)]
+                    lengths = [len(v) for v, _ in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, lengths)), pa.array(np.concatenate([v for v, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names=["query_id", "vec_id", "score"])
+
+    # a group's vectors come before its queries; equal groups of another length may share a task
+    tasks = min(blocks * parts, MOST_TASKS)
+    dealt = both.select(*keys, "asks", "vec_id", "v").repartitionById(tasks, F.pmod(F.col("block").cast("long") * parts + F.col("part"), F.lit(tasks)).cast("int"))
+    found = dealt.sortWithinPartitions(*keys, "asks", "vec_id").mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
