@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import adapters as a
 from ..operators import categorize, clean, cluster, community, enrich, model, order, resample, spectral, subjects, transform, visibility
-from ..sources import store
+from ..sources import readers, sinks, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -680,6 +680,115 @@ def _report(spark, sf):
     return enrich.report(_enriched(spark, sf, least_hits=5)).select("list_name", "term", "x_hits", "hits")
 
 
+# -- formats: a given table is written as the files that a reader takes, and read back ----------------------------------
+def _lines(rows: DataFrame, spark: SparkSession, between: str = "\n") -> str:
+    root = _root(spark)
+    rows.write.option("lineSep", between).text(root)
+    return root
+
+
+@query("s_matrix", f"with {a.SUPPLIERS_SQL} select 'Q' as source, {OUT.removeprefix('select ')} sup where x is not null")
+def _matrix_csv(spark, sf):
+    """Signals as a CSV of named time points."""
+    s, root = a.supplier_signals(spark, sf), _root(spark)
+    s.select(F.lit("Q").alias("source"), "id", *[F.get("x", F.lit(i)).alias(str(t)) for i, t in enumerate(a.QUARTER_TIMES)]).write.option("header", True).csv(root)
+    back, times = readers.matrix_csv(spark, root)
+    if times != a.QUARTER_TIMES:
+        raise ValueError(f"other time points: {times}")
+    return cells(back.withColumn("id", X("id").cast("long")))
+
+
+@query("s_json", "select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal, c_mktsegment from customer")
+def _json(spark, sf):
+    entries = readers.Store(spark, _root(spark))
+    entries.write(a.table(spark, sf, "customer"), "customer", json=True)
+    return entries.read("customer", json=True).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+@query("s_ontology", "select 'T:' || p_partkey as term, p_name as name, case when p_brand = 'Brand#1' then null else p_type end as namespace from part where p_size <= 45")
+def _ontology(spark, sf):
+    """Parts as terms: some obsolete, some without a namespace, their lines in two orders; large ones are other stanzas."""
+    p = a.table(spark, sf, "part")
+    head = F.when(X("p_size") > 45, "[Typedef]").otherwise("[Term]")
+    number, name = F.concat(F.lit("id: T:"), X("p_partkey").cast("string")), F.concat(F.lit("name: "), "p_name")
+    space, gone = F.when(X("p_brand") != "Brand#1", F.concat(F.lit("namespace: "), "p_type")), F.when(X("p_size") < 5, F.lit("is_obsolete: true"))
+    stanza = F.when(X("p_size") % 2 == 0, F.concat_ws("\n", head, number, name, space, gone)).otherwise(F.concat_ws("\n", head, gone, number, space, name))
+    return readers.ontology(spark, _lines(p.select(stanza), spark, "\n\n"))
+
+
+@query("s_annotations", f"with {a.BRIDGE_SQL} select id, term, upper(term) as name from bridge")
+def _annotations(spark, sf):
+    """Annotations between comments, every one of them twice, with the names that a table of descriptions has for their terms."""
+    b = a.bridge(spark, sf)
+    line = F.concat_ws("\t", F.lit("DB"), "id", F.lit("symbol"), F.lit(""), "term", F.lit("ref"))
+    found = readers.annotations(spark, _lines(b.select(F.explode(F.array(line, F.concat(F.lit("! of "), "id"), line))), spark))
+    names = _lines(b.select("term").distinct().select(F.concat_ws("\t", "term", F.upper("term"))), spark)
+    return found.join(readers.descriptions(spark, names).select("term", "name"), "term", "left").select("id", "term", "name")
+
+
+@query("s_links", "select distinct cast(l_partkey as varchar) as id, 'path:' || l_suppkey as term from lineitem")
+def _links(spark, sf):
+    rows = a.table(spark, sf, "lineitem").select(F.concat_ws("\t", F.concat(F.lit("path:"), X("l_suppkey").cast("string")), X("l_partkey").cast("string")))
+    return readers.links(spark, _lines(rows, spark))
+
+
+@query("s_molecules", "select cast(p_partkey as varchar) as pumchem, case when p_size > 45 then null else 'cpd:' || p_partkey end as cpd from part")
+def _molecules(spark, sf):
+    number = X("p_partkey").cast("string")
+    cpd = F.when(X("p_size") > 45, F.lit('""')).otherwise(F.concat(F.lit("'cpd:"), number, F.lit("'")))
+    return readers.molecules(spark, _lines(a.table(spark, sf, "part").select(F.concat(F.lit('"'), number, F.lit('", '), cpd)), spark))
+
+
+@query("s_masses", "select p_brand as species, p_brand || ':' || p_partkey as compound, p_retailprice as mass from part where p_size <= 45")
+def _masses(spark, sf):
+    """Prices as masses; large parts have none."""
+    mass = F.when(X("p_size") > 45, F.lit("")).otherwise(X("p_retailprice").cast("string"))
+    return readers.masses(spark, _lines(a.table(spark, sf, "part").select(F.concat("p_brand", F.lit(":"), X("p_partkey").cast("string"), F.lit(","), mass)), spark))
+
+
+@query("s_cross_reference", """select p_partkey as kg_id, p_name as symbol, cast(p_partkey as varchar) as kegg, nullif(case when s_acctbal < 0 then '' else s_name end, '') as refseq, c_mktsegment as affy
+  from part left join supplier on p_partkey = s_suppkey left join customer on p_partkey = c_custkey""")
+def _cross_reference(spark, sf):
+    p, s, c = (a.table(spark, sf, t) for t in ("part", "supplier", "customer"))
+    main = p.select(X("p_partkey").alias("kg_id"), X("p_name").alias("symbol"), F.concat(F.lit("hsa+"), X("p_partkey").cast("string")).alias("kegg"))
+    refseq = s.select(X("s_suppkey").alias("kg_id"), F.when(X("s_acctbal") < 0, "").otherwise(X("s_name")).alias("refseq"))
+    return readers.cross_reference(main, refseq, c.select(X("c_custkey").alias("kg_id"), X("c_mktsegment").alias("affy")))
+
+
+@query("s_associations", """with c as (select cast(l_suppkey as varchar) as id, l_returnflag as label, (year(l_shipdate) - 1995) as t, sum(l_quantity) as x from lineitem where year(l_shipdate) between 1995 and 2001 group by all)
+  select cast(cast(id as bigint) // 100 as varchar) as class, id, label, t, x from c""")
+def _associations(spark, sf):
+    """Yearly quantities by supplier and flag as nested associations, one file for each hundred suppliers."""
+    year = F.year("l_shipdate") - 1995
+    long = a.table(spark, sf, "lineitem").where(year.between(0, 6)).groupBy(X("l_suppkey").alias("id"), X("l_returnflag").alias("label")).agg(*[F.sum(F.when(year == t, X("l_quantity"))).alias(f"x{t}") for t in range(7)])
+    some = F.array(*[F.coalesce(X(f"x{t}").cast("string"), F.lit("Missing[]")) for t in range(7)])
+    listed = F.concat(F.lit("{"), F.array_join(some, ", "), F.lit("}"))
+    member = F.concat(F.lit('{"'), X("id").cast("string"), F.lit('", "'), "label", F.lit('"} -> {{1., 0.}, '), listed, F.lit("}"))
+    texts = long.groupBy(F.expr("id div 100").alias("part")).agg(F.array_join(F.collect_list(member), ",\n").alias("m"))
+    root = _root(spark)
+    texts.select("part", F.concat(F.lit('<|"'), X("part").cast("string"), F.lit('" -> <|'), "m", F.lit("|>|>")).alias("value")).write.partitionBy("part").text(root)
+    return readers.classified_signals(spark, root).select("class", "id", "label", F.posexplode("series").alias("t", "x")).where("x is not null").withColumn("t", X("t").cast("long"))
+
+
+@query("k_report", f"with {_ENRICH}, {_PVAL} select list_name as sheet, term, cast(x_hits as bigint) as x_hits, round(p, 6) + 0e0 as p_value, (select string_agg(id, ', ' order by id) from mem where mem.list_name = pv.list_name and mem.term = pv.term) as hits from pv where x_hits >= 5")
+def _report_files(spark, sf):
+    """The sheets of a report, read back by their names."""
+    root = _root(spark)
+    sinks.write_report(_enriched(spark, sf, least_hits=5), root)
+    back = spark.read.option("header", True).csv(root)
+    return back.select("sheet", "term", X("x_hits").cast("long").alias("x_hits"), X("p_value").cast("double").alias("p_value"), "hits").withColumn("p_value", num("p_value"))
+
+
+@query("k_clusters", f"""with {a.SUPPLIERS_SQL} select cast(s_nationkey as bigint) as "group", case when s_acctbal < 0 then 1 else 0 end as subgroup, {OUT.removeprefix('select ').removesuffix(' from')} from sup join supplier on id = s_suppkey where x is not null""")
+def _cluster_files(spark, sf):
+    """Suppliers in groups by nation and subgroups by the sign of their balance, as the folders of clustered signals."""
+    root, s = _root(spark), a.table(spark, sf, "supplier")
+    placed = s.select(X("s_suppkey").alias("id"), X("s_nationkey").alias("group"), F.when(X("s_acctbal") < 0, 1).otherwise(0).alias("subgroup"), X("s_suppkey").alias("leaf_order"))
+    sinks.write_clusters(placed, a.supplier_signals(spark, sf), root)
+    back = spark.read.option("header", True).option("escape", '"').csv(root)
+    return cells(back.select(X("group").cast("long").alias("group"), "subgroup", X("id").cast("long").alias("id"), F.from_json("x", "array<double>").alias("x")))
+
+
 # -- subjects ------------------------------------------------------------------------------------------------------
 _PAIRS = f"""{a.SUBJECTS_SQL}, ids as (select distinct subject, id from subj),
   pr as (select p.subject as a, q.subject as b, p.id from ids p join ids q on p.id = q.id and p.subject < q.subject),

@@ -176,4 +176,4 @@ def classified_signals(spark: SparkSession, path: str) -> DataFrame:
                         rows.append((str(name), str(key[0]), str(key[1]) if len(key) > 1 else None, pair[0], pair[1]))
             yield pd.DataFrame(rows, columns=["class", "id", "label", "classifier", "series"])
 
-    return spark.read.option("wholetext", True).text(path).mapInPandas(run, schema)
+    return spark.read.text(path, wholetext=True).mapInPandas(run, schema)
