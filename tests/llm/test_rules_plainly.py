@@ -56,3 +56,16 @@ def test_repeated_ids_keep_to_the_bound(spark, monkeypatch):
     known = [i for i in range(30) if __import__("zlib").crc32(str(i).encode()) % 5]
     want = sorted((r for r in rows if r[0] in known))[:40]
     assert np.allclose(seen[0][0], [r[1:] for r in want]) and seen[0][1].tolist() == [bool(r[0] % 2) for r in want]
+
+
+def test_equal_texts_score_alike_whatever_their_labels(spark):
+    """Ties: texts with equal statistics share a score, also where their labels differ; a very long one has a score too."""
+    rows = [(i, "good plain words in a row. " * (1 + i % 3) if i % 2 else "zz!! 11 ## " * (1 + i % 3), "x") for i in range(200)] + [(500, "word " * 1_000_000, "x"), (501, None, "x"), (501, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 1) if i % 7 else 1) for i in range(200)] + [(3, 0), (3, 1), (None, 1)], "doc_id long, quality int")
+    got = quality.report(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    text, by = {i: t for i, t, _ in rows}, {}
+    for r in got:
+        by.setdefault(text[r.doc_id] or "", set()).add(r.score)
+    assert all(len(v) == 1 for v in by.values()) and len({s for v in by.values() for s in v}) > 1

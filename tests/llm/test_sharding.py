@@ -37,3 +37,12 @@ def test_nulls_repeats_and_empty(spark):
     assert len(out) == 4 and Counter(r.shard for r in out) == {0: 2, 1: 2}
     assert {(r.doc_id, r.size) for r in out} == {(1, 8), (None, 10), (2, 8)}
     assert sharding.interleave(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts_and_ties(spark):
+    long = "é" * 3_000_000
+    rows = [(1, long, "a", 0), (2, long, "a", 0), (3, "x", "a", 0), (3, "x", "a", 0)]
+    out = sharding.interleave(spark.createDataFrame(rows, SCHEMA), shards=4).collect()
+    assert sorted((r.doc_id, r.size) for r in out) == [(1, 6_000_008), (2, 6_000_008), (3, 9), (3, 9)]
+    assert sorted((r.shard, r.slot) for r in out) == [(s, 0) for s in range(4)]
+    assert {r.text_crc32 for r in out if r.doc_id < 3} == {zlib.crc32(long.encode())}

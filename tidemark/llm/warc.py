@@ -137,6 +137,9 @@ def read(spark: SparkSession, path: str, scratch: Scratch | None = None) -> Data
     file, record_id, record_type, target_uri, refers_to, digest (as the header has it), full_length (X-Payload-Length),
     block_bytes and block_digest (of the block as read), complete (false for a record cut off by the end of its file).
     A file that doesn't start with a record gives none.
+    A file's offsets (some dozen bytes a piece) are chained in one task, and records whose payload holds the magic are put
+    together from the pieces of their file there; `write` bounds a file to RECORDS_PER_FILE records, foreign ones bound it by
+    their own size.
     """
     scratch = scratch or Scratch(spark, "warc")
     pieces = _pieces(spark, path)
