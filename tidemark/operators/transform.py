@@ -152,12 +152,15 @@ def landmarks(s: DataFrame, most: int = 1000) -> dict[int, np.ndarray]:
     return out
 
 
-def quantile_transform(s: DataFrame, target: str = "uniform", most: int = 1000) -> DataFrame:
-    """Long rows (id, t, x): each time point's values through their own distribution function, by interpolation between landmarks.
+def quantile_transform(s: DataFrame, target: str = "uniform", most: int | None = None) -> DataFrame:
+    """Long rows (id, t, x): each time point's values through their own distribution function.
 
-    The landmarks, at most `most` of a time point, go to every task; cells are neither grouped nor sorted by time point.
+    Every value is a landmark, and the middle of its ranks is its place. With `most`, places are interpolated between
+    as many landmarks of a time point, which go to every task; cells are neither grouped nor sorted by time point.
     """
     inv = np.vectorize(NormalDist().inv_cdf, otypes=[float])
+    if most is None:
+        return _ranked_places(s, target, inv)
     marks = s.sparkSession.sparkContext.broadcast(landmarks(s, most))
 
     def placed(v: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -176,6 +179,17 @@ def quantile_transform(s: DataFrame, target: str = "uniform", most: int = 1000)
     return model.to_long(s).where("x is not null").select("id", "t", "x").mapInPandas(run, f"id {s.schema['id'].dataType.simpleString()}, t int, x double")
 
 
+def _ranked_places(s: DataFrame, target: str, inv: Callable) -> DataFrame:
+    """quantile_transform() by every value's ranks; ties are counted before they are shuffled."""
+    ranked = order.settled(order.numbered(model.to_long(s).where("x is not null").select("id", "t", "x"), "t", ["x", "id"], "rn"))
+    ends = ranked.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"))  # one row per time point
+    tied = ranked.groupBy("t", "x").agg((F.min("rn") + (F.count(F.lit(1)) - 1) / 2).alias("middle")).join(F.broadcast(ends), "t")
+    place = F.when(X("x") == X("x1"), 1.0).when(X("x") == X("x0"), 0.0).otherwise(X("middle") / (X("n") - 1))
+    normal = F.pandas_udf(lambda y: pd.Series(inv(np.clip(y.to_numpy(float), 1e-7, 1 - 1e-7))), "double")
+    tied = tied.select("t", "x", (normal(place) if target == "normal" else place).alias("y"))
+    return ranked.join(tied, ["t", "x"]).select("id", "t", X("y").alias("x"))
+
+
 def chop(c: Column, tolerance: float = 1e-10) -> Column:
     return F.when(F.abs(c) < tolerance, F.lit(0.0)).otherwise(c)
 
