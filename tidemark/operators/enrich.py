@@ -135,10 +135,15 @@ def hypergeometric_tail(n: Column, k: Column, m: Column, x: Column) -> Column:
 
 
 def binomial_tail(n: Column, k: Column, m: Column, x: Column) -> Column:
-    """P(X >= x) of n draws that hit with chance k / m each."""
+    """P(X >= x) of n draws that hit with chance k / m each.
+
+    Terms further than 40 deviations and 800 hits from the mean, or from x beyond it, add up to less than 1e-300 of the rest, and are left out.
+    """
     p, top = k / m, n
+    reach = 40 * F.sqrt(F.greatest(n * p * (1 - p), F.lit(0.0))) + 800
+    first, last = F.greatest(x, F.floor(n * p - reach)), F.least(top, F.ceil(F.greatest(x, n * p) + reach))
     term = lambda i: F.exp(_log_factorials([(1, n), (-1, i), (-1, n - i)]) + i * F.ln(p) + F.when(i == n, F.lit(0.0)).otherwise((n - i) * F.ln(1 - p)))
-    terms = F.when(x <= top, F.transform(F.sequence(x.cast("int"), top.cast("int")), term)).otherwise(F.array().cast("array<double>"))
+    terms = F.when(x <= top, F.transform(F.sequence(first.cast("int"), last.cast("int")), term)).otherwise(F.array().cast("array<double>"))
     return F.when(k >= m, 1.0).otherwise(F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)))
 
 
