@@ -27,6 +27,8 @@ UPSAMPLING, WIDTH = 2, 14
 STEEP = 2.3 * WIDTH
 #: Signals worked on at once, by grid points.
 AT_ONCE = 1 << 20
+#: Numbers of results of a batch that are worked on and sent at once.
+MOST_CELLS = 1 << 18
 
 
 def frequencies(times: list[float], oversampling: float = 1, upper: float = 1) -> list[float]:
@@ -126,15 +128,18 @@ def _arrays(x: np.ndarray, null: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), values, mask=pa.array(null))
 
 
-def _mapped(s: DataFrame, run) -> DataFrame:
-    """s with x replaced by run(column of x)."""
+def _mapped(s: DataFrame, run, width: int) -> DataFrame:
+    """s with x replaced by run(column of x), for as many rows at once as make MOST_CELLS numbers of `width` each."""
+    step = max(1, MOST_CELLS // width)
     at, kinds = s.columns.index("x"), ", ".join(f"`{f.name}` {'array<double>' if f.name == 'x' else f.dataType.simpleString()}" for f in s.schema)
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in given:
-            columns = list(b.columns)
-            columns[at] = run(b.column(at))
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+            for start in range(0, b.num_rows, step):
+                part = b.slice(start, step)
+                columns = list(part.columns)
+                columns[at] = run(part.column(at))
+                yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
     return s.mapInArrow(batches, kinds)
 
@@ -153,7 +158,7 @@ def lomb_scargle(s: DataFrame, times: list[float], oversampling: float = 1, uppe
             p = spectrum[0].power(d, known) / np.where(variance > 0, 2 * variance, np.nan)[:, None]
         return _arrays(p, column.is_null().to_numpy(zero_copy_only=False))
 
-    s = _mapped(s, run)
+    s = _mapped(s, run, max(len(t), len(f)))
     return s.withColumn("x", to_unit(F.col("x"))) if normalise else s
 
 
@@ -178,7 +183,7 @@ def autocorrelation(s: DataFrame, times: list[float]) -> DataFrame:
             found = np.where(lags[:, :1] == 0, np.nan, lags / lags[:, :1])
         return _arrays(found, column.is_null().to_numpy(zero_copy_only=False))
 
-    return _mapped(s, run)
+    return _mapped(s, run, 2 * n)
 
 
 def plot_data(s: DataFrame, times: list[float], oversampling: float = 100, least: int = 5) -> DataFrame:
