@@ -19,6 +19,8 @@ COMPARE = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator
 MISSING = "Missing"
 #: Rows of a list that match_masses() joins as one.
 PACK = 2048
+#: Entries of a dictionary under one key from which on translate_all() leaves them where they are.
+FREQUENT = 20_000
 #: How a count compares with a number: a name of COMPARE, or a function of two columns.
 How = str | Callable[[Column, Column], Column]
 #: The p-value of a term by its list's size n, its family's size k, the population m and the hits x.
@@ -59,13 +61,19 @@ def translate_all(ids: DataFrame, dictionary: DataFrame, targets: list[str], sou
     """(source, target, id, found): every match of ids(id) in any column of a wide dictionary, by the column it stands in.
 
     Without `sources` all columns are searched. A row of the dictionary that has no such target gives a null; matches are
-    not merged, so repeated rows repeat.
+    not merged, so repeated rows repeat. Entries of a frequent key are not dealt by it: they meet a broadcast of such keys,
+    one for each FREQUENT entries at most, and only the rest are sorted and merged.
     """
     sources = sources or dictionary.columns
-    keys = F.explode(F.array(*[F.struct(F.lit(c).alias("source"), X(c).cast("string").alias("id")) for c in sources]))
+    entries = F.explode(F.array(*[F.struct(F.lit(c).alias("source"), X(c).cast("string").alias("id")) for c in sources]))
     found = F.array(*[F.struct(F.lit(c).alias("target"), X(c).cast("string").alias("found")) for c in targets])
-    long = dictionary.select(keys.alias("_k"), found.alias("_f")).select("_k.source", "_k.id", "_f").where("id is not null")
-    hit = ids.select(X("id").cast("string").alias("id")).distinct().join(long, "id")
+    long = dictionary.select(entries.alias("_k"), found.alias("_f")).select("_k.source", "_k.id", "_f").where("id is not null")
+    asked = ids.select(X("id").cast("string").alias("id"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("_asked"))
+    keys = long.select("id", F.lit(1).cast("long").alias("n"), F.lit(False).alias("_asked")).unionAll(asked)
+    keys = keys.groupBy("id").agg(F.sum("n").alias("n"), F.max("_asked").alias("_asked"))
+    long = long.join(F.broadcast(keys.where(X("n") >= FREQUENT).select("id", "_asked")), "id", "left")
+    rare = keys.where((X("n") > 0) & (X("n") < FREQUENT) & X("_asked")).select("id")
+    hit = long.where("_asked").unionByName(long.where("_asked is null").join(rare.hint("merge"), "id"))
     return hit.select("source", "id", F.explode("_f").alias("_f")).select("source", "_f.target", "id", "_f.found")
 
 
