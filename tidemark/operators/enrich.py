@@ -17,8 +17,8 @@ from .order import settled
 X = F.col
 COMPARE = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt, "=": operator.eq}
 MISSING = "Missing"
-#: Rows of a list that match_masses() joins as one.
-PACK = 2048
+#: Rows of a list that match_masses() joins as one: compounds, and queries.
+PACK, FEW = 2048, 16
 #: Entries of a dictionary under one key from which on translate_all() leaves them where they are.
 FREQUENT = 20_000
 #: How a count compares with a number: a name of COMPARE, or a function of two columns.
@@ -307,36 +307,44 @@ def kegg_analysis(data, kind: str = "Genomic", genomic: DataFrame | None = None,
     return out
 
 
-def _packed(rows: DataFrame, width: float) -> DataFrame:
-    """(b, s, list) of rows(id, mass): lists of about PACK rows of one logarithmic bucket, dealt by hash."""
+def _packed(rows: DataFrame, width: float, pack: int | None = None) -> DataFrame:
+    """(b, s, list) of rows(id, mass): lists of about `pack` (PACK) rows of one logarithmic bucket, dealt by hash."""
     rows = rows.where("mass > 0").withColumn("b", F.floor(F.ln("mass") / width))
-    sizes = rows.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("_parts"))
+    sizes = rows.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / (pack or PACK)).alias("_parts"))
     dealt = rows.join(sizes, "b").withColumn("s", F.pmod(F.xxhash64("id", "mass"), X("_parts")))
     return settled(dealt.groupBy("b", "s").agg(F.collect_list(F.struct("id", "mass")).alias("list")))
 
 
+def _runs(packed: DataFrame) -> DataFrame:
+    """(b, s, runs) of _packed() lists: the ids of each mass of a list as one array."""
+    one = packed.select("b", "s", F.explode("list").alias("_r")).groupBy("b", "s", X("_r.mass").alias("mass")).agg(F.collect_list("_r.id").alias("ids"))
+    return one.groupBy("b", "s").agg(F.collect_list(F.struct("mass", "ids")).alias("runs"))
+
+
 def match_masses(queries: DataFrame, masses: DataFrame, ppm: float) -> DataFrame:
     """(query, compound) with m(1 - ppm) < mass < m(1 + ppm), strictly, by an equi-join on logarithmic buckets.
 
-    A bucket is an eighth of the window, so most rows of the buckets that a window touches match. Rows of a bucket are packed into lists,
-    and what is joined are pairs of lists, which are expanded last: a bucket with many rows is many pairs, none longer than
-    PACK times PACK but for repeated rows. Masses are positive.
+    A bucket is an eighth of the window, so most rows of the buckets that a window touches match. Compounds of a bucket are packed
+    into lists of PACK, and those of one mass in a list are compared once; queries are packed into lists of FEW. What is joined are
+    pairs of lists, which are expanded last: a bucket with many rows is many pairs, none longer than FEW times PACK but for repeated
+    rows, as Spark keeps what a pair expands to in memory. Masses are positive.
     """
     r = ppm * 1e-6
     if not 0 < r < 1:
         raise ValueError(f"a window of {ppm} ppm")
     width = r / 4
     first, last = math.floor(math.log1p(-r) / width) - 1, math.ceil(math.log1p(r) / width) + 1
-    q = _packed(queries.select(X("query").alias("id"), X("m").cast("double").alias("mass")), width)
+    q = _packed(queries.select(X("query").alias("id"), X("m").cast("double").alias("mass")), width, FEW)
     c = _packed(masses.select(X("compound").alias("id"), X("mass").cast("double").alias("mass")), width)
     near = F.explode(F.sequence(X("b") + first, X("b") + last)).alias("cb")
-    pairs = q.select(X("b").alias("qb"), X("s").alias("qs"), near).join(c.select(X("b").alias("cb"), X("s").alias("cs")), "cb")
-    lists = pairs.join(q.select(X("b").alias("qb"), X("s").alias("qs"), X("list").alias("_q")), ["qb", "qs"])
+    lists = q.select("list", near).join(c.select(X("b").alias("cb"), X("s").alias("cs")), "cb").withColumnRenamed("list", "_q")
     # lists are short, what they expand to is not: as many tasks as the session has, whatever the bytes
     tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = lists.repartition(tasks, "cb", "cs").join(c.select(X("b").alias("cb"), X("s").alias("cs"), X("list").alias("_c")).repartition(tasks, "cb", "cs"), ["cb", "cs"])
+    runs = _runs(c).select(X("b").alias("cb"), X("s").alias("cs"), X("runs").alias("_c"))
+    both = lists.repartition(tasks, "cb", "cs").join(runs.repartition(tasks, "cb", "cs"), ["cb", "cs"])
     rows = both.select("_c", F.explode("_q").alias("q")).select("q", F.explode("_c").alias("c"))
-    return rows.where((X("c.mass") > X("q.mass") * (1 - r)) & (X("c.mass") < X("q.mass") * (1 + r))).select(X("q.id").alias("query"), X("c.id").alias("compound"))
+    rows = rows.where((X("c.mass") > X("q.mass") * (1 - r)) & (X("c.mass") < X("q.mass") * (1 + r)))
+    return rows.select(X("q.id").alias("query"), F.explode("c.ids").alias("compound"))
 
 
 def report(results: DataFrame) -> DataFrame:
